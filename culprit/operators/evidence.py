@@ -18,7 +18,16 @@ from pyspark.sql import functions as F
 
 from culprit.functions.dtypes import first_temporal, norm_dtype
 from culprit.operators.probes import column_facts, dupe_extra_rows, lag_seconds, orphan_keys, share
-from culprit.schemas import EVIDENCE_DEFAULTS, EVIDENCE_FIELDS, EVIDENCE_LABELS
+from culprit.schemas import (
+    EVIDENCE_DEFAULTS,
+    EVIDENCE_FIELDS,
+    EVIDENCE_LABELS,
+    FLAG,
+    REAL,
+    TEXT,
+    record,
+)
+from culprit.sources.constants import constant_frame
 
 # --- fixed values -------------------------------------------------------------------
 SLA_MINUTES = 1440.0
@@ -151,13 +160,18 @@ def _partial(df: DataFrame, by: Sequence[str], key: str, **fields: str) -> DataF
 
 
 def target_frame(spark: SparkSession, targets: Sequence[Target]) -> DataFrame:
-    schema = (
-        "target string, "
-        + ", ".join(f"{name} string" for name in EVIDENCE_LABELS)
-        + ", expected_dtype string, expected_mean double, expected_stddev double, "
-        "sla_minutes double, actual_dtype string, is_relationship boolean"
+    schema = record(
+        target=TEXT,
+        **dict.fromkeys(EVIDENCE_LABELS, TEXT),
+        expected_dtype=TEXT,
+        expected_mean=REAL,
+        expected_stddev=REAL,
+        sla_minutes=REAL,
+        actual_dtype=TEXT,
+        is_relationship=FLAG,
     )
-    return spark.createDataFrame(
+    return constant_frame(
+        spark,
         [
             (
                 t.key,

@@ -16,9 +16,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from culprit.functions.dtypes import is_numeric
 from culprit.functions.keys import incident_key, sample_hash, text_key
+from culprit.schemas import FLAG, REAL, TEXT, record
+from culprit.sources.constants import constant_frame
 
 NULLS, DUPES, DROPOUT = "null_spike", "duplicate_ingestion", "broken_join_dropout"
 
@@ -92,11 +95,16 @@ def trial_frame(spark: SparkSession, trials: Sequence[Trial], dataset: str) -> D
          t.pattern.conditional, CAUSE_OF_FAMILY[t.pattern.family])
         for t in trials
     ]
-    schema = (
-        "family string, pattern_id string, seed int, fraction double, tail boolean, "
-        "conditional boolean, cause_class string"
+    schema = record(
+        family=TEXT,
+        pattern_id=TEXT,
+        seed=T.IntegerType(),
+        fraction=REAL,
+        tail=FLAG,
+        conditional=FLAG,
+        cause_class=TEXT,
     )
-    frame = spark.createDataFrame(rows, schema)
+    frame = constant_frame(spark, rows, schema)
     key = incident_key(F.lit(dataset), F.col("pattern_id"), F.col("seed"))
     return frame.withColumn("incident_key", key)
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from culprit.functions.keys import length_then_text, text_key
 from culprit.schemas import EDGE, WALK_STEP
+from culprit.sources.constants import constant_frame
 
 # --- fixed values ------------------------------------------------------------------
 MAX_HOPS = 8
@@ -31,7 +32,7 @@ WALK_STEP_ARRAY = f"array<{WALK_STEP.simpleString()}>"
 def edge_frame(spark: SparkSession, edges: Sequence[tuple]) -> DataFrame:
     """(down model, down column, up model, up column, agg, window, cast[, ordinal]) rows."""
     rows = [e if len(e) == 8 else (*e, 0) for e in edges]
-    return spark.createDataFrame(rows, EDGE)
+    return constant_frame(spark, rows, EDGE)
 
 
 def transform_tag() -> Column:

@@ -12,6 +12,7 @@ from culprit.operators.faults import DROPOUT, DUPES, NULLS, FaultTarget
 from culprit.operators.lineage import KeyedEdge, edge_frame
 from culprit.schemas import NODE
 from culprit.session import scratch_path
+from culprit.sources.constants import constant_frame
 
 DATASET = "retail"
 CENTS = 100.0
@@ -207,7 +208,7 @@ def nodes(spark: SparkSession) -> DataFrame:
         for schema, names in layers
         for n in names
     ]
-    return spark.createDataFrame(rows, NODE)
+    return constant_frame(spark, rows, NODE)
 
 
 TARGETS = {

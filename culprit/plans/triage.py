@@ -9,16 +9,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from culprit.operators.datatests import DataTest, failing_keys, run_tests
 from culprit.operators.evidence import Target, assemble_evidence
 from culprit.operators.incidents import build_incidents, choose_test, classify
 from culprit.operators.lineage import DEFAULT_KEY, walk_lineage
-from culprit.schemas import WALK_STEP
-
-WALK_SCHEMA = (
-    "test_name string, kind string, model string, column string, certainty double, "
-    f"hit_agg_boundary boolean, walk_path array<{WALK_STEP.simpleString()}>"
+from culprit.schemas import FLAG, REAL, TEXT, WALK_STEP, record
+from culprit.sources.constants import constant_frame
+
+WALK_ROW = record(
+    test_name=TEXT,
+    kind=TEXT,
+    model=TEXT,
+    column=TEXT,
+    certainty=REAL,
+    hit_agg_boundary=FLAG,
+    walk_path=T.ArrayType(WALK_STEP),
 )
 
 
@@ -59,7 +66,7 @@ def attribute(
         return []
     starts = {(t.model, t.column) for t in tests}
     starts |= {(t.parent_model, t.parent_column) for t in tests if t.parent_model}
-    frame = spark.createDataFrame(sorted(starts), "model string, column string")
+    frame = constant_frame(spark, sorted(starts), record(model=TEXT, column=TEXT))
     walked = {
         (w["model"], w["column"]): w
         for w in walk_lineage(frame, project.edges, project.nodes).collect()
@@ -85,10 +92,10 @@ def attribute(
 def walk_frame(spark: SparkSession, found: Sequence[Attribution]) -> DataFrame:
     rows = [
         (a.test.name, a.test.kind, a.test.model, a.test.column, a.certainty,
-         a.hit_agg_boundary, [tuple(s) for s in a.walk_path])
+         a.hit_agg_boundary, [s.asDict() for s in a.walk_path])
         for a in found
     ]
-    return spark.createDataFrame(rows, WALK_SCHEMA)
+    return constant_frame(spark, rows, WALK_ROW)
 
 
 @dataclass(frozen=True)
@@ -165,8 +172,8 @@ def triage(
         for a in found
         if not a.hit_agg_boundary
     ]
-    nothing = ", ".join(f"{c} string" for c in [*by, "test_name", "pk"])
-    rows = reduce(DataFrame.unionByName, keys, spark.createDataFrame([], nothing))
+    nothing = record(**dict.fromkeys([*by, "test_name", "pk"], TEXT))
+    rows = reduce(DataFrame.unionByName, keys, constant_frame(spark, [], nothing))
     if one_per_group:
         rows = rows.join(failing.select(*by, "test_name"), [*by, "test_name"], "left_semi")
     return Triage(results, classified, incidents, rows)

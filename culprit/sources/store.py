@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culprit.operators.incidents import incident_rows
-from culprit.schemas import CAUSE_CLASSES, INCIDENT
+from culprit.schemas import CAUSE_CLASSES, INCIDENT, TEXT, record
+from culprit.sources.constants import constant_frame
 
 PUT, DROP = "put", "drop"
 
@@ -146,8 +147,8 @@ class IncidentStore:
         row = self.load(incident_id)
         if row.isEmpty():
             return False
-        change = self.spark.createDataFrame(
-            [(incident_id, label)], "incident_id string, human_label string"
+        change = constant_frame(
+            self.spark, [(incident_id, label)], record(incident_id=TEXT, human_label=TEXT)
         )
         self._append(set_labels(row, change), PUT, None)
         return True
