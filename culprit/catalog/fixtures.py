@@ -121,14 +121,16 @@ def line_incidents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feed_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events by user; the payload code is a number as text, except for errors."""
+    """Events by user; the payload code is a number as text, except for cheap errors."""
     code = F.get_json_object("props", "$.k")
     return read(spark, folder, "events").select(
         "user_id",
         "event_id",
         "ts",
         "value",
-        F.when(F.col("event_type") == "error", F.col("event_type")).otherwise(code).alias("code"),
+        F.when((F.col("event_type") == "error") & (F.col("value") < 10), "error")
+        .otherwise(code)
+        .alias("code"),
     )
 
 

@@ -68,7 +68,7 @@ line_evidence AS (
 EVENT_EVIDENCE = f"""
 feed_events AS (
   SELECT user_id, event_id, ts, value,
-         CASE WHEN event_type = 'error' THEN event_type
+         CASE WHEN event_type = 'error' AND value < 10 THEN 'error'
               ELSE json_extract_string(props, '$.k') END AS code
   FROM events),
 baseline AS (SELECT avg(value) AS mean, stddev_samp(value) / 20 AS tolerance FROM feed_events),
@@ -594,6 +594,22 @@ SELECT count(*) AS n_incidents, 1e0 AS top1_table_acc, 1e0 AS top3_table_acc,
 FROM said""",
 )
 
+ORACLES["fault_supply_targets"] = with_ctes(
+    TRIALS.format(seeds=2).replace("retail|", "supply|"),
+    pick("null_pick", "null_spike", "lineitem", "l_orderkey"),
+    DUPE_PICK,
+    "used AS (SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)),"
+    + pick("drop_pick", "broken_join_dropout", "used", "s_suppkey"),
+    """
+hit AS (
+  SELECT incident_key, l_orderkey AS k FROM null_pick UNION ALL
+  SELECT incident_key, o_orderkey FROM dupe_pick UNION ALL
+  SELECT incident_key, l_orderkey FROM drop_pick JOIN lineitem ON l_suppkey = s_suppkey)""",
+    select="""
+SELECT incident_key, count(DISTINCT k) AS n_keys FROM hit JOIN trials USING (incident_key)
+WHERE NOT conditional GROUP BY incident_key""",
+)
+
 # --- baselines ----------------------------------------------------------------------------
 
 _KIND_CAUSE = """CASE kind WHEN 'not_null' THEN 'upstream_null_spike'
@@ -887,6 +903,20 @@ ORACLES["stale_dimension"] = with_ctes(
     FEED_EVIDENCE, select="SELECT feed_id, blame_stale_dimension FROM line_evidence"
 )
 
+_FINGERPRINT = sorted(
+    (*EVIDENCE_COLUMNS, "failing_test_kind", "failing_model", "failing_column", "blame_model",
+     "blame_column", "blame_pk_column", "parent_table", "parent_pk_column", "parent_row_count")
+)
+ORACLES["evidence_fingerprint"] = with_ctes(
+    FEED_EVIDENCE,
+    select="SELECT feed_id, sha256(CAST(to_json({"
+    + ", ".join(
+        f"'{n}': CAST({n} AS DECIMAL(18, 6))" if n in _DOUBLES else f"'{n}': {n}"
+        for n in _FINGERPRINT
+    )
+    + "}) AS VARCHAR)) AS fingerprint FROM line_evidence",
+)
+
 # --- lineage ------------------------------------------------------------------------------
 
 
@@ -1134,6 +1164,11 @@ SELECT incident_id,
 FROM told""",
 )
 
+ORACLES["triage_stream"] = with_ctes(
+    INCIDENTS,
+    select="SELECT incident_id, failing_test_name, verdict_type FROM summed WHERE failing_row_count > 0",
+)
+
 # --- repairs ------------------------------------------------------------------------------
 
 ORACLES["repair_nulls"] = with_ctes(

@@ -30,7 +30,11 @@ def classify(
 
     A tiebreaker gets the uncertain rows only and returns them with new scores.
     """
-    scored = evidence.withColumn("class_scores", ranked_scores(detectors))
+    # Exploding a one-element array pins the value: a later filter on a verdict would
+    # otherwise be pushed below this step with the whole ranking copied into it for
+    # every mention of a score, and planning would take minutes.
+    pinned = F.explode(F.array(ranked_scores(detectors)))
+    scored = evidence.withColumn("class_scores", pinned)
     scored = scored.withColumn("is_uncertain", is_uncertain(F.col("class_scores")))
     if tiebreaker is None:
         return scored
