@@ -8,7 +8,7 @@ not grow with the number of facts.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culprit.functions.dtypes import first_temporal, norm_dtype
-from culprit.operators.probes import column_facts, dupe_extra_rows, lag_seconds, orphan_keys, share
+from culprit.operators.probes import column_facts, dupe_extra_rows, lag_seconds, orphan_keys
 from culprit.schemas import (
     EVIDENCE_DEFAULTS,
     EVIDENCE_FIELDS,
@@ -74,39 +74,6 @@ def _extra_rows(pk: str) -> Column:
     return F.count(F.lit(1)) - F.count_distinct(F.struct(pk))
 
 
-def blame_scan(
-    df: DataFrame, targets: Sequence[Target], by: Sequence[str], distinct: str
-) -> DataFrame:
-    """Everything the targets want to know about one blamed table, in one aggregation."""
-    aggs = {"n": F.count(F.lit(1)), "latest": _latest(df)}
-    slots = []
-    for t in targets:
-        fields = {"blame_row_count": F.col("n"), "blame_latest": F.col("latest")}
-        if t.blame_pk_column in df.columns:
-            name = f"extra_{t.blame_pk_column}"
-            aggs[name] = _extra_rows(t.blame_pk_column)
-            fields["blame_pk_dupe_count"] = F.col(name)
-        if t.blame_column in df.columns:
-            for fact, agg in column_facts(df, t.blame_column, distinct).items():
-                aggs[f"{fact}_{t.blame_column}"] = agg
-
-            def got(fact: str, column: str = t.blame_column) -> Column:
-                return F.col(f"{fact}_{column}")
-
-            filled = F.col("n") - got("null_count")
-            fields |= {
-                "blame_null_rate": share(got("null_count"), F.col("n")),
-                "blame_cardinality_ratio": share(got("distinct_count"), filled),
-                "blame_integer_compatible_ratio": got("int_ratio"),
-                "blame_float_compatible_ratio": got("float_ratio"),
-                "blame_mean": got("mean"),
-                "blame_anomaly_score": F.abs(got("skew")),
-            }
-        slots.append((t.key, fields))
-    wide = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
-    return wide.select(*by, F.inline(_slot_array(slots)))
-
-
 # The facts a partial result may bring, with the type they are folded in.
 PARTIALS = {
     "blame_row_count": "bigint",
@@ -126,37 +93,72 @@ PARTIALS = {
 }
 
 
-def _slot_array(slots: Iterable[tuple[str, Mapping[str, Column]]]) -> Column:
-    """Per-target structs of one common type, ready for `inline`."""
-    structs = []
-    for key, fields in slots:
-        facts = [
-            fields.get(name, F.lit(None)).cast(dtype).alias(name)
-            for name, dtype in PARTIALS.items()
-        ]
-        structs.append(F.struct(F.lit(key).alias("target"), *facts))
-    return F.array(*structs)
+def _per_target(slots: Mapping[str, Mapping[str, str]]) -> Column:
+    """One row per target out of a wide aggregate: `inline` over structs of one type.
+
+    Facts are SQL texts over the aggregate's columns; what a target lacks is null.
+    """
+
+    def struct(key: str, facts: Mapping[str, str]) -> str:
+        quoted = key.replace("'", "\\'")
+        fields = [f"'target', '{quoted}'"]
+        for name, dtype in PARTIALS.items():
+            fields.append(f"'{name}', CAST({facts.get(name, 'NULL')} AS {dtype})")
+        return f"named_struct({', '.join(fields)})"
+
+    return F.expr(f"inline(array({', '.join(struct(k, f) for k, f in slots.items())}))")
+
+
+def _ratio(part: str, whole: str) -> str:
+    return f"IF({whole} > 0, {part} / ({whole}), 0D)"
+
+
+def blame_scan(
+    df: DataFrame, targets: Sequence[Target], by: Sequence[str], distinct: str
+) -> DataFrame:
+    """Everything the targets want to know about one blamed table, in one aggregation."""
+    aggs = {"n": F.count(F.lit(1)), "latest": _latest(df)}
+    slots = {}
+    for t in targets:
+        facts = {"blame_row_count": "n", "blame_latest": "latest"}
+        if t.blame_pk_column in df.columns:
+            aggs[f"extra_{t.blame_pk_column}"] = _extra_rows(t.blame_pk_column)
+            facts["blame_pk_dupe_count"] = f"`extra_{t.blame_pk_column}`"
+        if t.blame_column in df.columns:
+            got = {}
+            for fact, agg in column_facts(df, t.blame_column, distinct).items():
+                aggs[f"{fact}_{t.blame_column}"] = agg
+                got[fact] = f"`{fact}_{t.blame_column}`"
+            facts |= {
+                "blame_null_rate": _ratio(got["null_count"], "n"),
+                "blame_cardinality_ratio": _ratio(
+                    got["distinct_count"], f"n - {got['null_count']}"
+                ),
+                "blame_integer_compatible_ratio": got["int_ratio"],
+                "blame_float_compatible_ratio": got["float_ratio"],
+                "blame_mean": got["mean"],
+                "blame_anomaly_score": f"abs({got['skew']})",
+            }
+        slots[t.key] = facts
+    wide = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
+    return wide.select(*by, _per_target(slots))
 
 
 def parent_scan(df: DataFrame, targets: Sequence[Target], by: Sequence[str]) -> DataFrame:
+    """Row count, freshness, repeated and null keys of one parent table."""
     aggs = {"n": F.count(F.lit(1)), "latest": _latest(df)}
-    slots = []
+    slots = {}
     for t in targets:
-        fields = {"parent_row_count": F.col("n"), "parent_latest": F.col("latest")}
+        facts = {"parent_row_count": "n", "parent_latest": "latest"}
         if t.parent_pk_column in df.columns:
             pk = t.parent_pk_column
             aggs[f"extra_{pk}"] = _extra_rows(pk)
             aggs[f"null_{pk}"] = F.max(F.col(pk).isNull())
-            fields["parent_pk_dupe_count"] = F.col(f"extra_{pk}")
-            fields["parent_has_null"] = F.col(f"null_{pk}")
-        slots.append((t.key, fields))
+            facts["parent_pk_dupe_count"] = f"`extra_{pk}`"
+            facts["parent_has_null"] = f"`null_{pk}`"
+        slots[t.key] = facts
     wide = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
-    return wide.select(*by, F.inline(_slot_array(slots)))
-
-
-def _partial(df: DataFrame, by: Sequence[str], key: str, **fields: str) -> DataFrame:
-    slot = _slot_array([(key, {n: F.col(c) for n, c in fields.items()})])
-    return df.select(*by, F.inline(slot))
+    return wide.select(*by, _per_target(slots))
 
 
 def target_frame(spark: SparkSession, targets: Sequence[Target]) -> DataFrame:
@@ -245,12 +247,19 @@ def assemble_evidence(
                 )
                 cols = split(found)
                 counted = found.groupBy(*cols).agg(F.sum("child_rows").alias("c"))
-                keep(_partial(counted, cols, t.key, orphan_rows="c"))
+                keep(counted.select(*cols, _per_target({t.key: {"orphan_rows": "c"}})))
         if dupe_limit is not None and t.blame_model in tables:
             table = tables[t.blame_model]
             if t.blame_pk_column in table.columns and not by:
                 top = dupe_extra_rows(table, [t.blame_pk_column], limit=dupe_limit)
-                keep(_partial(top, [], t.key, blame_pk_dupe_count="extra_rows"))
+                keep(top.select(_per_target({t.key: {"blame_pk_dupe_count": "extra_rows"}})))
+
+    if not parts:
+        # Nothing to probe: an empty frame of the right shape.
+        types = {c: t for df in tables.values() for c, t in df.dtypes if c in by}
+        empty = {**{c: types.get(c, "string") for c in by}, "target": "string", **PARTIALS}
+        columns = [F.lit(None).cast(t).alias(c) for c, t in empty.items()]
+        parts.append(spark.range(0).select(*columns))
 
     def fold(frames: list[DataFrame], keys: Sequence[str]) -> DataFrame:
         union = reduce(DataFrame.unionByName, frames)

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Off, because every column call would walk the Python stack; plans build twice as fast.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
