@@ -451,6 +451,16 @@ SELECT 'relationships_stg_orders_customer_id__customer_id__ref_stg_customers_' A
        CAST(o_orderkey AS VARCHAR) AS pk
 FROM orders JOIN drop_pick ON c_custkey = o_custkey JOIN one USING (incident_key)""",
 )
+ORACLES["failing_pks_stored"] = with_ctes(
+    *fault_ctes(DROP_PICK, "broken_join_dropout.heavy_5pct"),
+    select="""
+SELECT 'relationships_stg_orders_customer_id__customer_id__ref_stg_customers_' AS test_name,
+       CAST(o_orderkey AS VARCHAR) AS pk
+FROM orders JOIN drop_pick ON c_custkey = o_custkey JOIN one USING (incident_key)
+UNION ALL
+SELECT 'unique_stg_payments_payment_id', CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)
+FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
+)
 ORACLES["verify_rows"] = with_ctes(
     *fault_ctes(DROP_PICK, "broken_join_dropout.heavy_5pct"),
     select="""

@@ -172,6 +172,23 @@ def q_failing_pks_relationships(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def q_failing_pks_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys behind failures tables that were written out and read back, one per shape."""
+    raw, _ = fx.one_fault(spark, folder, "broken_join_dropout.heavy_5pct")
+    models = retail.staging(raw)
+    kinds = ("unique_stg_payments", "relationships_stg_orders", "accepted_values_stg_orders")
+    tests = [t for t in retail.TESTS if t.name.startswith(kinds)]
+    places = datatests.store_failures(models, tests, scratch_path(spark, "failures"))
+    parts = [
+        datatests.keys_from_failures(
+            spark.read.parquet(places[t.name]), models[t.model], retail.PK_MAP[t.model], t.column
+        ).select(F.lit(t.name).alias("test_name"), "pk")
+        for t in tests
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- data tests ------------------------------------------------------------------------
 
 

@@ -195,6 +195,52 @@ def failing_keys(
     return keys.select(*by, F.lit(test.name).alias("test_name"), "pk")
 
 
+def keys_from_failures(
+    failures: DataFrame, model: DataFrame, pk: str, column: str | None, cap: int | None = None
+) -> DataFrame:
+    """Primary keys (text) behind a stored failures table of any shape.
+
+    The first that fits: the key itself, a repeated value, a foreign key or the tested
+    column, the last two looked up in the model.  Other shapes name no rows.
+    """
+    if cap is not None:
+        failures = failures.limit(cap)
+    if pk in failures.columns:
+        keys = failures.select(text_key(pk).alias("pk"))
+    elif "unique_field" in failures.columns:
+        keys = failures.select(text_key("unique_field").alias("pk"))
+    else:
+        field = "from_field" if "from_field" in failures.columns else column
+        if not column or field not in failures.columns:
+            return model.select(text_key(pk).alias("pk")).filter(F.lit(False))
+        values = failures.select(F.col(field).alias(column)).distinct()
+        keys = model.join(values, column, "left_semi").select(text_key(pk).alias("pk"))
+    return keys.filter(F.col("pk").isNotNull())
+
+
+def failures_table(models: Mapping[str, DataFrame], test: DataTest) -> DataFrame:
+    """The failures of one test in the shape its kind stores."""
+    model = models[test.model]
+    if test.kind == "not_null":
+        return not_null_failures(model, test.column)
+    if test.kind == "unique":
+        return unique_failures(model, test.column)
+    if test.kind == "accepted_values":
+        return accepted_values_failures(model, test.column, test.accepted)
+    parent = models[test.parent_model]
+    return relationship_failures(model, test.column, parent, test.parent_column)
+
+
+def store_failures(
+    models: Mapping[str, DataFrame], tests: Sequence[DataTest], path: str
+) -> dict[str, str]:
+    """Write a failures table per test; the suite's length bounds the number of writes."""
+    places = {t.name: f"{path.rstrip('/')}/{t.name}" for t in tests}
+    for t in tests:
+        failures_table(models, t).write.mode("overwrite").parquet(places[t.name])
+    return places
+
+
 def all_failing_keys(
     models: Mapping[str, DataFrame],
     tests: Sequence[DataTest],

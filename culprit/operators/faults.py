@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,7 @@ CAUSE_OF_FAMILY = {
 }
 # -------------------------------------------------------------------------------------
 
+TAIL_DRAW = "tail"
 BUCKET_DIGITS = 4  # 65,536 hash buckets: the rank step sees a 65,536th of the keys
 
 
@@ -109,77 +111,109 @@ def trial_frame(spark: SparkSession, trials: Sequence[Trial], dataset: str) -> D
     return frame.withColumn("incident_key", key)
 
 
-def _trial_array(trials: Sequence[Trial], dataset: str, found: Mapping | None = None) -> Column:
-    """Trials, and their cuts once known, as a constant array of structs."""
+@dataclass(frozen=True)
+class Cut:
+    """The last chosen key of a trial; tail trials have no hash."""
+
+    hash: str | None
+    key: object
+    n_chosen: int
+
+
+def _trial_array(trials: Sequence[Trial], dataset: str, found: Mapping[str, Cut]) -> Column:
+    """Trials and their cuts as a constant array of structs."""
 
     def entry(t: Trial) -> Column:
         fields = {
             "incident_key": F.lit(t.key(dataset)),
             "seed": F.lit(t.seed),
-            "fraction": F.lit(t.pattern.fraction),
             "conditional": F.lit(t.pattern.conditional),
         }
-        if found is not None:
-            cut = found[t.key(dataset)]
-            fields["cut_hash"] = F.lit(cut.hash).cast("string")
-            fields["cut_key"] = F.lit(cut.key)
+        cut = found[t.key(dataset)]
+        fields["cut_hash"] = F.lit(cut.hash).cast("string")
+        fields["cut_key"] = F.lit(cut.key)
         return F.struct(*[c.alias(n) for n, c in fields.items()])
 
     return F.array(*[entry(t) for t in trials])
 
 
 def per_trial(
-    df: DataFrame, trials: Sequence[Trial], dataset: str, found: Mapping | None = None
+    df: DataFrame, trials: Sequence[Trial], dataset: str, found: Mapping[str, Cut]
 ) -> DataFrame:
     """Every row once per trial (a projection; nothing moves)."""
     spread = df.withColumn("_t", F.explode(_trial_array(trials, dataset, found)))
     return spread.select("*", "_t.*").drop("_t")
 
 
-def nth_keys(candidates: DataFrame, order: Column, bucket: Column) -> DataFrame:
+def nth_keys(
+    candidates: DataFrame, order: Column, bucket: Column, wanted: DataFrame
+) -> DataFrame:
     """Per trial the last chosen key: the n-th in `order`, n = max(1, floor(rows*fraction)).
 
+    Trials that draw from the same order share a `draw`, so keys are hashed and counted
+    once for all of them; `wanted` says which (draw, incident_key, fraction) to answer.
     `bucket` must grow with `order`.  Only the bucket that holds the n-th key is ranked,
     on keys counted beforehand, so neither many rows nor one hot key reach one task.
     Returns incident_key, n_chosen and cut (one row per trial).
     """
-    ranked = candidates.select(
-        "incident_key", "fraction", order.alias("key"), bucket.alias("bucket")
-    )
-    by_trial = Window.partitionBy("incident_key")
-    upto = by_trial.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = ranked.groupBy("incident_key", "fraction", "bucket").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    ranked = candidates.select("draw", order.alias("key"), bucket.alias("bucket"))
+    by_draw = Window.partitionBy("draw")
+    upto = by_draw.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = ranked.groupBy("draw", "bucket").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumns(
-        {
-            "reached": F.sum("n").over(upto),
-            "n_chosen": F.greatest(
-                F.lit(1), F.floor(F.sum("n").over(by_trial) * F.col("fraction"))
-            ),
-        }
+        {"reached": F.sum("n").over(upto), "total": F.sum("n").over(by_draw)}
     )
-    # Exactly one bucket per trial reaches n, so this side has as many rows as trials.
-    cut_bucket = sizes.filter(
-        (F.col("reached") >= F.col("n_chosen"))
-        & (F.col("reached") - F.col("n") < F.col("n_chosen"))
+    # `wanted` has one row per trial, and exactly one bucket per trial reaches its n:
+    # both broadcast sides are as long as the trial list.
+    met = sizes.join(F.broadcast(wanted), "draw").withColumn(
+        "n_chosen", F.greatest(F.lit(1), F.floor(F.col("total") * F.col("fraction")))
+    )
+    before = F.col("reached") - F.col("n")
+    cut_bucket = met.filter(
+        (F.col("reached") >= F.col("n_chosen")) & (before < F.col("n_chosen"))
     ).select(
-        "incident_key",
-        "bucket",
-        "n_chosen",
-        (F.col("n_chosen") - F.col("reached") + F.col("n")).alias("still"),
+        "draw", "bucket", "incident_key", "n_chosen", (F.col("n_chosen") - before).alias("still")
     )
     inside = (
-        ranked.join(F.broadcast(cut_bucket), ["incident_key", "bucket"])
+        ranked.join(F.broadcast(cut_bucket), ["draw", "bucket"])
         .groupBy("incident_key", "n_chosen", "still", "key")
         .agg(F.count(F.lit(1)).alias("m"))
     )
-    upto_key = by_trial.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    upto_key = (
+        Window.partitionBy("incident_key")
+        .orderBy("key")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     inside = inside.withColumn("reached", F.sum("m").over(upto_key))
     enough = inside.filter(F.col("reached") >= F.col("still"))
     return enough.groupBy("incident_key", "n_chosen").agg(F.min("key").alias("cut"))
 
 
+def _draw_name(seed: int, conditional: bool) -> str:
+    return f"{seed}/{'some' if conditional else 'all'}"
+
+
+def _draw_struct(seed: int, conditional: bool) -> Column:
+    return F.struct(
+        F.lit(_draw_name(seed, conditional)).alias("draw"),
+        F.lit(seed).alias("seed"),
+        F.lit(conditional).alias("conditional"),
+    )
+
+
+def _wanted(spark: SparkSession, trials: Sequence[Trial], dataset: str) -> DataFrame:
+    """(draw, incident_key, fraction) of the trials."""
+    rows = [
+        (
+            TAIL_DRAW if t.pattern.tail else _draw_name(t.seed, t.pattern.conditional),
+            t.key(dataset),
+            t.pattern.fraction,
+        )
+        for t in trials
+    ]
+    return constant_frame(spark, rows, record(draw=TEXT, incident_key=TEXT, fraction=REAL))
+
+
 def _hash_order(pk: str) -> Column:
     return F.struct(sample_hash(F.col(pk), F.col("seed")).alias("h"), F.col(pk).alias("k"))
 
@@ -197,15 +231,6 @@ def _tail_edges(keys: DataFrame, pk: str, fractions: Sequence[float]) -> Column:
     return keys.agg(F.percentile_approx(F.col(pk), levels, F.lit(10_000))).scalar()
 
 
-@dataclass(frozen=True)
-class Cut:
-    """The last chosen key of a trial; tail trials have no hash."""
-
-    hash: str | None
-    key: object
-    n_chosen: int
-
-
 def find_cuts(
     candidates: DataFrame, pk: str, trials: Sequence[Trial], dataset: str
 ) -> dict[str, Cut]:
@@ -213,32 +238,37 @@ def find_cuts(
 
     Candidates carry `_eligible`, which conditional patterns ask for.
     """
+    spark = candidates.sparkSession
+    keys = candidates.select(pk, "_eligible").filter(F.col(pk).isNotNull())
     sampled = [t for t in trials if not t.pattern.tail]
     tails = [t for t in trials if t.pattern.tail]
-    keys = candidates.select(pk, "_eligible").filter(F.col(pk).isNotNull())
-    eligible = ~F.col("conditional") | F.col("_eligible")
-    found: dict[str, Cut] = {}
+    answers: list[DataFrame] = []
     if sampled:
-        spread = per_trial(keys, sampled, dataset).filter(eligible)
+        draws = sorted({(t.seed, t.pattern.conditional) for t in sampled})
+        spread = keys.withColumn("_d", F.explode(F.array(*[_draw_struct(*d) for d in draws])))
+        spread = spread.select("*", "_d.*").filter(~F.col("conditional") | F.col("_eligible"))
         order = _hash_order(pk)
         bucket = F.substring(order["h"], 1, BUCKET_DIGITS)
-        for row in nth_keys(spread, order, bucket).collect():
-            found[row["incident_key"]] = Cut(row["cut"]["h"], row["cut"]["k"], row["n_chosen"])
+        found = nth_keys(spread, order, bucket, _wanted(spark, sampled, dataset))
+        answers.append(found.select("incident_key", "n_chosen", "cut.h", "cut.k"))
     if tails:
         if not is_numeric(candidates.schema[pk].dataType):
             raise TypeError("tail patterns need a numeric key")
         edges = _tail_edges(keys, pk, sorted({t.pattern.fraction for t in tails}))
         above = F.size(F.filter("_edges", lambda e: e >= F.col(pk)))
-        marked = keys.withColumn("_edges", edges).withColumn("_b", above).drop("_edges")
+        marked = keys.withColumn("_edges", edges).withColumn("_b", above)
         # A tail does not depend on the seed: one trial per pattern answers for all.
-        firsts = list({t.pattern: t for t in tails}.values())
-        spread = per_trial(marked, firsts, dataset).filter(eligible)
-        ends = {
-            row["incident_key"]: Cut(None, -row["cut"], row["n_chosen"])
-            for row in nth_keys(spread, -F.col(pk), F.col("_b")).collect()
-        }
-        by_pattern = {t.pattern: ends[t.key(dataset)] for t in firsts if t.key(dataset) in ends}
-        found |= {t.key(dataset): by_pattern[t.pattern] for t in tails if t.pattern in by_pattern}
+        firsts = [next(t for t in tails if t.pattern == p) for p in {t.pattern for t in tails}]
+        spread = marked.withColumn("draw", F.lit(TAIL_DRAW))
+        found = nth_keys(spread, -F.col(pk), F.col("_b"), _wanted(spark, firsts, dataset))
+        no_hash = F.lit(None).cast("string").alias("h")
+        answers.append(found.select("incident_key", "n_chosen", no_hash, (-F.col("cut")).alias("k")))
+    rows = reduce(DataFrame.unionByName, answers).collect()
+    found = {r["incident_key"]: Cut(r["h"], r["k"], r["n_chosen"]) for r in rows}
+    for t in tails:
+        first = next(u for u in tails if u.pattern == t.pattern).key(dataset)
+        if first in found:
+            found[t.key(dataset)] = found[first]
     missing = [t.pattern.pattern_id for t in trials if t.key(dataset) not in found]
     if missing:
         raise ValueError(f"no candidate rows for {missing}")
@@ -254,7 +284,7 @@ def _is_chosen(pk: str) -> Column:
     return F.coalesce(chosen & (~F.col("conditional") | F.col("_eligible")), F.lit(False))
 
 
-HELPERS = ("seed", "fraction", "conditional", "cut_hash", "cut_key", "_eligible")
+HELPERS = ("seed", "conditional", "cut_hash", "cut_key", "_eligible")
 
 
 def _with_choice(

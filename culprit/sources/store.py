@@ -85,16 +85,20 @@ def set_labels(current: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class IncidentStore:
-    """Incidents below `path`; every method but `save`, `delete` and `label` is lazy."""
+    """Incidents (or ground truths) below `path`, partitioned by date.
+
+    Every method but `save`, `save_rows`, `delete` and `label` is lazy.
+    """
 
     def __init__(self, spark: SparkSession, path: str, table: str = "incidents") -> None:
         self.spark = spark
         self.path = f"{path.rstrip('/')}/{table}"
         self.key = "incident_id" if table == "incidents" else "incident_key"
+        self.moment = "created_at" if table == "incidents" else "injected_at"
 
     def _log(self) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.path)
+            return self.spark.read.parquet(self.path).drop("_date")
         except AnalysisException:
             return None
 
@@ -105,8 +109,14 @@ class IncidentStore:
 
     def _append(self, rows: DataFrame, change: str, version: int | None) -> None:
         number = self._next() if version is None else version
-        stamped = rows.withColumns({"_version": F.lit(number).cast("bigint"), "_change": F.lit(change)})
-        stamped.write.mode("append").parquet(self.path)
+        stamped = rows.withColumns(
+            {
+                "_version": F.lit(number).cast("bigint"),
+                "_change": F.lit(change),
+                "_date": F.to_date(self.moment),
+            }
+        )
+        stamped.write.mode("append").partitionBy("_date").parquet(self.path)
 
     def save_rows(self, rows: DataFrame, version: int | None = None) -> None:
         self._append(rows, PUT, version)

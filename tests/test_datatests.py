@@ -5,6 +5,8 @@ from culprit.operators.datatests import (
     DataTest,
     accepted_values_failures,
     failing_keys,
+    failures_table,
+    keys_from_failures,
     not_null_failures,
     relationship_failures,
     run_tests,
@@ -58,6 +60,19 @@ def test_keys_by_shape(models):
     assert failing_keys(models, TESTS[2], "id", cap=1).count() == 1
 
 
+def test_keys_from_stored_failures(spark, models):
+    orders = models["stg_orders"]
+    want = [["2"], ["2"], ["2", "4"], []]
+    for test, keys in zip(TESTS, want):
+        stored = failures_table(models, test)
+        got = [pk for (pk,) in rows(keys_from_failures(stored, orders, "id", test.column))]
+        assert got == keys, test.name
+    tested_column = spark.sql("SELECT 9 AS cust")
+    assert keys_from_failures(tested_column, orders, "id", "cust").count() == 2
+    assert keys_from_failures(failures_table(models, TESTS[2]), orders, "id", None).count() == 0
+    assert keys_from_failures(failures_table(models, TESTS[1]), orders, "id", "id", cap=0).count() == 0
+
+
 def test_groups_on_either_side(spark, models):
     child = models["stg_orders"].crossJoin(spark.sql("SELECT * FROM VALUES ('x'),('y') t(g)"))
     split_child = run_tests({**models, "stg_orders": child}, TESTS[:3], by=["g"])

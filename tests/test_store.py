@@ -92,6 +92,10 @@ def test_truth_files(spark, tmp_path):
     (tmp_path / "labels" / "blank.json").write_text("\n\n")
     labels, back = jsonl.read_truths(spark, str(tmp_path))
     assert rows(labels) == rows(truths) and rows(back) == rows(keys)
+    kept = store.IncidentStore(spark, str(tmp_path), "ground_truths")
+    kept.save_rows(truths)
+    kept.save_rows(truths.withColumn("notes", F.lit("seen")))
+    assert [r.notes for r in kept.current().collect()] == ["seen"]
 
 
 def test_report_and_seed_files(spark, tmp_path):
