@@ -17,7 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culprit.functions.dtypes import first_temporal, norm_dtype
-from culprit.operators.probes import column_facts, dupe_extra_rows, lag_seconds, orphan_keys
+from culprit.operators.probes import (
+    column_facts,
+    counting_key,
+    dupe_extra_rows,
+    lag_seconds,
+    orphan_keys,
+)
 from culprit.schemas import (
     EVIDENCE_DEFAULTS,
     EVIDENCE_FIELDS,
@@ -69,9 +75,9 @@ def _latest(df: DataFrame) -> Column:
     return (F.max(ts) if ts else F.lit(None)).cast("timestamp_ntz")
 
 
-def _extra_rows(pk: str) -> Column:
+def _extra_rows(df: DataFrame, pk: str) -> Column:
     """Rows beyond the first of each key; a null key is a key like any other."""
-    return F.count(F.lit(1)) - F.count_distinct(F.struct(pk))
+    return F.count(F.lit(1)) - F.count_distinct(F.struct(counting_key(df, pk)))
 
 
 # The facts a partial result may bring, with the type they are folded in.
@@ -122,7 +128,7 @@ def blame_scan(
     for t in targets:
         facts = {"blame_row_count": "n", "blame_latest": "latest"}
         if t.blame_pk_column in df.columns:
-            aggs[f"extra_{t.blame_pk_column}"] = _extra_rows(t.blame_pk_column)
+            aggs[f"extra_{t.blame_pk_column}"] = _extra_rows(df, t.blame_pk_column)
             facts["blame_pk_dupe_count"] = f"`extra_{t.blame_pk_column}`"
         if t.blame_column in df.columns:
             got = {}
@@ -152,7 +158,7 @@ def parent_scan(df: DataFrame, targets: Sequence[Target], by: Sequence[str]) ->
         facts = {"parent_row_count": "n", "parent_latest": "latest"}
         if t.parent_pk_column in df.columns:
             pk = t.parent_pk_column
-            aggs[f"extra_{pk}"] = _extra_rows(pk)
+            aggs[f"extra_{pk}"] = _extra_rows(df, pk)
             aggs[f"null_{pk}"] = F.max(F.col(pk).isNull())
             facts["parent_pk_dupe_count"] = f"`extra_{pk}`"
             facts["parent_has_null"] = f"`null_{pk}`"

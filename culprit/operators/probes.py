@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from culprit.functions.dtypes import is_numeric, is_text
-from culprit.functions.keys import joined_text, ntz
+from culprit.functions.keys import compact_text, joined_text, ntz
 
 # --- fixed values: what counts as a number written as text -----------------------
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
@@ -41,6 +41,12 @@ def column_dtypes(df: DataFrame, table: str) -> list[tuple[str, str, str]]:
     return [(table, f.name, f.dataType.simpleString()) for f in df.schema]
 
 
+def counting_key(df: DataFrame, column: str) -> Column:
+    """What to group by when only the number of groups matters."""
+    col = F.col(column)
+    return compact_text(col) if is_text(df.schema[column].dataType) else col
+
+
 def distinct_count(column: Column, mode: str) -> Column:
     if mode == "approx":
         return F.approx_count_distinct(column)
@@ -62,7 +68,7 @@ def column_facts(df: DataFrame, column: str, distinct: str = "exact") -> dict[st
     zero = F.lit(0.0)
     facts = {
         "null_count": F.count_if(col.isNull()),
-        "distinct_count": distinct_count(col, distinct),
+        "distinct_count": distinct_count(counting_key(df, column), distinct),
         "int_ratio": zero,
         "float_ratio": zero,
         "mean": zero,
@@ -157,7 +163,15 @@ def dupe_extra_rows(
     limit: int | None = None,
 ) -> DataFrame:
     """Rows beyond the first of each key: exact, or over the `limit` largest keys."""
-    repeated = dupe_keys(df, keys, by=by, limit=limit)
+    if limit is None:
+        if not keys:
+            raise ValueError("at least one key column is needed")
+        require_columns(df, keys)
+        named = [counting_key(df, k).alias(f"key_{k}") for k in keys]
+        counted = df.groupBy(*by, *named).agg(F.count(F.lit(1)).alias("n_rows"))
+        repeated = counted.filter(F.col("n_rows") > 1)
+    else:
+        repeated = dupe_keys(df, keys, by=by, limit=limit)
     return repeated.groupBy(*by).agg(
         F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).alias("extra_rows"),
         F.count(F.lit(1)).alias("dupe_keys"),

@@ -37,6 +37,18 @@ def test_composite_and_null_keys(spark):
     assert probes.dupe_extra_rows(df, ["u", "d"]).first().extra_rows == 2
 
 
+def test_long_texts_count_whole(spark):
+    """Texts that differ only at their end, and a short text that looks like a digest."""
+    df = spark.sql(
+        "SELECT concat(repeat('x', 5000), v) AS t FROM VALUES ('a'),('b'),('b') s(v) "
+        "UNION ALL SELECT sha2(concat(repeat('x', 5000), 'a'), 256) UNION ALL SELECT NULL "
+        "UNION ALL SELECT NULL"
+    )
+    got = probes.profile_columns(df, ["t"], "t").first()
+    assert (got.distinct_count, got.null_count) == (3, 2)
+    assert probes.dupe_extra_rows(df, ["t"]).first().extra_rows == 2
+
+
 def test_limit_keeps_the_most_frequent(spark):
     df = spark.range(10).select((F.col("id") % 4).alias("k"))
     assert rows(probes.dupe_keys(df, ["k"], limit=2)) == [("0", 3), ("1", 3)]
