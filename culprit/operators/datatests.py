@@ -239,17 +239,3 @@ def store_failures(
     for t in tests:
         failures_table(models, t).write.mode("overwrite").parquet(places[t.name])
     return places
-
-
-def all_failing_keys(
-    models: Mapping[str, DataFrame],
-    tests: Sequence[DataTest],
-    pk_map: Mapping[str, str],
-    *,
-    by: Sequence[str] = (),
-    groups: Sequence[str] | None = None,
-) -> DataFrame:
-    parts = [
-        failing_keys(models, t, pk_map.get(t.model, "id"), by=by, groups=groups) for t in tests
-    ]
-    return reduce(DataFrame.unionByName, parts)

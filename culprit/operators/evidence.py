@@ -218,6 +218,8 @@ def assemble_evidence(
     (target, expected_dtype, expected_mean, expected_stddev, and optionally the `by`
     columns) overrides the expectations in the targets.
     """
+    if dupe_limit is not None and by:
+        raise ValueError("dupe_limit is for whole tables, not for groups")
     spark = next(iter(tables.values())).sparkSession
     parts: list[DataFrame] = []
 
@@ -256,7 +258,7 @@ def assemble_evidence(
                 keep(counted.select(*cols, _per_target({t.key: {"orphan_rows": "c"}})))
         if dupe_limit is not None and t.blame_model in tables:
             table = tables[t.blame_model]
-            if t.blame_pk_column in table.columns and not by:
+            if t.blame_pk_column in table.columns:
                 top = dupe_extra_rows(table, [t.blame_pk_column], limit=dupe_limit)
                 keep(top.select(_per_target({t.key: {"blame_pk_dupe_count": "extra_rows"}})))
 
