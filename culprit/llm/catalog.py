@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culprit.llm.exact_dedup import exact_dedup
 from culprit.llm.line_dedup import line_dedup, page_text, url_host
 from culprit.llm.mixing import mix, prose_weight
+from culprit.llm.piece_codec import encode_pieces
+from culprit.llm.quality import COUNTS, fit_quality, quality_rules
 from culprit.llm.secret_scan import BASE_RULES, scan_secrets, span_text
 from culprit.llm.sharding import checked, interleave
 from culprit.llm.shared import settled, word_count
+from culprit.llm.token_counts import token_counts
 from culprit.llm.warc import round_trip
 
 
@@ -47,6 +51,17 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -63,6 +78,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, crc = checked(_read(spark, sf_dir, "documents"))
     docs = settled(
@@ -83,15 +104,24 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, _read(spark, sf_dir, "labels"))
+    return quality_rules(docs, model).select("doc_id", *COUNTS, "base_failed", "kept", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op2_secret_scans,
         op3_source_mixing,
+        op4_sentencepiece,
         op5_warc,
         op6_line_dedup,
         op7_exact_dedup,
+        op8_token_counts,
         op9_sharding,
+        op10_quality_rules,
     )
 }
 
