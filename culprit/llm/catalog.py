@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from culprit.llm.exact_dedup import exact_dedup
 from culprit.llm.line_dedup import line_dedup, page_text, url_host
 from culprit.llm.mixing import mix, prose_weight
+from culprit.llm.ngram_join import ngram_join
 from culprit.llm.piece_codec import encode_pieces
 from culprit.llm.quality import COUNTS, fit_quality, quality_rules
 from culprit.llm.secret_scan import BASE_RULES, scan_secrets, span_text
@@ -26,6 +27,10 @@ def _is(kind: str):
     return lambda finding: finding["kind"] == kind
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found, _ = scan_secrets(docs)
@@ -113,6 +118,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_ngram_join,
         op2_secret_scans,
         op3_source_mixing,
         op4_sentencepiece,
