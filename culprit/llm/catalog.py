@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from culprit.llm.exact_dedup import exact_dedup
 from culprit.llm.line_dedup import line_dedup, page_text, url_host
 from culprit.llm.mixing import mix, prose_weight
+from culprit.llm.oracles import ORACLES as ORACLES
 from culprit.llm.ngram_join import ngram_join
 from culprit.llm.piece_codec import encode_pieces
 from culprit.llm.quality import COUNTS, fit_quality, quality_rules
@@ -130,5 +131,3 @@ QUERIES = {
         op10_quality_rules,
     )
 }
-
-ORACLES: dict[str, str] = {}

@@ -14,7 +14,7 @@ LEAST_PAGES = 3
 
 # Markup at which a page's text breaks into lines, and markup without text.
 UNSEEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-BREAK = r"(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr|table|nav|article|footer|header|section|title|head|body|html)(\s[^>]*)?/?>"
+BREAK = r"(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr|table|nav|article|footer|header|section|title|head|body|html)([\x20\x09-\x0D][^>]*)?/?>"
 TAG = r"<[^>]*>"
 
 
@@ -31,7 +31,7 @@ def url_host(url: Column) -> Column:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
 
 
 def _digest(line: Column) -> Column:

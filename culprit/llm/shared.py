@@ -58,9 +58,10 @@ def word_count(text: Column) -> Column:
 
 
 def unit_interval(*parts: Column) -> Column:
-    """A number in (0, 1) that depends on the given columns only."""
-    top = F.shiftrightunsigned(F.xxhash64(*parts), 11)
-    return (top.cast("double") + F.lit(0.5)) / F.lit(float(2**53))
+    """A number in (0, 1) that depends on the given columns only; any engine can make it."""
+    told = F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    top = F.conv(F.substring(F.md5(told), 1, 13), 16, 10)
+    return (top.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
 def running_sum(
