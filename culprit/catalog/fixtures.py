@@ -21,7 +21,6 @@ from culprit.schemas import EVIDENCE_DEFAULTS
 
 OBSERVED_AT = "2001-11-04 01:00:00"
 EVENTS_OBSERVED_AT = "2024-02-01 00:00:00"
-SETTLED_BELOW = 498000.0
 LINE_TEST = "relationships_stg_lines_order_ref__o_orderkey__ref_settled_orders_"
 
 
@@ -56,8 +55,12 @@ def feed_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def settled_orders(spark: SparkSession, folder: str) -> DataFrame:
-    orders = read(spark, folder, "orders").filter(F.col("o_totalprice") < SETTLED_BELOW)
-    return orders.select("o_orderkey", "o_orderdate")
+    """All orders; one in 256, by the hash of its key, still has a provisional key."""
+    provisional = F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 2) == "00"
+    return read(spark, folder, "orders").select(
+        F.when(provisional, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("o_orderkey"),
+        "o_orderdate",
+    )
 
 
 LINE_TARGET = Target(
@@ -253,7 +256,7 @@ def artifacts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         result("test.retail.unique_stg_lines_line_key.b2", failed("dupes", "warn")),
         result("test.retail.relationships_stg_lines.c3", failed("orphans", "error")),
         result(
-            "test.retail.unlisted.d4", F.when(F.col("n_rows") > 600, "fail").otherwise("pass")
+            "test.retail.unlisted.d4", F.when(F.col("n_rows") % 2 == 1, "fail").otherwise("pass")
         ),
     )
     run_id = F.concat(F.lit("run_"), feed_text)
@@ -297,21 +300,15 @@ def one_fault(
     return {**raw, target.table: faulted.drop("incident_key")}, truth
 
 
-_RUNS: dict[tuple[str, str, str], SuiteRun] = {}
-
-
-def suite(spark: SparkSession, folder: str, name: str = "smoke") -> SuiteRun:
-    """The labelled suite; one run per session and folder serves all score queries.
+def suite(spark: SparkSession, folder: str) -> SuiteRun:
+    """The whole labelled suite.
 
     A millisecond per failing row stands in for the clock, so the figure can be checked.
     """
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _RUNS:
-        _RUNS[key] = run_suite(
-            spark,
-            retail.sources(spark, folder),
-            name,
-            at=F.lit(FAULTS_AT),
-            latency=F.col("failing_row_count") / 1000,
-        )
-    return _RUNS[key]
+    return run_suite(
+        spark,
+        retail.sources(spark, folder),
+        "full",
+        at=F.lit(FAULTS_AT),
+        latency=F.col("failing_row_count") / 1000,
+    )

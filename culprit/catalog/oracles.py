@@ -6,7 +6,6 @@ from culprit.catalog.fixtures import (
     EVENTS_OBSERVED_AT,
     LINE_TEST,
     OBSERVED_AT,
-    SETTLED_BELOW,
 )
 
 ORACLES: dict[str, str] = {}
@@ -24,7 +23,9 @@ feed_lines AS (
          CASE WHEN NOT (l_discount = 0 AND l_tax = 0) THEN l_orderkey END AS order_ref,
          l_shipdate AS ship_ts
   FROM lineitem),
-settled AS (SELECT o_orderkey, o_orderdate FROM orders WHERE o_totalprice < {SETTLED_BELOW})
+settled AS (
+  SELECT CASE WHEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 2) = '00' THEN -o_orderkey
+              ELSE o_orderkey END AS o_orderkey, o_orderdate FROM orders)
 """
 FEED_EVIDENCE = (
     FEED
@@ -276,7 +277,7 @@ failing AS (
   FROM line_evidence WHERE orphan_fk_count > 0
   UNION ALL
   SELECT 'run_' || feed_id, 'd4', 'unknown', '?', NULL, NULL, NULL, ''
-  FROM line_evidence WHERE blame_row_count > 600)
+  FROM line_evidence WHERE blame_row_count % 2 = 1)
 """
 )
 ORACLES["failing_tests"] = with_ctes(FAILED, select="SELECT * FROM failing")
@@ -285,7 +286,7 @@ ORACLES["run_totals"] = with_ctes(
     select="""
 SELECT 'run_' || feed_id AS run_id,
        CAST(blame_null_rate > 0 AS BIGINT) + CAST(blame_pk_dupe_count > 0 AS BIGINT)
-         + CAST(orphan_fk_count > 0 AS BIGINT) + CAST(blame_row_count > 600 AS BIGINT) AS failed,
+         + CAST(orphan_fk_count > 0 AS BIGINT) + CAST(blame_row_count % 2 = 1 AS BIGINT) AS failed,
        4 - failed AS passed
 FROM line_evidence""",
 )
@@ -328,6 +329,12 @@ SELECT run_id, test_name, model FROM (
     CASE WHEN starts_with(model, 'stg_') THEN 0 ELSE 1 END, model, test_name) AS rn FROM failing)
 WHERE rn = 1
 """
+ORACLES["choose_exact_test"] = with_ctes(
+    FAILED,
+    select="""
+SELECT 'exact' AS asked, run_id, test_name, model FROM failing
+WHERE test_name = 'unique_stg_lines_line_key'""",
+)
 ORACLES["choose_test"] = with_ctes(FAILED, select=_CHOOSE.format(first=""))
 ORACLES["choose_named_test"] = with_ctes(
     FAILED,
@@ -496,7 +503,7 @@ SELECT doc_id, substr(sha256(source || '|' || lang || '|' || doc_id), 1, 16) AS
 FROM documents
 """
 _SUITE = (
-    TRIALS.format(seeds=2),
+    TRIALS.format(seeds=5),
     NULL_PICK,
     DUPE_PICK,
     DROP_PICK,
@@ -560,7 +567,7 @@ SELECT * REPLACE (CASE WHEN cause_class = 'upstream_null_spike' THEN 'checked' E
        AS notes) FROM truths JOIN truth_sizes USING (incident_key)""",
 )
 ORACLES["stealth_faults"] = with_ctes(
-    TRIALS.format(seeds=2),
+    TRIALS.format(seeds=5),
     select="""
 SELECT substr(sha256('retail_dates|' || pattern_id || '|' || seed), 1, 16) AS incident_key,
        pattern_id, CAST(seed AS INTEGER) AS seed
@@ -605,8 +612,8 @@ FROM said""",
 )
 
 ORACLES["fault_supply_targets"] = with_ctes(
-    TRIALS.format(seeds=2).replace("retail|", "supply|"),
-    pick("null_pick", "null_spike", "lineitem", "l_orderkey"),
+    TRIALS.format(seeds=5).replace("retail|", "supply|"),
+    pick("null_pick", "null_spike", "lineitem", "l_orderkey", "s.l_returnflag = 'R'"),
     DUPE_PICK,
     "used AS (SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem)),"
     + pick("drop_pick", "broken_join_dropout", "used", "s_suppkey"),
@@ -617,7 +624,7 @@ hit AS (
   SELECT incident_key, l_orderkey FROM drop_pick JOIN lineitem ON l_suppkey = s_suppkey)""",
     select="""
 SELECT incident_key, count(DISTINCT k) AS n_keys FROM hit JOIN trials USING (incident_key)
-WHERE NOT conditional GROUP BY incident_key""",
+GROUP BY incident_key""",
 )
 
 # --- baselines ----------------------------------------------------------------------------
@@ -743,11 +750,21 @@ ORACLES["test_suite_results"] = _suite_sql()
 # --- probes -------------------------------------------------------------------------------
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-           "documents", "labels")
+           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 ORACLES["probe_row_count"] = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in _TABLES
 )
 _TYPED = {
+    "region": ("r_regionkey", "r_name"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"),
+    "embeddings": ("vec_id", "embedding", "label"),
+    "pages": ("page_id", "url", "html"),
+    "benchmark": ("item_id", "text"),
+    "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role", "text"),
     "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
     "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
                "o_orderpriority"),
@@ -765,7 +782,7 @@ _TYPES_CTE = (
         for c in columns
     )
     + "), kinds AS (SELECT *, CASE WHEN declared = 'VARCHAR' THEN 'STRING' "
-    "WHEN declared LIKE '%INT%' THEN 'INT' WHEN declared = 'DOUBLE' THEN 'FLOAT' "
+    "WHEN declared LIKE '%INT%' THEN 'INT' WHEN declared LIKE 'DOUBLE%' OR declared LIKE 'FLOAT%' THEN 'FLOAT' "
     "ELSE 'TIMESTAMP_NTZ' END AS dtype FROM typed)"
 )
 ORACLES["probe_column_dtype"] = with_ctes(
@@ -796,7 +813,7 @@ ORACLES["probe_column_stats"] = with_ctes(
 )
 ORACLES["probe_dupe_keys"] = """
 SELECT CAST(l_orderkey AS VARCHAR) AS key_text, count(*) AS n_rows FROM lineitem
-GROUP BY l_orderkey HAVING count(*) > 1 ORDER BY count(*) DESC, l_orderkey LIMIT 50
+GROUP BY l_orderkey HAVING count(*) > 1
 """
 ORACLES["probe_dupe_composite"] = """
 SELECT l_orderkey || '|' || l_linenumber AS key_text, count(*) AS n_rows FROM lineitem
@@ -889,6 +906,8 @@ ORACLES["evidence_fleet"] = with_ctes(
             _fleet("documents_label", "documents", "doc_id", "doc_id", "labels", "doc_id"),
             _fleet("documents_text", "documents", "text", "text"),
             _fleet("documents_gone", "documents", None, "doc_id"),
+            "SELECT 'table_gone', 0, 0e0, 0e0, 0, count(*) > count(DISTINCT doc_id), 0, count(*) FROM labels",
+            "SELECT 'back\\slash''s', 0, 0e0, 0e0, 0, FALSE, 0, -1",
         ]
     ),
 )
@@ -948,7 +967,7 @@ suspects AS (
               WHEN '3' THEN 'customer_lifetime_value' WHEN '4' THEN 'customer_id'
               WHEN '5' THEN 'o_custkey' ELSE 'any' END AS column_name,
          o_orderkey
-  FROM orders WHERE o_orderstatus <> 'F'),
+  FROM orders),
 counted AS (SELECT model, column_name, count(*) AS n_rows FROM suspects GROUP BY 1, 2),
 steps AS (
   SELECT model, column_name, model AS at_model, column_name AS at_column, 0 AS hops,
@@ -1098,10 +1117,18 @@ ORACLES["incident_by_id"] = with_ctes(
     STORED,
     select="SELECT * FROM stored ORDER BY failing_row_count DESC, incident_id DESC LIMIT 1",
 )
+ORACLES["incident_store_lifecycle"] = with_ctes(
+    STORED,
+    select="""
+SELECT * REPLACE (
+  CASE WHEN failing_row_count % 2 = 1 THEN 0.5e0 ELSE 0e0 END AS token_cost_usd,
+  CASE WHEN failing_row_count % 2 = 1 OR failing_row_count % 6 = 0 THEN 'none'
+       ELSE coalesce(final_cause_class, 'none') END AS human_label)
+FROM stored WHERE failing_row_count % 3 <> 0 OR failing_row_count % 6 = 0""",
+)
 ORACLES["incident_list"] = with_ctes(
     STORED,
-    select="""SELECT * FROM stored WHERE verdict_type = 'two_candidate'
-ORDER BY created_at DESC, incident_id LIMIT 20""",
+    select="SELECT * FROM stored WHERE verdict_type = 'two_candidate'",
 )
 ORACLES["incident_delete"] = with_ctes(
     STORED,
@@ -1189,6 +1216,15 @@ FROM feed_lines WHERE order_ref IS NOT NULL GROUP BY feed_id
 UNION ALL
 SELECT 'fill', feed_id, count(*), min(coalesce(order_ref, -1)) FROM feed_lines GROUP BY feed_id""",
 )
+ORACLES["repair_duplicates_nulls"] = with_ctes(
+    FEED,
+    select="""
+SELECT feed_id, ship_ts, order_text, line_key FROM (
+  SELECT feed_id, ship_ts, CAST(order_ref AS VARCHAR) AS order_text, line_key,
+         row_number() OVER (PARTITION BY feed_id, ship_ts
+           ORDER BY CAST(order_ref AS VARCHAR) DESC NULLS LAST, line_key) AS rn
+  FROM feed_lines) WHERE rn = 1""",
+)
 ORACLES["repair_duplicates"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
@@ -1227,9 +1263,9 @@ pairs AS (
               THEN 'late_arriving' ELSE 'duplicate_ingestion' END AS true_class
   FROM evidence JOIN top USING (incident) JOIN supplier ON s_suppkey = feed_id),
 cheap AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS k, l_orderkey || '-' || l_linenumber AS pk
-          FROM lineitem WHERE l_extendedprice < 20000),
+          FROM lineitem WHERE l_returnflag <> 'N'),
 late AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS k, l_orderkey || '-' || l_linenumber AS pk
-         FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01'),
+         FROM lineitem WHERE l_linestatus = 'F'),
 sizes AS (
   SELECT incident_key, (SELECT count(*) FROM cheap WHERE k = incident_key) AS n_said,
          (SELECT count(*) FROM late WHERE k = incident_key) AS n_true,

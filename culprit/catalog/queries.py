@@ -142,6 +142,23 @@ def q_choose_named_test(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.select("run_id", "test_name", "model")
 
 
+@query
+def q_choose_exact_test(spark: SparkSession, folder: str) -> DataFrame:
+    """The longer name sorts first, the exact one is chosen; no such test, no row."""
+    failing = artifacts.failing_tests(*fx.artifacts(spark, folder))
+    name = "unique_stg_lines_line_key"
+    longer = failing.filter(F.col("test_name") == name).select(
+        *[F.concat(F.col(c), F.lit("_a")).alias(c) if c == "test_name"
+          else F.lit("a").alias(c) if c == "model" else c for c in failing.columns]
+    )
+    both = failing.unionByName(longer)
+    exact = choose_test(both, ["run_id"], name, strict=True).withColumn("asked", F.lit("exact"))
+    absent = choose_test(both, ["run_id"], "no_such_test", strict=True).withColumn(
+        "asked", F.lit("absent")
+    )
+    return exact.unionByName(absent).select("asked", "run_id", "test_name", "model")
+
+
 # --- failing keys ----------------------------------------------------------------------
 
 
@@ -255,7 +272,7 @@ def q_mart_customers(spark: SparkSession, folder: str) -> DataFrame:
 # --- probes ----------------------------------------------------------------------------
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "labels")
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query
@@ -270,7 +287,7 @@ def q_probe_row_count(spark: SparkSession, folder: str) -> DataFrame:
 def _typed_columns(spark: SparkSession, folder: str) -> DataFrame:
     """Column types with the number of filled rows behind each, one scan per table."""
     parts = []
-    for table in ("customer", "orders", "lineitem", "events"):
+    for table in TABLES:
         df = fx.read(spark, folder, table)
         types = probes.column_dtypes(df, table)
         filled = df.agg(*[F.count(c).alias(c) for _, c, _ in types])
@@ -322,8 +339,7 @@ def q_probe_column_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def q_probe_dupe_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """The 50 most frequent repeated order keys (the report's top-k)."""
-    return probes.dupe_keys(fx.read(spark, folder, "lineitem"), ["l_orderkey"], limit=50)
+    return probes.dupe_keys(fx.read(spark, folder, "lineitem"), ["l_orderkey"])
 
 
 @query
@@ -366,7 +382,7 @@ def q_probe_dtype_distribution(spark: SparkSession, folder: str) -> DataFrame:
 def q_probe_numeric_moments(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
     profile = probes.profile_columns(
-        fx.read(spark, folder, "lineitem"), columns, "lineitem", distinct="approx"
+        fx.read(spark, folder, "lineitem"), columns, "lineitem", wanted=["mean", "stddev"]
     )
     return fx.rounded(profile.select("column_name", "mean", "stddev"), 4)
 
@@ -408,12 +424,14 @@ FLEET = (
            "doc_id", "labels", "doc_id"),
     Target("documents_text", "unique", "stg_documents", "text", "documents", "text", "text"),
     Target("documents_gone", "not_null", "stg_documents", "gone", "documents", "gone", "doc_id"),
+    Target("table_gone", "relationships", "stg_gone", "key", "gone", "key", "key", "labels", "doc_id"),
+    Target("back\\slash's", "not_null", "stg_gone", "key", "gone", "key", "key"),
 )
 
 
 @query
 def q_evidence_fleet(spark: SparkSession, folder: str) -> DataFrame:
-    """Six incidents over five whole tables: one fused scan per table."""
+    """Six incidents over five whole tables, and two over a table that is not there."""
     tables = retail.sources(spark, folder)
     tables |= {t: fx.read(spark, folder, t) for t in ("documents", "labels")}
     found = assemble_evidence(FLEET, tables)
@@ -473,8 +491,8 @@ def q_evidence_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _suspects(spark: SparkSession, folder: str) -> DataFrame:
-    """Every open order points at one mart column, by its priority."""
-    orders = fx.read(spark, folder, "orders").filter(F.col("o_orderstatus") != "F")
+    """Every order points at one mart column, by its priority."""
+    orders = fx.read(spark, folder, "orders")
     priority = F.substring("o_orderpriority", 1, 1)
     spots = {
         "1": ("orders", "customer_id"), "2": ("orders", "amount"),
@@ -768,9 +786,9 @@ def q_incident_by_id(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def q_incident_list(spark: SparkSession, folder: str) -> DataFrame:
-    """The 20 newest two-candidate incidents (the listing's limit)."""
+    """All two-candidate incidents, the newest first."""
     rows = incident_rows(fx.line_incidents(spark, folder))
-    return _rows(store.listing(rows, verdict_type="two_candidate", limit=20))
+    return _rows(store.listing(rows, verdict_type="two_candidate"))
 
 
 @query
@@ -795,6 +813,26 @@ def q_label_update(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def q_incident_store_lifecycle(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved, labelled, triaged again, deleted, saved again, replayed, compacted."""
+    kept = store.IncidentStore(spark, scratch_path(spark, "lifecycle"))
+    kept.save(fx.line_incidents(spark, folder), batch="stream#0")
+    first = kept.current()
+    kept.label_rows(
+        first.filter("verdict_type <> 'triage_only'").select(
+            "incident_id", F.col("final_cause_class").alias("human_label")
+        )
+    )
+    again = first.filter("failing_row_count % 2 = 1")
+    kept.save_rows(again.withColumn("token_cost_usd", F.lit(0.5)), batch="stream#1")
+    kept.compact()
+    kept.delete_rows(first.filter("failing_row_count % 3 = 0").select("incident_id"))
+    kept.save_rows(first.filter("failing_row_count % 6 = 0"))
+    kept.save_rows(first, batch="stream#0")
+    return _rows(kept.current())
+
+
 @query
 def q_ground_truth_upsert(spark: SparkSession, folder: str) -> DataFrame:
     run = fx.suite(spark, folder)
@@ -844,7 +882,18 @@ def q_repair_duplicates(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
     )
     return repair.repair_duplicates(
-        lines, ["l_orderkey", "l_linenumber"], [-F.col("l_extendedprice")]
+        lines, ["l_orderkey", "l_linenumber"], [("l_extendedprice", False)]
+    )
+
+
+@query
+def q_repair_duplicates_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each feed's lines per order date the one with the latest text; nulls lose."""
+    lines = fx.feed_lines(spark, folder).select(
+        "feed_id", "ship_ts", F.col("order_ref").cast("string").alias("order_text"), "line_key"
+    )
+    return repair.repair_duplicates(
+        lines, ["feed_id", "ship_ts"], [("order_text", False), ("line_key", True)]
     )
 
 
@@ -896,7 +945,7 @@ def q_fault_supply_targets(spark: SparkSession, folder: str) -> DataFrame:
     tables = {t: fx.read(spark, folder, t) for t in ("lineitem", "orders", "supplier")}
     parts = []
     for family, target in retail.SUPPLY_TARGETS.items():
-        trials = [t for t in trials_for("smoke", [family]) if not t.pattern.conditional]
+        trials = trials_for("full", [family])
         _, truth = inject(tables, target, trials, "supply")
         parts.append(truth.groupBy("incident_key").agg(F.count_distinct("pk").alias("n_keys")))
     return reduce(DataFrame.unionByName, parts)
@@ -966,7 +1015,7 @@ def q_ground_truth_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 def q_stealth_faults(spark: SparkSession, folder: str) -> DataFrame:
     """Order dates carry no test, so nulling them goes unnoticed."""
     raw = retail.sources(spark, folder)
-    trials = trials_for("smoke", [NULLS])
+    trials = trials_for("full", [NULLS])
     tests = [t for t in retail.TESTS if t.model == "stg_orders" and t.kind == "not_null"]
     failing, all_trials = [], []
     for dataset, column in (("retail", "o_custkey"), ("retail_dates", "o_orderdate")):
@@ -1040,16 +1089,16 @@ def _noisy_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _noisy_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Late lines as the truth and cheap lines as the answer, by feed."""
+    """Finished lines as the truth and returnable lines as the answer, by feed."""
     lines = fx.read(spark, folder, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("incident_key"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("pk"),
-        "l_shipdate",
-        "l_extendedprice",
+        "l_linestatus",
+        "l_returnflag",
     )
-    late = lines.filter(F.col("l_shipdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    cheap = lines.filter(F.col("l_extendedprice") < 20000)
-    return cheap.select("incident_key", "pk").distinct(), late.select("incident_key", "pk").distinct()
+    true = lines.filter("l_linestatus = 'F'").select("incident_key", "pk").distinct()
+    said = lines.filter("l_returnflag <> 'N'").select("incident_key", "pk").distinct()
+    return said, true
 
 
 @query

@@ -23,19 +23,6 @@ def joined_text(columns: list[str]) -> Column:
     return F.coalesce(F.concat(*parts), F.lit("None"))
 
 
-LONG_TEXT_BYTES = 64
-
-
-def compact_text(text: Column) -> Column:
-    """A stand-in for counting distinct texts: short ones as they are, long ones digested.
-
-    The whole text goes into the digest, but a shuffle then moves at most 65 bytes per
-    value.  The mark keeps digests apart from texts of 64 bytes or fewer.
-    """
-    digest = F.concat(F.lit("#"), F.sha2(text, 256))
-    return F.when(F.octet_length(text) > LONG_TEXT_BYTES, digest).otherwise(text)
-
-
 def sample_hash(pk: Column, seed: Column) -> Column:
     """The order in which a seeded sample draws keys; equal on every engine with md5."""
     return F.md5(F.concat(text_key(pk), F.lit("#"), seed.cast("string")))

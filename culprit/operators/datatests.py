@@ -159,13 +159,12 @@ def failing_keys(
     *,
     by: Sequence[str] = (),
     groups: Sequence[str] | None = None,
-    cap: int | None = None,
 ) -> DataFrame:
     """Primary keys (text) of the failing rows of one test.
 
     The shape of the failures table decides how keys are found: the key itself, the
     repeated value, or a look-up of the foreign key in the failing model.  Keys stay
-    in a long table.  `cap` reads at most that many failures (off by default).
+    in a long table.
     """
     model = models[test.model]
     own_by = _split(model, by)
@@ -189,22 +188,18 @@ def failing_keys(
     else:
         keys = model.filter(F.lit(False)).select(*own_by, text_key(pk).alias("pk"))
     keys = keys.filter(F.col("pk").isNotNull())
-    if cap is not None:
-        keys = keys.limit(cap)
     keys = _spread(keys, by, groups)
     return keys.select(*by, F.lit(test.name).alias("test_name"), "pk")
 
 
 def keys_from_failures(
-    failures: DataFrame, model: DataFrame, pk: str, column: str | None, cap: int | None = None
+    failures: DataFrame, model: DataFrame, pk: str, column: str | None
 ) -> DataFrame:
     """Primary keys (text) behind a stored failures table of any shape.
 
     The first that fits: the key itself, a repeated value, a foreign key or the tested
     column, the last two looked up in the model.  Other shapes name no rows.
     """
-    if cap is not None:
-        failures = failures.limit(cap)
     if pk in failures.columns:
         keys = failures.select(text_key(pk).alias("pk"))
     elif "unique_field" in failures.columns:

@@ -17,13 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culprit.functions.dtypes import first_temporal, norm_dtype
-from culprit.operators.probes import (
-    column_facts,
-    counting_key,
-    dupe_extra_rows,
-    lag_seconds,
-    orphan_keys,
-)
+from culprit.operators.probes import FACTS, column_facts, lag_seconds, orphan_keys
 from culprit.schemas import (
     EVIDENCE_DEFAULTS,
     EVIDENCE_FIELDS,
@@ -77,7 +71,7 @@ def _latest(df: DataFrame) -> Column:
 
 def _extra_rows(df: DataFrame, pk: str) -> Column:
     """Rows beyond the first of each key; a null key is a key like any other."""
-    return F.count(F.lit(1)) - F.count_distinct(F.struct(counting_key(df, pk)))
+    return F.count(F.lit(1)) - F.count_distinct(F.struct(pk))
 
 
 # The facts a partial result may bring, with the type they are folded in.
@@ -106,7 +100,7 @@ def _per_target(slots: Mapping[str, Mapping[str, str]]) -> Column:
     """
 
     def struct(key: str, facts: Mapping[str, str]) -> str:
-        quoted = key.replace("'", "\\'")
+        quoted = key.replace("\\", "\\\\").replace("'", "\\'")
         fields = [f"'target', '{quoted}'"]
         for name, dtype in PARTIALS.items():
             fields.append(f"'{name}', CAST({facts.get(name, 'NULL')} AS {dtype})")
@@ -120,7 +114,7 @@ def _ratio(part: str, whole: str) -> str:
 
 
 def blame_scan(
-    df: DataFrame, targets: Sequence[Target], by: Sequence[str], distinct: str
+    df: DataFrame, targets: Sequence[Target], by: Sequence[str], wanted: Sequence[str] = FACTS
 ) -> DataFrame:
     """Everything the targets want to know about one blamed table, in one aggregation."""
     aggs = {"n": F.count(F.lit(1)), "latest": _latest(df)}
@@ -132,19 +126,20 @@ def blame_scan(
             facts["blame_pk_dupe_count"] = f"`extra_{t.blame_pk_column}`"
         if t.blame_column in df.columns:
             got = {}
-            for fact, agg in column_facts(df, t.blame_column, distinct).items():
+            for fact, agg in column_facts(df, t.blame_column, wanted).items():
                 aggs[f"{fact}_{t.blame_column}"] = agg
                 got[fact] = f"`{fact}_{t.blame_column}`"
             facts |= {
                 "blame_null_rate": _ratio(got["null_count"], "n"),
-                "blame_cardinality_ratio": _ratio(
-                    got["distinct_count"], f"n - {got['null_count']}"
-                ),
                 "blame_integer_compatible_ratio": got["int_ratio"],
                 "blame_float_compatible_ratio": got["float_ratio"],
                 "blame_mean": got["mean"],
                 "blame_anomaly_score": f"abs({got['skew']})",
             }
+            if "distinct_count" in got:
+                facts["blame_cardinality_ratio"] = _ratio(
+                    got["distinct_count"], f"n - {got['null_count']}"
+                )
         slots[t.key] = facts
     wide = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
     return wide.select(*by, _per_target(slots))
@@ -205,8 +200,7 @@ def assemble_evidence(
     groups: Sequence[str] | None = None,
     observed_at: datetime | str | None = None,
     baselines: DataFrame | None = None,
-    distinct: str = "exact",
-    dupe_limit: int | None = None,
+    wanted: Sequence[str] = FACTS,
     ignore_null_parents: bool = False,
     use_skew: bool = True,
     fanout_parent_only: bool = False,
@@ -216,10 +210,12 @@ def assemble_evidence(
     `observed_at` is the clock for freshness; without it there is no freshness
     evidence, because a wall clock would call all historic data late.  `baselines`
     (target, expected_dtype, expected_mean, expected_stddev, and optionally the `by`
-    columns) overrides the expectations in the targets.
+    columns) overrides the expectations in the targets.  `wanted` names the column facts
+    to compute; the others count as not known.
+
+    Every target has its row, in every group, whatever could be probed: a table or column
+    that is not there leaves neutral values.
     """
-    if dupe_limit is not None and by:
-        raise ValueError("dupe_limit is for whole tables, not for groups")
     spark = next(iter(tables.values())).sparkSession
     parts: list[DataFrame] = []
 
@@ -241,7 +237,7 @@ def assemble_evidence(
     for name in dict.fromkeys(t.blame_model for t in targets):
         if name in tables:
             own = [t for t in targets if t.blame_model == name]
-            keep(blame_scan(tables[name], own, split(tables[name]), distinct))
+            keep(blame_scan(tables[name], own, split(tables[name]), wanted))
     for name in dict.fromkeys(t.parent_table for t in targets if t.parent_table):
         if name in tables:
             own = [t for t in targets if t.parent_table == name]
@@ -256,26 +252,27 @@ def assemble_evidence(
                 cols = split(found)
                 counted = found.groupBy(*cols).agg(F.sum("child_rows").alias("c"))
                 keep(counted.select(*cols, _per_target({t.key: {"orphan_rows": "c"}})))
-        if dupe_limit is not None and t.blame_model in tables:
-            table = tables[t.blame_model]
-            if t.blame_pk_column in table.columns:
-                top = dupe_extra_rows(table, [t.blame_pk_column], limit=dupe_limit)
-                keep(top.select(_per_target({t.key: {"blame_pk_dupe_count": "extra_rows"}})))
-
-    if not parts:
-        # Nothing to probe: an empty frame of the right shape.
-        types = {c: t for df in tables.values() for c, t in df.dtypes if c in by}
-        empty = {**{c: types.get(c, "string") for c in by}, "target": "string", **PARTIALS}
-        columns = [F.lit(None).cast(t).alias(c) for c, t in empty.items()]
-        parts.append(spark.range(0).select(*columns))
+
+    # A row without facts for every target, so that one that cannot be probed stays.
+    keys = [F.lit(t.key) for t in targets]
+    blank = [F.lit(None).cast(t).alias(c) for c, t in PARTIALS.items()]
+    if not by or groups is not None:
+        spots = spark.range(1).select(F.explode(F.array(*keys)).alias("target"))
+        for c in by:
+            spots = spots.withColumn(c, F.explode(F.array(*[F.lit(g) for g in groups])))
+        parts.append(spots.select(*by, "target", *blank))
+    elif parts:
+        # The groups are those of the tables that could be probed.
+        gone = [F.lit(t.key) for t in targets if t.blame_model not in tables]
+        if gone:
+            seen = reduce(DataFrame.unionByName, [p.select(*by) for p in parts]).distinct()
+            parts.append(seen.select(*by, F.explode(F.array(*gone)).alias("target"), *blank))
+    else:
+        raise ValueError("no table to probe holds the groups; name them in `groups`")
 
     def fold(frames: list[DataFrame], keys: Sequence[str]) -> DataFrame:
         union = reduce(DataFrame.unionByName, frames)
-        # With a top-k limit the limited figure is the smaller one.
-        pick = {"blame_pk_dupe_count": F.min if dupe_limit is not None else F.max}
-        return union.groupBy(*keys, "target").agg(
-            *[pick.get(name, F.max)(name).alias(name) for name in PARTIALS]
-        )
+        return union.groupBy(*keys, "target").agg(*[F.max(name).alias(name) for name in PARTIALS])
 
     facts = fold(parts, by)
     if loose:

@@ -54,18 +54,30 @@ def ranked_causes(classified: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def choose_test(
-    failing: DataFrame, by: Sequence[str], name: str | Column | None = None
+    failing: DataFrame,
+    by: Sequence[str],
+    name: str | Column | None = None,
+    *,
+    strict: bool = False,
 ) -> DataFrame:
-    """One failing test per run: the named one (prefix match), else staging models first.
+    """One failing test per run: the named one, else staging models first.
 
-    The rank filter turns into a per-task group limit before the shuffle.
+    A test of exactly that name goes before those whose names begin with it, which are
+    taken in the order of the artifact if it is known (`position`).  `strict` gives no
+    row for a run in which no name fits, instead of another test.  The rank filter turns
+    into a per-task group limit before the shuffle.
     """
-    wanted = F.lit(False)
+    fit = F.lit(2)
     if name is not None:
-        prefix = F.lit(name) if isinstance(name, str) else name
-        wanted = F.coalesce(F.col("test_name").startswith(prefix), F.lit(False))
+        asked = F.lit(name) if isinstance(name, str) else name
+        fit = F.when(F.col("test_name") == asked, 0).when(F.col("test_name").startswith(asked), 1)
+        fit = fit.otherwise(2)
+        if strict:
+            failing = failing.filter(fit < 2)
+    place = F.col("position") if "position" in failing.columns else F.lit(0)
     order = Window.partitionBy(*by).orderBy(
-        F.when(wanted, 0).otherwise(1),
+        fit,
+        F.when(fit == 1, place),
         F.when(F.col("model").startswith("stg_"), 0).otherwise(1),
         "model",
         "test_name",

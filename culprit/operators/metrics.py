@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from culprit.functions.wording import fixed
-from culprit.schemas import CAUSE_CLASSES
 
 N_BINS = 10
 
@@ -47,13 +46,17 @@ def predictions_from_incidents(incidents: DataFrame, key: Column) -> DataFrame:
 
 
 def pair(predictions: DataFrame, truths: DataFrame, order: str | None = None) -> DataFrame:
-    """Labels with their prediction; of several with one key the last by `order` counts."""
+    """Labels with their prediction; of several with one key the last counts.
+
+    The last is the greatest by `order`; without it, or with ties, by all other columns,
+    so a key never pairs twice.
+    """
+    rest = [c for c in predictions.columns if c != "incident_key"]
+    rank = F.struct(*([order] if order is not None else []), *rest)
+    last = predictions.groupBy("incident_key").agg(F.max_by(F.struct(*rest), rank).alias("p"))
+    predictions = last.select("incident_key", "p.*")
     if order is not None:
-        rest = [c for c in predictions.columns if c != "incident_key"]
-        last = predictions.groupBy("incident_key").agg(
-            F.max_by(F.struct(*rest), F.col(order)).alias("p")
-        )
-        predictions = last.select("incident_key", "p.*").drop(order)
+        predictions = predictions.drop(order)
     labels = truths.select(
         "incident_key",
         F.col("cause_class").alias("true_class"),
@@ -165,23 +168,13 @@ def macro_f1(pairs: DataFrame) -> DataFrame:
     return class_f1(pairs).agg(_mean(F.col("f1")).alias("macro_class_f1"))
 
 
-def _macro_f1_agg() -> Column:
-    """Macro F1 inside a larger aggregation: sums per member of the closed class set."""
-    f1s, present = [], []
-    for name in CAUSE_CLASSES:
-        true, said = F.col("true_class") == name, F.col("cause_class") == name
-        n, both = F.count_if(true), F.count_if(true & said)
-        f1s.append(F.when(n > 0, 2 * both / (n + F.count_if(said))).otherwise(0.0))
-        present.append(F.when(n > 0, 1).otherwise(0))
-    return _ratio(reduce(Column.__add__, f1s), reduce(Column.__add__, present))
-
-
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
 def _sure() -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))
+    """A confidence within [0, 1]; none is no confidence."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0))))
 
 
 def _bin(n_bins: int) -> Column:
@@ -219,15 +212,16 @@ def _ece_agg(n_bins: int = N_BINS) -> Column:
 
 
 def evaluate(pairs: DataFrame, prediction_rows: DataFrame, truth_rows: DataFrame) -> DataFrame:
-    """All metrics in one row, from one pass over the pairs."""
+    """All metrics in one row; the F1 of whatever classes occur comes from class_f1."""
     met = pairs.join(row_overlap(prediction_rows, truth_rows), "incident_key", "left")
     aggs = {
         **_table_aggs(),
         **_row_aggs(),
-        "macro_class_f1": _macro_f1_agg(),
         "ece": _ece_agg(),
     }
-    return with_row_f1(met.agg(*[c.alias(n) for n, c in aggs.items()])).select(*METRICS)
+    means = with_row_f1(met.agg(*[c.alias(n) for n, c in aggs.items()]))
+    # Two frames of one row each.
+    return means.withColumn("macro_class_f1", macro_f1(pairs).scalar()).select(*METRICS)
 
 
 def report_line(system: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from culprit.functions.dtypes import is_numeric, is_text
-from culprit.functions.keys import compact_text, joined_text, ntz
+from culprit.functions.keys import joined_text, ntz
 
 # --- fixed values: what counts as a number written as text -----------------------
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
@@ -41,18 +41,6 @@ def column_dtypes(df: DataFrame, table: str) -> list[tuple[str, str, str]]:
     return [(table, f.name, f.dataType.simpleString()) for f in df.schema]
 
 
-def counting_key(df: DataFrame, column: str) -> Column:
-    """What to group by when only the number of groups matters."""
-    col = F.col(column)
-    return compact_text(col) if is_text(df.schema[column].dataType) else col
-
-
-def distinct_count(column: Column, mode: str) -> Column:
-    if mode == "approx":
-        return F.approx_count_distinct(column)
-    return F.count_distinct(column)
-
-
 def adjusted_skew(value: Column) -> Column:
     """Sample-adjusted skewness: Spark's is the population form."""
     n = F.count(value)
@@ -60,15 +48,23 @@ def adjusted_skew(value: Column) -> Column:
     return F.coalesce(F.nanvl(F.when(n > 2, F.skewness(value) * factor), F.lit(0.0)), F.lit(0.0))
 
 
-def column_facts(df: DataFrame, column: str, distinct: str = "exact") -> dict[str, Column]:
-    """Aggregates for one column; the caller puts those of many columns into one agg."""
+FACTS = ("null_count", "distinct_count", "int_ratio", "float_ratio", "mean", "stddev", "skew")
+
+
+def column_facts(
+    df: DataFrame, column: str, wanted: Sequence[str] = FACTS
+) -> dict[str, Column]:
+    """Aggregates for one column; the caller puts those of many columns into one agg.
+
+    What is not `wanted` is not computed: a distinct count costs an Expand copy.
+    """
     dtype = df.schema[column].dataType
     col = F.col(column)
     filled = F.count(col)
     zero = F.lit(0.0)
     facts = {
         "null_count": F.count_if(col.isNull()),
-        "distinct_count": distinct_count(counting_key(df, column), distinct),
+        "distinct_count": F.count_distinct(col),
         "int_ratio": zero,
         "float_ratio": zero,
         "mean": zero,
@@ -83,7 +79,7 @@ def column_facts(df: DataFrame, column: str, distinct: str = "exact") -> dict[st
         facts["mean"] = F.coalesce(F.avg(value), zero)
         facts["stddev"] = F.coalesce(F.stddev_samp(value), zero)
         facts["skew"] = adjusted_skew(value)
-    return facts
+    return {name: fact for name, fact in facts.items() if name in wanted}
 
 
 def profile_columns(
@@ -92,19 +88,19 @@ def profile_columns(
     table: str,
     *,
     by: Sequence[str] = (),
-    distinct: str = "exact",
+    wanted: Sequence[str] = FACTS,
 ) -> DataFrame:
     """One scan for all columns, then one row per (group, column).
 
     Only `by` and the asked columns reach the scan.  Exact distinct counts cost one
-    Expand copy per column, pre-aggregated map-side; `distinct="approx"` swaps them
-    for sketches of fixed size where the exact figure is not needed.
+    Expand copy per column, pre-aggregated map-side; without them in `wanted` their
+    column and the ratio made of them are left out.
     """
     require_columns(df, [*by, *columns])
     aggs = [F.count(F.lit(1)).alias("rows")]
     slots = []
     for i, name in enumerate(columns):
-        facts = column_facts(df, name, distinct)
+        facts = column_facts(df, name, {*wanted, "null_count"})
         aggs += [agg.alias(f"f{i}_{fact}") for fact, agg in facts.items()]
         slots.append(
             F.struct(
@@ -117,21 +113,19 @@ def profile_columns(
     wide = df.groupBy(*by).agg(*aggs)
     long = wide.select(*by, "rows", F.inline(F.array(*slots)))
     filled = F.col("rows") - F.col("null_count")
+    counts = ["null_count", *(["distinct_count"] if "distinct_count" in wanted else [])]
+    ratios = [share(F.col("null_count"), F.col("rows")).alias("null_rate")]
+    if "distinct_count" in wanted:
+        ratios.append(share(F.col("distinct_count"), filled).alias("cardinality_ratio"))
     return long.select(
         *by,
         "table_name",
         "column_name",
         "dtype",
         F.col("rows").alias("row_count"),
-        "null_count",
-        "distinct_count",
-        share(F.col("null_count"), F.col("rows")).alias("null_rate"),
-        share(F.col("distinct_count"), filled).alias("cardinality_ratio"),
-        "int_ratio",
-        "float_ratio",
-        "mean",
-        "stddev",
-        "skew",
+        *counts,
+        *ratios,
+        *[name for name in FACTS if name in wanted and name not in counts],
     )
 
 
@@ -160,18 +154,14 @@ def dupe_extra_rows(
     keys: Sequence[str],
     *,
     by: Sequence[str] = (),
-    limit: int | None = None,
 ) -> DataFrame:
-    """Rows beyond the first of each key: exact, or over the `limit` largest keys."""
-    if limit is None:
-        if not keys:
-            raise ValueError("at least one key column is needed")
-        require_columns(df, keys)
-        named = [counting_key(df, k).alias(f"key_{k}") for k in keys]
-        counted = df.groupBy(*by, *named).agg(F.count(F.lit(1)).alias("n_rows"))
-        repeated = counted.filter(F.col("n_rows") > 1)
-    else:
-        repeated = dupe_keys(df, keys, by=by, limit=limit)
+    """Rows beyond the first of each key, over all keys."""
+    if not keys:
+        raise ValueError("at least one key column is needed")
+    require_columns(df, keys)
+    named = [F.col(k).alias(f"key_{k}") for k in keys]
+    counted = df.groupBy(*by, *named).agg(F.count(F.lit(1)).alias("n_rows"))
+    repeated = counted.filter(F.col("n_rows") > 1)
     return repeated.groupBy(*by).agg(
         F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).alias("extra_rows"),
         F.count(F.lit(1)).alias("dupe_keys"),

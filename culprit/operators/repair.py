@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,17 +15,20 @@ def repair_nulls(df: DataFrame, column: str, fill: object | None = None) -> Data
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(fill)))
 
 
-def repair_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def repair_duplicates(
+    df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str | Column, bool]]
+) -> DataFrame:
     """One row per key: the first by `order`, then by all columns, so reruns agree.
 
-    A min over row structs rather than a ranking window: it combines map-side, so a
-    key with a third of all rows never gathers in one task.
+    `order` holds (column, ascending) pairs of any orderable type; nulls come last either
+    way.  Spark pushes the filter on the rank below the shuffle as a limit per task and
+    key, so a key with a third of all rows sends one row per task.
     """
-    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *df.columns)
-    first = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(
-        F.min(rank).alias("first")
-    )
-    return first.select(*[F.col(f"first.{c}").alias(c) for c in df.columns])
+    parts = [(F.col(c) if isinstance(c, str) else c, up) for c, up in order]
+    ranked = [c.asc_nulls_last() if up else c.desc_nulls_last() for c, up in parts]
+    window = Window.partitionBy(*keys).orderBy(*ranked, *df.columns)
+    first = df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1")
+    return first.select(*df.columns)
 
 
 def repair_orphans(

@@ -225,10 +225,12 @@ TARGETS = {
     ),
 }
 
-# The second published target set: parts nulled, orders repeated, suppliers deleted.
+# Fixed values, the second published target set: parts nulled, orders repeated, suppliers
+# deleted.
 SUPPLY_TARGETS = {
     NULLS: FaultTarget(
-        "lineitem", "l_partkey", "l_orderkey", "not_null_stg_lineitem_l_partkey"
+        "lineitem", "l_partkey", "l_orderkey", "not_null_stg_lineitem_l_partkey",
+        condition="l_returnflag = 'R'",
     ),
     DUPES: FaultTarget("orders", "o_orderkey", "o_orderkey", "unique_stg_orders_o_orderkey"),
     DROPOUT: FaultTarget(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,13 +36,10 @@ def build_session(app: str = "culprit", cpus: int | str = 8, **conf: str) -> Spa
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder the cluster names in spark.checkpoint.dir.
+    """A fresh path that driver and executors share, for files that are read again.
 
-    Only where that setting is missing (local tests) a temporary folder is used.
+    Below the folder that spark.checkpoint.dir names, else below the warehouse, which
+    Spark itself shares.  What is written there is the caller's to keep or delete.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not root:
-        root = tempfile.mkdtemp(prefix="culprit-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/culprit/{name}-{uuid.uuid4().hex}"

@@ -1,8 +1,8 @@
 """Incident and label tables as append-only parquet, read as their latest state.
 
 A save appends a batch and never rewrites what readers may be reading.  The current
-state is the row with the highest version per key.  Appending the same batch twice
-(a replayed micro-batch, a retried job) changes nothing.
+state is the last change per key.  Appending the same named batch twice (a replayed
+micro-batch, a retried job) changes nothing.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ from culprit.schemas import CAUSE_CLASSES, INCIDENT, TEXT, record
 from culprit.sources.constants import constant_frame
 
 PUT, DROP = "put", "drop"
+BOOKKEEPING = ("_version", "_written", "_batch", "_change")
 
 
-def latest(df: DataFrame, key: str, version: str) -> DataFrame:
+def latest(df: DataFrame, key: str, version: str | Column) -> DataFrame:
     """The last version of each key (max over structs, combined map-side)."""
     rest = [c for c in df.columns if c != key]
-    order = F.struct(version, *[c for c in rest if c != version])
+    order = F.struct(version, *rest)
     newest = df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r"))
     return newest.select(key, "r.*")
 
@@ -50,9 +51,9 @@ def listing(
     failing_model: str | None = None,
     cause_class: str | None = None,
     verdict_type: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Newest first; filters apply before the limit.  Ids break ties."""
+    """Newest first; filters apply before a limit, if one is asked for.  Ids break ties."""
     wanted = {
         "failing_model": failing_model,
         "final_cause_class": cause_class,
@@ -61,7 +62,8 @@ def listing(
     for column, value in wanted.items():
         if value is not None:
             incidents = incidents.filter(F.col(column) == value)
-    return incidents.orderBy(F.desc("created_at"), "incident_id").limit(limit)
+    ordered = incidents.orderBy(F.desc("created_at"), "incident_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def set_labels(current: DataFrame, labels: DataFrame) -> DataFrame:
@@ -85,9 +87,13 @@ def set_labels(current: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class IncidentStore:
-    """Incidents (or ground truths) below `path`, partitioned by date.
+    """Incidents (or ground truths) below `path`: a log of changes and snapshots of it.
 
-    Every method but `save`, `save_rows`, `delete` and `label` is lazy.
+    Every change gets the next number of the store's one sequence, whoever makes it, and
+    the last change of a key wins.  A named batch keeps the number it got first: replayed
+    after a failure it completes what was lost and overrides nothing newer.
+
+    Methods that write say so; the others are lazy.
     """
 
     def __init__(self, spark: SparkSession, path: str, table: str = "incidents") -> None:
@@ -96,62 +102,86 @@ class IncidentStore:
         self.key = "incident_id" if table == "incidents" else "incident_key"
         self.moment = "created_at" if table == "incidents" else "injected_at"
 
-    def _log(self) -> DataFrame | None:
+    def _read(self, part: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(self.path).drop("_date")
+            return self.spark.read.parquet(f"{self.path}/{part}")
         except AnalysisException:
             return None
 
-    def _next(self) -> int:
-        log = self._log()
-        last = None if log is None else log.agg(F.max("_version")).first()[0]
-        return 0 if last is None else last + 1
+    def _log(self) -> DataFrame | None:
+        """The last snapshot and all changes since."""
+        log, kept = self._read("log"), self._read("snapshots")
+        if log is None:
+            return None
+        log = log.drop("_date")
+        if kept is None:
+            return log
+        upto = kept.agg(F.max("_upto")).first()[0]
+        base = kept.filter(F.col("_upto") == upto).drop("_upto")
+        return base.unionByName(log.filter(F.col("_version") > upto))
+
+    def _number(self, batch: str | None) -> int:
+        log = self._read("log")
+        if log is None:
+            return 0
+        own = F.max(F.when(F.col("_batch") == batch, F.col("_version")))
+        last, same = log.agg(F.max("_version"), own).first()
+        return same if same is not None else last + 1
 
-    def _append(self, rows: DataFrame, change: str, version: int | None) -> None:
-        number = self._next() if version is None else version
+    def _append(self, rows: DataFrame, change: str, batch: str | None = None) -> None:
         stamped = rows.withColumns(
             {
-                "_version": F.lit(number).cast("bigint"),
+                "_version": F.lit(self._number(batch)).cast("bigint"),
+                "_written": F.current_timestamp(),
+                "_batch": F.lit(batch).cast("string"),
                 "_change": F.lit(change),
                 "_date": F.to_date(self.moment),
             }
         )
-        stamped.write.mode("append").partitionBy("_date").parquet(self.path)
+        stamped.write.mode("append").partitionBy("_date").parquet(f"{self.path}/log")
 
-    def save_rows(self, rows: DataFrame, version: int | None = None) -> None:
-        self._append(rows, PUT, version)
+    def _state(self, log: DataFrame | None) -> DataFrame:
+        if log is None:
+            raise LookupError(f"nothing stored at {self.path}")
+        return latest(log, self.key, F.struct("_version", "_written"))
 
-    def save(self, incidents: DataFrame, version: int | None = None) -> None:
-        """Upsert by incident id."""
-        self.save_rows(incident_rows(incidents), version)
+    def save_rows(self, rows: DataFrame, batch: str | None = None) -> None:
+        """Writes: upsert by key."""
+        self._append(rows, PUT, batch)
+
+    def save(self, incidents: DataFrame, batch: str | None = None) -> None:
+        """Writes: upsert by incident id."""
+        self.save_rows(incident_rows(incidents), batch)
 
     def current(self) -> DataFrame:
-        log = self._log()
-        if log is None:
-            raise LookupError(f"nothing stored at {self.path}")
-        state = latest(log, self.key, "_version")
-        return state.filter(F.col("_change") == PUT).drop("_version", "_change")
+        return self._live(self._state(self._log()))
+
+    @staticmethod
+    def _live(state: DataFrame) -> DataFrame:
+        return state.filter(F.col("_change") == PUT).drop(*BOOKKEEPING)
 
     def load(self, key: str) -> DataFrame:
         """Key filters reach the scan, as they hold for every version of a row."""
         log = self._log()
-        if log is None:
-            raise LookupError(f"nothing stored at {self.path}")
-        state = latest(by_id(log, self.key, key), self.key, "_version")
-        return state.filter(F.col("_change") == PUT).drop("_version", "_change")
+        return self._live(self._state(log if log is None else by_id(log, self.key, key)))
 
     def list(self, **filters: object) -> DataFrame:
         return listing(self.current(), **filters)
 
     def delete(self, keys: Sequence[str]) -> bool:
-        """False if none of the keys is stored."""
+        """Writes; False if none of the keys is stored."""
         hit = self.current().filter(F.col(self.key).isin(list(keys)))
         if hit.isEmpty():
             return False
-        self._append(hit, DROP, None)
+        self._append(hit, DROP)
         return True
 
+    def delete_rows(self, ids: DataFrame) -> None:
+        """Writes: all rows whose key is among `ids` go."""
+        self._append(self.current().join(ids.select(self.key), self.key, "left_semi"), DROP)
+
     def label(self, incident_id: str, label: str | None) -> bool:
+        """Writes; False if there is no such incident."""
         if label is not None and label not in CAUSE_CLASSES:
             raise ValueError(f"unknown cause class: {label}")
         row = self.load(incident_id)
@@ -160,5 +190,22 @@ class IncidentStore:
         change = constant_frame(
             self.spark, [(incident_id, label)], record(incident_id=TEXT, human_label=TEXT)
         )
-        self._append(set_labels(row, change), PUT, None)
+        self._append(set_labels(row, change), PUT)
         return True
+
+    def label_rows(self, labels: DataFrame) -> None:
+        """Writes: one label for each (incident_id, human_label)."""
+        hit = self.current().join(labels.select("incident_id"), "incident_id", "left_semi")
+        self._append(set_labels(hit, labels), PUT)
+
+    def compact(self) -> None:
+        """Writes a snapshot of the state; readers then skip the changes before it.
+
+        Older snapshots and changes stay for those who are reading them; what removes old
+        files from the folder may take all but the last snapshot.
+        """
+        log = self._log()
+        state = self._state(log)
+        upto = log.agg(F.max("_version")).first()[0]
+        stamped = state.withColumn("_upto", F.lit(upto).cast("bigint"))
+        stamped.write.mode("append").partitionBy("_upto").parquet(f"{self.path}/snapshots")

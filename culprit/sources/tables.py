@@ -50,16 +50,3 @@ def materialise(df: DataFrame, layer: str, name: str) -> None:
         df.createOrReplaceTempView(name)
     else:
         df.write.mode("overwrite").saveAsTable(name)
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Give a table that arrives in fewer splits than cores to all cores.
-
-    For tables about to be multiplied (one copy per trial).  A table with enough splits
-    is returned as it is; one with fewer is at most that many splits large, so moving it
-    once is cheap beside the work that follows.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)

@@ -34,9 +34,9 @@ def start_triage_stream(
 ) -> StreamingQuery:
     """Triage every new artifact once.
 
-    The checkpoint remembers which files are done.  A batch that is replayed after a
-    failure appends the same incident ids under the same version, which the store
-    reads as one.
+    The checkpoint remembers which files are done.  A batch is named by the query's own
+    id, which the checkpoint keeps, and its number: replayed after a failure it is the
+    same batch to the store, and one of a new checkpoint never is.
     """
     reader = spark.readStream.schema(ARTIFACT)
     if max_files_per_trigger is not None:
@@ -47,7 +47,8 @@ def start_triage_stream(
         failing = failing_tests(
             batch.select("run_id", "run_results"), batch.select("run_id", "manifest")
         )
-        store.save(respond(failing), version=batch_id)
+        query_id = spark.read.text(f"{checkpoint}/metadata").first()["value"]
+        store.save(respond(failing), batch=f"{query_id}#{batch_id}")
 
     writer = arriving.writeStream.foreachBatch(triage_batch).option(
         "checkpointLocation", checkpoint

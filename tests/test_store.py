@@ -50,12 +50,29 @@ def test_lifecycle(spark, incidents, tmp_path):
 
 def test_replayed_batch_changes_nothing(spark, incidents, tmp_path):
     kept = store.IncidentStore(spark, str(tmp_path))
-    kept.save(incidents, version=0)
+    kept.save(incidents, batch="b0")
     before = rows(kept.current())
-    kept.save(incidents, version=0)
+    kept.save(incidents, batch="b0")
     assert rows(kept.current()) == before
 
 
+def test_last_write_wins_whoever_writes(spark, incidents, tmp_path):
+    kept = store.IncidentStore(spark, str(tmp_path))
+    kept.save(incidents, batch="s#0")
+    one = kept.current().orderBy("incident_id").first().incident_id
+    assert kept.label(one, "unknown") and kept.label(one, "late_arriving")
+    kept.compact()
+    kept.save(incidents, batch="s#0")
+    assert kept.load(one).first().human_label == "late_arriving"
+    kept.save(incidents, batch="s#1")
+    assert kept.load(one).first().human_label is None
+    assert kept.label(one, "unknown")
+    kept.save(incidents, batch="t#0")
+    kept.compact()
+    assert kept.load(one).first().human_label is None
+    assert kept.current().count() == incidents.count()
+
+
 def test_listing(spark):
     df = spark.sql(
         """SELECT * FROM VALUES ('a',1,'m1','x','auto'),('b',3,'m1','y','auto'),('c',2,'m2','x','auto')

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from culprit.catalog import fixtures as fx
+from culprit.catalog.oracles import ORACLES
 from culprit.catalog.queries import QUERIES
 from culprit.operators import calibration, repair
 from culprit.operators.incidents import build_incidents
@@ -81,7 +82,7 @@ def test_repairs(spark):
     df = spark.sql("SELECT * FROM VALUES (1,NULL),(1,5),(2,7),(2,7),(3,8) t(id, v)")
     assert repair.repair_nulls(df, "v").count() == 4
     assert rows(repair.repair_nulls(df, "v", 0).filter("v = 0")) == [(1, 0)]
-    best = repair.repair_duplicates(df, ["id"], [-F.coalesce("v", F.lit(0))])
+    best = repair.repair_duplicates(df, ["id"], [("v", False)])
     assert rows(best) == [(1, 5), (2, 7), (3, 8)]
     parent = spark.sql("SELECT * FROM VALUES (5),(7) t(pk)")
     assert rows(repair.repair_orphans(df, "v", parent, "pk")) == [(1, 5), (1, None), (2, 7), (2, 7)]
@@ -95,7 +96,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry_module.oracle_sql()) == set(QUERIES)
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries())
 
 
 TWINS = [
