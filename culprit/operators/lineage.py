@@ -19,9 +19,8 @@ from culprit.schemas import EDGE, WALK_STEP
 from culprit.sources.constants import constant_frame
 
 # --- fixed values ------------------------------------------------------------------
-MAX_HOPS = 8
 DIRECT_CERTAINTY, AGG_CERTAINTY, NO_HOP_CERTAINTY = 1.0, 0.6, 0.5
-KEYED_MAX_HOPS, OTHER_KEY_FACTOR = 4, 0.7
+OTHER_KEY_FACTOR = 0.7
 DEFAULT_KEY = "id"
 # -----------------------------------------------------------------------------------
 
@@ -78,16 +77,59 @@ def hops(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _rounds(starts: DataFrame, step: DataFrame) -> int:
+    """How often paths must double until no walk from `starts` goes on.
+
+    Works on (model, column) pairs alone.  Only places that a walk can reach count, and a
+    walk in a circle has seen all of it when it is longer than there are places.
+    """
+    node = F.struct(F.col("at_model").alias("m"), F.col("at_column").alias("c"))
+    up = F.struct(F.col("upstream_model").alias("m"), F.col("upstream_column").alias("c"))
+    jumps = step.select(node.alias("node"), up.alias("reached"))
+    front = starts.select(
+        F.struct(F.col("model").alias("m"), F.col("column").alias("c")).alias("reached")
+    ).distinct()
+    rounds, places = 0, None
+    while True:
+        far = jumps.select(F.col("node").alias("reached"), F.col("reached").alias("next"))
+        front = front.join(far, "reached").select(F.col("next").alias("reached")).distinct()
+        if front.isEmpty():
+            # So far 1 + 2 + 4 + ... steps were made, and fewer than the next power remain.
+            return rounds + (rounds > 1)
+        if places is None:
+            places = step.count()
+        rounds += 1
+        if 2**rounds > places:
+            return rounds
+        jumps = jumps.join(far, "reached").select("node", F.col("next").alias("reached"))
+
+
+def _until_seen_again(moves: Column) -> Column:
+    """The moves of a path up to the one that would enter a place a second time."""
+
+    def place(move: Column, side: str) -> Column:
+        return F.concat_ws("\u0000", move["step"][f"{side}_model"], move["step"][f"{side}_column"])
+
+    visited = F.concat(
+        F.array(place(F.get(moves, F.lit(0)), "downstream")),
+        F.transform(moves, lambda m: place(m, "upstream")),
+    )
+    # The i-th move enters visited[i]; array positions begin with 1.
+    stays = F.transform(
+        F.slice(visited, 2, F.size(moves)), lambda v, i: F.array_position(visited, v) <= i + 1
+    )
+    first = F.array_position(stays, F.lit(True))
+    return F.when(first > 0, F.slice(moves, F.lit(1), (first - 1).cast("int"))).otherwise(moves)
+
+
 def walk_lineage(
-    starts: DataFrame,
-    edges: DataFrame,
-    nodes: DataFrame | None = None,
-    max_hops: int = MAX_HOPS,
+    starts: DataFrame, edges: DataFrame, nodes: DataFrame | None = None
 ) -> DataFrame:
     """Follow each distinct (model, column) upstream until nothing leads further.
 
-    One left join per hop, unrolled: the hop limit is small and fixed.  A walk that
-    would enter a column twice stops there.
+    Paths double: each round joins the paths so far with those that begin where they end,
+    so a walk of any length takes as many rounds as its length has binary digits.  A walk
+    that would enter a column twice stops there.
     """
     step = hops(edges, nodes).select(
         F.col("downstream_model").alias("at_model"),
@@ -97,58 +139,55 @@ def walk_lineage(
         "transform_type",
         "crossed_agg",
     )
-    empty_path = F.array().cast(WALK_STEP_ARRAY)
-    front = starts.select("model", F.coalesce("column", F.lit("")).alias("column")).distinct()
-    front = front.select(
+    asked = starts.select("model", F.coalesce("column", F.lit("")).alias("column")).distinct()
+    edge = F.struct(
+        F.col("at_model").alias("downstream_model"),
+        F.col("at_column").alias("downstream_column"),
+        "upstream_model",
+        "upstream_column",
+        "transform_type",
+        edge_certainty(F.col("crossed_agg")).alias("attribution_certainty"),
+    ).cast(WALK_STEP)
+    # A path: where it starts, and its steps with whether each crossed an aggregation.
+    move = F.struct(edge.alias("step"), F.col("crossed_agg").alias("agg"))
+    paths = step.select("at_model", "at_column", F.array(move).alias("moves"))
+    none = F.array().cast(paths.schema["moves"].dataType)
+    for _ in range(_rounds(asked, step)):
+        end = F.get("moves", F.size("moves") - 1)["step"]
+        more = paths.select(
+            F.col("at_model").alias("end_model"),
+            F.col("at_column").alias("end_column"),
+            F.col("moves").alias("more"),
+        )
+        longer = paths.withColumns(
+            {"end_model": end["upstream_model"], "end_column": end["upstream_column"]}
+        ).join(more, ["end_model", "end_column"], "left")
+        paths = longer.select(
+            "at_model",
+            "at_column",
+            _until_seen_again(F.concat("moves", F.coalesce("more", none))).alias("moves"),
+        )
+    paths = paths.select(
+        F.col("at_model").alias("model"),
+        F.col("at_column").alias("column"),
+        _until_seen_again(F.col("moves")).alias("moves"),
+    )
+    moves = F.coalesce("moves", none)
+    met = asked.join(paths, ["model", "column"], "left").select(
         "model",
         "column",
-        F.col("model").alias("at_model"),
-        F.col("column").alias("at_column"),
-        F.lit(False).alias("hit_agg_boundary"),
-        empty_path.alias("walk_path"),
-        F.lit(True).alias("moving"),
+        F.transform(moves, lambda m: m["step"]).alias("walk_path"),
+        F.exists(moves, lambda m: m["agg"]).alias("hit"),
     )
-    for _ in range(max_hops):
-        met = front.join(step, ["at_model", "at_column"], "left")
-        seen = F.exists(
-            "walk_path",
-            lambda s: (s["downstream_model"] == F.col("upstream_model"))
-            & (s["downstream_column"] == F.col("upstream_column")),
-        )
-        goes = F.col("moving") & F.col("upstream_model").isNotNull() & ~seen
-        edge = F.struct(
-            F.col("at_model").alias("downstream_model"),
-            F.col("at_column").alias("downstream_column"),
-            "upstream_model",
-            "upstream_column",
-            "transform_type",
-            edge_certainty(F.col("crossed_agg")).alias("attribution_certainty"),
-        ).cast(WALK_STEP)
-        front = met.select(
-            "model",
-            "column",
-            F.when(goes, F.col("upstream_model")).otherwise(F.col("at_model")).alias("at_model"),
-            F.when(goes, F.col("upstream_column"))
-            .otherwise(F.col("at_column"))
-            .alias("at_column"),
-            (F.col("hit_agg_boundary") | (goes & F.col("crossed_agg"))).alias(
-                "hit_agg_boundary"
-            ),
-            F.when(goes, F.concat("walk_path", F.array(edge)))
-            .otherwise(F.col("walk_path"))
-            .alias("walk_path"),
-            goes.alias("moving"),
-        )
-    n_hops = F.size("walk_path")
-    return front.select(
+    n_hops, hit = F.size("walk_path"), F.col("hit")
+    last = F.get("walk_path", n_hops - 1)
+    return met.select(
         "model",
         "column",
-        F.col("at_model").alias("blame_model"),
-        F.col("at_column").alias("blame_column"),
-        F.when(n_hops == 0, NO_HOP_CERTAINTY)
-        .otherwise(edge_certainty(F.col("hit_agg_boundary")))
-        .alias("certainty"),
-        F.coalesce("hit_agg_boundary", F.lit(False)).alias("hit_agg_boundary"),
+        F.coalesce(last["upstream_model"], "model").alias("blame_model"),
+        F.coalesce(last["upstream_column"], "column").alias("blame_column"),
+        F.when(n_hops == 0, NO_HOP_CERTAINTY).otherwise(edge_certainty(hit)).alias("certainty"),
+        hit.alias("hit_agg_boundary"),
         n_hops.alias("hops"),
         "walk_path",
     )
@@ -205,16 +244,17 @@ def keyed_attribution(
     column: str,
     pk: str,
     keys: DataFrame,
-    max_hops: int = KEYED_MAX_HOPS,
 ) -> DataFrame:
-    """Attribution that re-reads the keys at every hop (one semi join each)."""
+    """Attribution that re-reads the keys at every hop (one semi join each).
+
+    It ends where no edge leads further, or where the walk has been before.
+    """
     known = {(e.downstream_model, e.downstream_column): e for e in edges}
     certainty = 1.0
     rows = keys.select("pk")
-    for _ in range(max_hops):
-        edge = known.get((model, column))
-        if edge is None:
-            break
+    seen = set()
+    while (edge := known.get((model, column))) is not None and (model, column) not in seen:
+        seen.add((model, column))
         if edge.downstream_pk != pk:
             certainty *= OTHER_KEY_FACTOR
         upstream = tables[edge.upstream_model].select(text_key(edge.upstream_pk).alias("pk"))

@@ -63,7 +63,7 @@ def test_first_source_and_tags(spark):
     assert (got.blame_model, got.walk_path[0].transform_type) == ("early", "WINDOW")
 
 
-def test_cycles_and_hop_limit(spark):
+def test_cycles_and_long_chains(spark):
     ring = lineage.edge_frame(
         spark, [("a", "c", "b", "c", False, False, False), ("b", "c", "a", "c", False, False, False)]
     )
@@ -72,7 +72,20 @@ def test_cycles_and_hop_limit(spark):
     chain = lineage.edge_frame(
         spark, [(f"m{i}", "c", f"m{i+1}", "c", False, False, False) for i in range(12)]
     )
-    assert walk(spark, [("m0", "c")], chain)[("m0", "c")].blame_model == "m8"
+    for start in range(12):
+        found = walk(spark, [(f"m{start}", "c")], chain)[(f"m{start}", "c")]
+        assert (found.blame_model, found.hops) == ("m12", 12 - start)
+    loop = lineage.edge_frame(
+        spark,
+        [("t", "c", "x", "c", False, False, False), ("x", "c", "y", "c", True, False, False),
+         ("y", "c", "z", "c", False, False, False), ("z", "c", "x", "c", False, False, False),
+         ("s", "c", "s", "c", False, False, False)],
+    )
+    got = walk(spark, [("t", "c"), ("y", "c"), ("s", "c")], loop)
+    assert [s.upstream_model for s in got[("t", "c")].walk_path] == ["x", "y", "z"]
+    assert [s.upstream_model for s in got[("y", "c")].walk_path] == ["z", "x"]
+    assert got[("t", "c")].hit_agg_boundary and not got[("y", "c")].hit_agg_boundary
+    assert got[("s", "c")].hops == 0
 
 
 def test_first_keys_order(spark):
