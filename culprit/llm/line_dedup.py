@@ -12,8 +12,10 @@ RATIO = 0.05
 # ... and at least so many pages do: one page says nothing about its site.
 LEAST_PAGES = 3
 
+SPACES = " \t\n\u000b\f\r"
+
 # Markup at which a page's text breaks into lines, and markup without text.
-UNSEEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+UNSEEN = r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)"
 BREAK = r"(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr|table|nav|article|footer|header|section|title|head|body|html)([\x20\x09-\x0D][^>]*)?/?>"
 TAG = r"<[^>]*>"
 
@@ -30,12 +32,15 @@ def url_host(url: Column) -> Column:
     return F.when(host != "", F.lower(host))
 
 
-def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
-
-
-def _digest(line: Column) -> Column:
-    return F.unhex(F.sha2(_trimmed(line), 256))
+def told_lines(body: Column) -> Column:
+    """Each line of a text with the digest of its trimmed form; blank lines have none."""
+    return F.transform(
+        F.split(body, "\n"),
+        lambda line: F.struct(
+            line.alias("line"),
+            F.when(F.btrim(line, F.lit(SPACES)) != "", F.unhex(F.sha2(F.btrim(line, F.lit(SPACES)), 256))).alias("digest"),
+        ),
+    )
 
 
 def line_counts(pages: DataFrame) -> DataFrame:
@@ -44,14 +49,10 @@ def line_counts(pages: DataFrame) -> DataFrame:
     `pages` has site and body.  A line counts once per page.  Sums are taken before the
     shuffle, so neither a site nor a line that has most rows meets in one task.
     """
-    lines = F.array_distinct(
-        F.transform(
-            F.filter(F.split("body", "\n"), lambda x: _trimmed(x) != ""),
-            _digest,
-        )
-    )
+    lines = F.array_distinct(F.transform(told_lines(F.col("body")), lambda x: x["digest"]))
     counted = (
         pages.select("site", F.explode(lines).alias("digest"))
+        .where("digest is not null")
         .groupBy("site", "digest")
         .agg(F.count("*").alias("pages"))
     )
@@ -90,18 +91,18 @@ def line_dedup(
     rows = df.select(
         *(c for c in df.columns if c not in added),
         F.coalesce(F.concat(F.lit("s"), site), F.lit("")).alias("_site"),
-        F.split(text, "\n").alias("_lines"),
+        told_lines(text).alias("_lines"),
     ).join(sets, "_site", "left")
     kept = F.filter(
         "_lines",
-        lambda x: (_trimmed(x) == "") | ~F.array_contains(F.col("_common"), _digest(x)),
+        lambda x: x["digest"].isNull() | ~F.array_contains(F.col("_common"), x["digest"]),
     )
-    lines = F.size(F.filter("_lines", lambda x: _trimmed(x) != ""))
+    lines = F.size(F.filter("_lines", lambda x: x["digest"].isNotNull()))
     return (
         rows.withColumn("_kept", F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(kept))
         .withColumns(
             {
-                into: F.array_join("_kept", "\n"),
+                into: F.array_join("_kept.line", "\n"),
                 "n_lines": F.when(F.col("_lines").isNull(), 0).otherwise(lines).cast("long"),
                 "n_dropped": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long"),
             }
