@@ -410,13 +410,11 @@ def ngram_join(
     )
     known = rows.where("id is not null and n > 0").groupBy("code").agg(F.min("id").alias("rep"))
     met = lists.select("code").unionByName(lists.select(F.col("lead").alias("code"))).distinct()
-    sets = stored(
-        rows.where("id is not null")
-        .join(met, "code", "left_semi")
-        .groupBy("code")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")),
-        "gram-sets",
+    # Equal sets shrink to one row per task before they meet the lists.
+    each = rows.where("id is not null").groupBy("code").agg(
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")
     )
+    sets = stored(each.join(met, "code", "left_semi"), "gram-sets")
     stars = (
         lists.where(may_be_alike(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"), alike))
         .select(F.least("code", "lead").alias("a"), F.greatest("code", "lead").alias("b"))
