@@ -33,7 +33,7 @@ SLICES = 64
 PARTS = 256
 
 # Members of a list of sets with one gram that are compared in one group.
-MEMBERS = 1000
+MEMBERS = 300
 
 Batches = Iterator[pa.RecordBatch]
 Task = Callable[[Batches], Batches]
