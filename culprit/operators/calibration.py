@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Scores are fitted and looked up on this grid over [0, 1].
+GRID = 1000
+
+
+def score_bin(score: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(GRID), F.round(score * GRID).cast("int")))
+
 
 def score_groups(pairs: DataFrame) -> DataFrame:
-    """(score, correct) pairs as one weighted row per distinct score.
+    """(score, correct) pairs as one weighted row per grid point.
 
-    Same fit as on the single pairs, but the model code then sees as many rows as there
-    are different scores, however many incidents were labelled.
+    The fit then sees 1001 rows at most, however many incidents were labelled and
+    however their scores differ.
     """
-    return pairs.groupBy(F.col("score").cast("double").alias("score")).agg(
+    return pairs.groupBy((score_bin(F.col("score").cast("double")) / GRID).alias("score")).agg(
         F.avg(F.col("correct").cast("double")).alias("label"),
         F.count(F.lit(1)).cast("double").alias("weight"),
     )
@@ -37,34 +45,18 @@ def calibration_points(model: IsotonicRegressionModel) -> list[tuple[float, floa
     return list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()))
 
 
-def calibrator(model: IsotonicRegressionModel | None) -> Callable[[Column], Column]:
-    """The fitted curve as a column expression (clamped outside, linear between points).
+def levels(points: list[tuple[float, float]]) -> list[float]:
+    """The curve at every grid point: linear between its points, flat outside them."""
+    xs, ys = zip(*points)
+    return np.clip(np.interp(np.arange(GRID + 1) / GRID, xs, ys), 0.0, 1.0).tolist()
 
-    The curve has one knot pair per fitted level, a model-sized constant.
-    """
+
+def calibrator(model: IsotonicRegressionModel | None) -> Callable[[Column], Column]:
+    """The fitted curve as a column expression: one look-up by the score's grid point."""
     if model is None:
         return lambda score: score
-    points = calibration_points(model)
-
-    def apply(score: Column) -> Column:
-        knots = F.array(
-            *[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in points]
-        )
-        below = F.filter(knots, lambda p: p["x"] <= score)
-        above = F.filter(knots, lambda p: p["x"] >= score)
-        left, right = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
-        slope = (right["y"] - left["y"]) / (right["x"] - left["x"])
-        between = F.when(
-            right["x"] > left["x"], left["y"] + slope * (score - left["x"])
-        ).otherwise(left["y"])
-        level = (
-            F.when(F.size(below) == 0, right["y"])
-            .when(F.size(above) == 0, left["y"])
-            .otherwise(between)
-        )
-        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), level))
-
-    return apply
+    told = ", ".join(f"{y!r}D" for y in levels(calibration_points(model)))
+    return lambda score: F.get(F.expr(f"array({told})"), score_bin(score))
 
 
 def apply_calibration(

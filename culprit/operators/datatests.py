@@ -94,13 +94,39 @@ def _split(df: DataFrame, by: Sequence[str]) -> list[str]:
     return [c for c in by if c in df.columns]
 
 
+def key_counts(model: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Each key (`by` and the column) with its number of rows; null keys do not count.
+
+    Tests on one column share this very frame, so Spark plans its shuffle once: repeated
+    keys, the keys a relationship asks for and those it finds all come from it.
+    """
+    return (
+        model.filter(F.col(column).isNotNull())
+        .groupBy(*by, F.col(column).alias("key"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def orphans_by_counts(child: DataFrame, parent: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Keys of `child` counts without a row in `parent` counts.
+
+    A left join that keeps the parent's counts instead of an anti join, which would prune
+    them and so make the parent's shuffle another one.
+    """
+    met = child.join(parent.withColumnRenamed("n", "parents"), [*by, "key"], "left")
+    return met.filter(F.col("parents").isNull())
+
+
 def _scan_counts(
     models: Mapping[str, DataFrame],
     tests: Sequence[DataTest],
     by: Sequence[str],
     groups: Sequence[str] | None,
 ) -> list[DataFrame]:
-    """All not_null tests of a model in one scan; zero rows stand in for the others."""
+    """All not_null and accepted_values tests of a model in one scan.
+
+    Zero rows stand in for the other tests.
+    """
     parts = []
     for name in dict.fromkeys(t.model for t in tests):
         model, own = models[name], [t for t in tests if t.model == name]
@@ -110,6 +136,10 @@ def _scan_counts(
             if t.kind == "not_null":
                 aggs.append(F.count_if(F.col(t.column).isNull()).alias(f"n{i}"))
                 failures = F.col(f"n{i}")
+            elif t.kind == "accepted_values":
+                wrong = F.when(~F.col(t.column).isin(*t.accepted), F.col(t.column))
+                aggs.append(F.count_distinct(wrong).alias(f"n{i}"))
+                failures = F.col(f"n{i}")
             slots.append(F.struct(F.lit(t.name).alias("test_name"), failures.alias("failures")))
         counted = model.groupBy(*_split(model, by)).agg(*aggs)
         long = counted.select(*_split(model, by), F.inline(F.array(*slots)))
@@ -130,11 +160,13 @@ def run_tests(
         model = models[t.model]
         own_by = _split(model, by)
         if t.kind == "unique":
-            found = unique_failures(model, t.column, own_by)
-            size = F.count(F.lit(1))
-        elif t.kind == "accepted_values":
-            found = accepted_values_failures(model, t.column, t.accepted, own_by)
+            found = key_counts(model, t.column, own_by).filter(F.col("n") > 1)
             size = F.count(F.lit(1))
+        elif t.kind == "relationships" and own_by == _split(models[t.parent_model], by):
+            child = key_counts(model, t.column, own_by)
+            parent = key_counts(models[t.parent_model], t.parent_column, own_by)
+            found = orphans_by_counts(child, parent, own_by)
+            size = F.sum("n")
         elif t.kind == "relationships":
             found = orphan_keys(
                 model, t.column, models[t.parent_model], t.parent_column, by=by, groups=groups

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from culprit.functions.detectors import DETECTORS, Detector
 from culprit.operators.datatests import DataTest, failing_keys, run_tests
 from culprit.operators.evidence import Target, assemble_evidence
-from culprit.operators.incidents import build_incidents, choose_test, classify
+from culprit.operators.incidents import Tiebreaker, build_incidents, choose_test, classify
 from culprit.operators.lineage import DEFAULT_KEY, walk_lineage
 from culprit.schemas import FLAG, REAL, TEXT, WALK_STEP, record
 from culprit.sources.constants import constant_frame
@@ -124,6 +125,9 @@ def triage(
     created_at: Column | None = None,
     observed_at: datetime | str | None = None,
     baselines: DataFrame | None = None,
+    detectors: Sequence[Detector] = DETECTORS,
+    tiebreaker: Tiebreaker | None = None,
+    calibrate: Callable[[Column], Column] | None = None,
     **options: object,
 ) -> Triage:
     """Run tests, trace failures, probe the blamed tables and rank causes.
@@ -132,6 +136,8 @@ def triage(
     failed decide which tables the rest of the plan touches.  Everything after that is
     lazy.  With `by`, one table may hold many runs (trials, loads, feeds) and each gets
     its own incidents.  `one_per_group` keeps the test closest to the source per run.
+    `detectors` replaces the rules, `tiebreaker` scores the uncertain cases again, and
+    `calibrate` (say, a fitted curve) turns raw confidences into calibrated ones.
     """
     tests = list(tests if tests is not None else project.tests)
     if attributions is None:
@@ -161,11 +167,12 @@ def triage(
     met = met.withColumn(
         "failing_row_count", F.when(handled, F.col("failures")).otherwise(F.lit(0))
     )
-    classified = classify(met)
+    classified = classify(met, detectors, tiebreaker)
     incidents = build_incidents(
         classified,
         identity=[*by, "test_name"],
         created_at=created_at if created_at is not None else F.current_timestamp(),
+        calibrate=calibrate,
     )
     keys = [
         failing_keys(models, a.test, project.pk(a.test.model), by=by, groups=groups)

@@ -12,6 +12,7 @@ import __spark_entry__ as entry_module
 from culprit.catalog import fixtures as fx
 from culprit.catalog.oracles import ORACLES
 from culprit.catalog.queries import QUERIES
+from culprit.functions.detectors import DETECTORS
 from culprit.operators import calibration, repair
 from culprit.operators.incidents import build_incidents
 from culprit.plans import retail
@@ -78,6 +79,33 @@ def test_calibration(spark):
     assert all(r.score == r.calibrated for r in same.collect())
 
 
+def test_calibrated_triage_with_own_rules(spark, folder):
+    raw, _ = fx.one_fault(spark, folder, "null_spike.heavy_30pct")
+    plan = project(spark)
+    tests = [t for t in retail.TESTS if t.name == "not_null_stg_orders_customer_id"]
+    pairs = spark.sql("SELECT * FROM VALUES (0.2D,false),(0.9D,true),(1.0D,false) t(score, correct)")
+    curve = calibration.calibrator(calibration.fit_calibration(pairs))
+
+    def run(**options):
+        answer = triage(spark, raw, retail.staging(raw), plan, tests=tests, **options)
+        found = answer.incidents.first().hypotheses[0]
+        answer.release()
+        return found
+
+    plain = run()
+    assert plain.confidence == plain.confidence_calibrated == 1.0
+    fitted = run(calibrate=curve)
+    assert (fitted.confidence, fitted.confidence_calibrated) == (1.0, 0.5)
+    none = run(detectors=DETECTORS[1:2])
+    assert none.cause_class == "unknown"
+
+    def tiebreaker(unsure):
+        late = lambda s: s.withField("cause_class", F.lit("late_arriving"))
+        return unsure.withColumn("class_scores", F.transform("class_scores", late))
+
+    assert run(detectors=DETECTORS[1:2], tiebreaker=tiebreaker).cause_class == "late_arriving"
+
+
 def test_repairs(spark):
     df = spark.sql("SELECT * FROM VALUES (1,NULL),(1,5),(2,7),(2,7),(3,8) t(id, v)")
     assert repair.repair_nulls(df, "v").count() == 4
