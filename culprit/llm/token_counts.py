@@ -29,6 +29,9 @@ AGREED = (
 # Texts that share one vocabulary of pre-tokens on their way to the counts.
 BLOCK_CHARS = 16_000_000
 
+# Counts that go back to their blocks in one packet per block.
+PACKED_ROWS = 500_000
+
 
 def planes(values: np.ndarray) -> bytes:
     """Small integers, byte by byte of equal weight, compressed."""
@@ -131,53 +134,62 @@ def _blocks(path: str, block_chars: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (piece, block, slot), sorted by piece, to (block, slot, n)."""
+    """Rows (piece, block, slot), sorted by piece, to the slots' counts, packed by block."""
+
+    def packed(block: np.ndarray, slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((slot, block))
+        block, slot, n = block[order], slot[order], n[order]
+        starts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+        ends = [*starts[1:], len(block)]
+        return pa.record_batch(
+            {
+                "block": pa.array(block[starts]),
+                "slots": pa.array(
+                    [planes(np.diff(slot[x:y], prepend=0)) for x, y in zip(starts, ends, strict=True)], pa.binary()
+                ),
+                "counts": pa.array([planes(n[x:y]) for x, y in zip(starts, ends, strict=True)], pa.binary()),
+            }
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        last, last_n = None, 0
+        last, last_n, held, rows = None, 0, [], 0
         for batch in batches:
             runs = pc.run_end_encode(batch.column(0))
             distinct = runs.values.to_pylist()
+            if not distinct:
+                continue
             # The first may go on from the batch before.
-            skip = int(bool(distinct) and distinct[0] == last)
+            skip = int(distinct[0] == last)
             new = tokenizer.encode_batch_fast(distinct[skip:], add_special_tokens=False)
             n = np.array([last_n] * skip + [len(e.ids) for e in new], np.int64)
-            ends = np.array(runs.run_ends)
-            yield pa.record_batch(
-                {
-                    "block": batch.column(1),
-                    "slot": batch.column(2),
-                    "n": pa.array(np.repeat(n, np.diff(ends, prepend=0)).astype(np.int32)),
-                }
-            )
-            if distinct:
-                last, last_n = distinct[-1], int(n[-1])
+            n_rows = np.repeat(n, np.diff(np.array(runs.run_ends), prepend=0))
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), n_rows))
+            last, last_n, rows = distinct[-1], int(n[-1]), rows + batch.num_rows
+            if rows >= PACKED_ROWS:
+                yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                held, rows = [], 0
+        if held:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
 def _summed(counts: pa.Table, tables: pa.Table) -> pa.Table:
     """Tokens per document of one block: frequencies times pieces."""
-    made = []
-    for row in tables.to_batches():
-        for i in range(row.num_rows):
-            at = {name: row.column(name)[i] for name in row.schema.names}
-            lengths = unplanes(at["lengths"].as_py())
-            steps, times = unplanes(at["slots"].as_py()), unplanes(at["times"].as_py())
-            ends = np.cumsum(lengths)
-            # Slots are stored as steps within a document: undo the sum over those before.
-            run = np.cumsum(steps)
-            base = np.concatenate([[0], run])[ends - lengths]
-            slots = run - np.repeat(base, lengths)
-            pieces = np.zeros(counts.num_rows, np.int64)
-            pieces[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-            sums = np.concatenate([[0], np.cumsum(pieces[slots] * times)]).astype(np.int64)
-            total = sums[ends] - sums[ends - lengths] + np.array(at["direct"].as_py(), np.int64)
-            made.append(
-                pa.table({"id": at["ids"].values, "n_bytes": at["n_bytes"].values, "n_tokens": pa.array(total)})
-            )
-    return pa.concat_tables(made)
+    at = {name: tables[name][0] for name in tables.column_names}
+    lengths = unplanes(at["lengths"].as_py())
+    steps, times = unplanes(at["slots"].as_py()), unplanes(at["times"].as_py())
+    ends = np.cumsum(lengths)
+    # Slots are stored as steps within a document: undo the sum over those before.
+    run = np.cumsum(steps)
+    slots = run - np.repeat(np.concatenate([[0], run])[ends - lengths], lengths)
+    pieces = np.zeros(slots.max(initial=-1) + 1, np.int64)
+    for some, n in zip(counts["slots"].to_pylist(), counts["counts"].to_pylist(), strict=True):
+        pieces[np.cumsum(unplanes(some))] = unplanes(n)
+    sums = np.concatenate([[0], np.cumsum(pieces[slots] * times)]).astype(np.int64)
+    total = sums[ends] - sums[ends - lengths] + np.array(at["direct"].as_py(), np.int64)
+    return pa.table({"id": at["ids"].values, "n_bytes": at["n_bytes"].values, "n_tokens": pa.array(total)})
 
 
 def token_counts(
@@ -209,7 +221,7 @@ def token_counts(
         .repartition("piece")
         .sortWithinPartitions("piece")
     )
-    counts = pieces.mapInArrow(_pieces(path), "block long, slot int, n int")
+    counts = pieces.mapInArrow(_pieces(path), "block long, slots binary, counts binary")
     return (
         counts.groupBy("block")
         .cogroup(blocks.drop("pieces").groupBy("block"))
