@@ -77,31 +77,30 @@ def hops(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _rounds(starts: DataFrame, step: DataFrame) -> int:
-    """How often paths must double until no walk from `starts` goes on.
+def _rounds(step: DataFrame) -> int:
+    """How often paths must double until none goes on.
 
-    Works on (model, column) pairs alone.  Only places that a walk can reach count, and a
-    walk in a circle has seen all of it when it is longer than there are places.
+    Works on (model, column) pairs alone: jumps of 1, 2, 4, ... steps, until there is none
+    so long.  A walk in a circle has seen all of it when it is longer than there are
+    places.
     """
-    node = F.struct(F.col("at_model").alias("m"), F.col("at_column").alias("c"))
-    up = F.struct(F.col("upstream_model").alias("m"), F.col("upstream_column").alias("c"))
-    jumps = step.select(node.alias("node"), up.alias("reached"))
-    front = starts.select(
-        F.struct(F.col("model").alias("m"), F.col("column").alias("c")).alias("reached")
-    ).distinct()
-    rounds, places = 0, None
+    # A row per model column, read by every job below.
+    step = step.coalesce(1).persist()
+    places = step.count()
+    jumps = step.select(
+        F.struct(F.col("at_model").alias("m"), F.col("at_column").alias("c")).alias("node"),
+        F.struct(F.col("upstream_model").alias("m"), F.col("upstream_column").alias("c")).alias(
+            "reached"
+        ),
+    )
+    rounds = 0
     while True:
-        far = jumps.select(F.col("node").alias("reached"), F.col("reached").alias("next"))
-        front = front.join(far, "reached").select(F.col("next").alias("reached")).distinct()
-        if front.isEmpty():
-            # So far 1 + 2 + 4 + ... steps were made, and fewer than the next power remain.
-            return rounds + (rounds > 1)
-        if places is None:
-            places = step.count()
         rounds += 1
-        if 2**rounds > places:
-            return rounds
+        far = jumps.select(F.col("node").alias("reached"), F.col("reached").alias("next"))
         jumps = jumps.join(far, "reached").select("node", F.col("next").alias("reached"))
+        if 2**rounds > places or jumps.isEmpty():
+            step.unpersist()
+            return rounds
 
 
 def _until_seen_again(moves: Column) -> Column:
@@ -152,7 +151,7 @@ def walk_lineage(
     move = F.struct(edge.alias("step"), F.col("crossed_agg").alias("agg"))
     paths = step.select("at_model", "at_column", F.array(move).alias("moves"))
     none = F.array().cast(paths.schema["moves"].dataType)
-    for _ in range(_rounds(asked, step)):
+    for _ in range(_rounds(step)):
         end = F.get("moves", F.size("moves") - 1)["step"]
         more = paths.select(
             F.col("at_model").alias("end_model"),
