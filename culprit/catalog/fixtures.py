@@ -76,10 +76,14 @@ def line_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
-def line_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    return assemble_evidence(
-        [LINE_TARGET], line_tables(spark, folder), by=["feed_id"], observed_at=OBSERVED_AT
-    )
+def line_evidence(
+    spark: SparkSession, folder: str, feeds: DataFrame | None = None
+) -> DataFrame:
+    """Evidence by feed, of all feeds or of those in `feeds`."""
+    tables = line_tables(spark, folder)
+    if feeds is not None:
+        tables["feed_lines"] = tables["feed_lines"].join(feeds, "feed_id", "left_semi")
+    return assemble_evidence([LINE_TARGET], tables, by=["feed_id"], observed_at=OBSERVED_AT)
 
 
 def line_edges(spark: SparkSession) -> DataFrame:
@@ -92,9 +96,11 @@ def line_edges(spark: SparkSession) -> DataFrame:
     )
 
 
-def line_classified(spark: SparkSession, folder: str) -> DataFrame:
+def line_classified(
+    spark: SparkSession, folder: str, feeds: DataFrame | None = None
+) -> DataFrame:
     """Feed evidence with ranked causes and the lineage walk it came from."""
-    scored = classify(line_evidence(spark, folder))
+    scored = classify(line_evidence(spark, folder, feeds))
     starts = scored.select(
         F.col("failing_model").alias("model"), F.col("failing_column").alias("column")
     )

@@ -1355,3 +1355,43 @@ FROM (
          0.5e0, 'No deterministic detector fired (score 0.50).',
          'Inspect raw_orders.o_orderstatus manually — no rule fired.', 'triage_only', 'none')
 """
+
+# --- places, classes, layers --------------------------------------------------------------
+
+ORACLES["metric_confusion"] = with_ctes(
+    *_NOISY, select="SELECT true_class, said AS cause_class, count(*) AS n FROM pairs GROUP BY 1, 2"
+)
+ORACLES["incidents_by_place"] = with_ctes(
+    INCIDENTS,
+    select="""
+SELECT blame_model, blame_column, coalesce(final_cause, top_class) AS cause,
+       count(*) AS n_incidents, min(created_at) AS first_seen, max(created_at) AS last_seen
+FROM summed GROUP BY 1, 2, 3""",
+)
+ORACLES["lag_ratio_sla"] = with_ctes(
+    FEED_EVIDENCE,
+    select="""
+SELECT feed_id, round(blame_lag_ratio * 1440 / (SELECT count(*) FROM orders), 6) AS blame_lag_ratio
+FROM line_evidence""",
+)
+ORACLES["first_temporal"] = """
+SELECT 'orders' AS table_name, 'o_orderdate' AS column_name, count(o_orderdate) AS filled_rows
+FROM orders
+UNION ALL SELECT 'lineitem', 'l_shipdate', count(l_shipdate) FROM lineitem
+UNION ALL SELECT 'events', 'ts', count(ts) FROM events
+"""
+ORACLES["key_column"] = with_ctes(
+    *_LINEAGE,
+    select="""
+SELECT model, CASE model WHEN 'orders' THEN 'order_id' WHEN 'customers' THEN 'customer_id'
+  WHEN 'stg_customers' THEN 'customer_id' WHEN 'raw_orders' THEN 'o_orderkey' ELSE 'id' END
+  AS key_column, count(*) AS n_rows
+FROM suspects GROUP BY 1, 2""",
+)
+ORACLES["seed_csv"] = "SELECT s_suppkey, s_name, s_nationkey FROM supplier"
+ORACLES["materialised_layers"] = with_ctes(
+    STG,
+    select="""
+SELECT customer_id, customer_name, number_of_orders
+FROM stg_customers JOIN mart_customers USING (customer_id, customer_name)""",
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from culprit.catalog import fixtures as fx
 from culprit.functions.detectors import DETECTORS, Detector, verdict
-from culprit.functions.dtypes import norm_dtype
+from culprit.functions.dtypes import first_temporal, norm_dtype
 from culprit.functions.keys import incident_key, text_key
 from culprit.operators import baselines, calibration, datatests, lineage, metrics, probes, repair
 from culprit.operators.evidence import Target, assemble_evidence, fingerprint, schema_mismatch
@@ -22,6 +23,7 @@ from culprit.operators.incidents import (
     from_payload,
     incident_rows,
     incident_summary,
+    incidents_by_place,
     narrate,
     ranked_causes,
 )
@@ -31,6 +33,7 @@ from culprit.plans.triage import triage
 from culprit.schemas import EVIDENCE_DEFAULTS, EVIDENCE_FIELDS
 from culprit.session import scratch_path
 from culprit.sources import artifacts, jsonl, store
+from culprit.sources.tables import materialise, seed_csv
 from culprit.streaming.triage_stream import triage_stream, write_artifacts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,14 +50,13 @@ def query(function: Query) -> Query:
 
 @query
 def q_failing_tests(spark: SparkSession, folder: str) -> DataFrame:
-    runs, manifests = fx.artifacts(spark, folder)
-    found = artifacts.failing_tests(runs, manifests)
+    found = artifacts.failing_tests(artifacts.documents_of(*fx.artifacts(spark, folder)))
     return found.withColumnRenamed("column", "column_name").drop("position")
 
 
 @query
 def q_run_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return artifacts.run_totals(*fx.artifacts(spark, folder))
+    return artifacts.run_totals(artifacts.documents_of(*fx.artifacts(spark, folder)))
 
 
 def _named_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,14 +132,14 @@ def q_resolve_relation(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def q_choose_test(spark: SparkSession, folder: str) -> DataFrame:
-    failing = artifacts.failing_tests(*fx.artifacts(spark, folder))
+    failing = artifacts.failing_tests(artifacts.documents_of(*fx.artifacts(spark, folder)))
     chosen = choose_test(failing, ["run_id"])
     return chosen.select("run_id", "test_name", "model")
 
 
 @query
 def q_choose_named_test(spark: SparkSession, folder: str) -> DataFrame:
-    failing = artifacts.failing_tests(*fx.artifacts(spark, folder))
+    failing = artifacts.failing_tests(artifacts.documents_of(*fx.artifacts(spark, folder)))
     chosen = choose_test(failing, ["run_id"], "unique_stg")
     return chosen.select("run_id", "test_name", "model")
 
@@ -145,7 +147,7 @@ def q_choose_named_test(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def q_choose_exact_test(spark: SparkSession, folder: str) -> DataFrame:
     """The longer name sorts first, the exact one is chosen; no such test, no row."""
-    failing = artifacts.failing_tests(*fx.artifacts(spark, folder))
+    failing = artifacts.failing_tests(artifacts.documents_of(*fx.artifacts(spark, folder)))
     name = "unique_stg_lines_line_key"
     longer = failing.filter(F.col("test_name") == name).select(
         *[F.concat(F.col(c), F.lit("_a")).alias(c) if c == "test_name"
@@ -269,6 +271,26 @@ def q_mart_customers(spark: SparkSession, folder: str) -> DataFrame:
     return fx.rounded(retail.models(retail.sources(spark, folder))["customers"], 4)
 
 
+@query
+def q_seed_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The suppliers written as a seed file and read back with their schema."""
+    path = scratch_path(spark, "seed")
+    suppliers = fx.read(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    suppliers.write.csv(path, header=True)
+    return seed_csv(spark, path, suppliers.schema)
+
+
+@query
+def q_materialised_layers(spark: SparkSession, folder: str) -> DataFrame:
+    """A staging model as a view, and the mart over it as a table."""
+    models = retail.models(retail.sources(spark, folder))
+    name = f"culprit_{uuid.uuid4().hex}"
+    materialise(models["stg_customers"], "staging", f"{name}_stg")
+    materialise(models["customers"], "marts", name)
+    mart, view = spark.table(name), spark.table(f"{name}_stg")
+    return view.join(mart.select("customer_id", "number_of_orders"), "customer_id")
+
+
 # --- probes ----------------------------------------------------------------------------
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -451,6 +473,34 @@ def q_fanout_risk(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def q_lag_ratio_sla(spark: SparkSession, folder: str) -> DataFrame:
+    """Lag against an SLA table: lines may be as many minutes old as there are orders."""
+    minutes = F.count(F.lit(1)).cast("double").alias("sla_minutes")
+    slas = fx.read(spark, folder, "orders").agg(minutes).withColumn("blame_model", F.lit("feed_lines"))
+    found = assemble_evidence(
+        [fx.LINE_TARGET], fx.line_tables(spark, folder), by=["feed_id"],
+        observed_at=fx.OBSERVED_AT, slas=slas,
+    )
+    return fx.rounded(found.select("feed_id", "blame_lag_ratio"))
+
+
+@query
+def q_first_temporal(spark: SparkSession, folder: str) -> DataFrame:
+    """The column that tells how fresh each table is, with its filled rows."""
+    parts = []
+    for table in TABLES:
+        df = fx.read(spark, folder, table)
+        column = first_temporal(df.schema)
+        if column is not None:
+            parts.append(
+                df.agg(F.count(column).alias("filled_rows")).select(
+                    F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "filled_rows"
+                )
+            )
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def q_value_drift_z(spark: SparkSession, folder: str) -> DataFrame:
     found = fx.event_evidence(spark, folder).filter("target = 'value'")
@@ -559,6 +609,15 @@ def q_edge_transform(spark: SparkSession, folder: str) -> DataFrame:
     return tagged.groupBy("transform_type").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
+@query
+def q_key_column(spark: SparkSession, folder: str) -> DataFrame:
+    """The key column that each suspect's model is looked up by."""
+    found = _suspects(spark, folder).withColumn(
+        "key_column", lineage.key_column(F.col("model"), retail.PK_MAP)
+    )
+    return found.groupBy("model", "key_column").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query
 def q_blame_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Keys of the suspects, carried upstream unless an aggregation was crossed."""
@@ -848,6 +907,11 @@ def q_incident_summary(spark: SparkSession, folder: str) -> DataFrame:
     return fx.wall_clock(incident_summary(fx.line_incidents(spark, folder)))
 
 
+@query
+def q_incidents_by_place(spark: SparkSession, folder: str) -> DataFrame:
+    return fx.wall_clock(incidents_by_place(fx.line_incidents(spark, folder)))
+
+
 @query
 def q_narrative(spark: SparkSession, folder: str) -> DataFrame:
     return narrate(fx.line_incidents(spark, folder)).select(
@@ -1172,6 +1236,11 @@ def q_metrics_report_row(spark: SparkSession, folder: str) -> DataFrame:
     return report.select(metrics.report_line("culprit").alias("report_row"))
 
 
+@query
+def q_metric_confusion(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.confusion(_noisy_pairs(spark, folder))
+
+
 # --- baselines -------------------------------------------------------------------------
 
 
@@ -1233,11 +1302,13 @@ def q_triage_stream(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "stream")
     runs, manifests = fx.artifacts(spark, folder)
     write_artifacts(runs, manifests, f"{path}/artifacts")
-    evidence = fx.line_classified(spark, folder).withColumn(
-        "run_id", F.concat(F.lit("run_"), F.col("feed_id").cast("string"))
-    )
 
     def respond(failing: DataFrame) -> DataFrame:
+        """Evidence for the feeds of this batch only."""
+        feeds = failing.select(F.expr("substring(run_id, 5)").cast("bigint").alias("feed_id"))
+        evidence = fx.line_classified(spark, folder, feeds.distinct()).withColumn(
+            "run_id", F.concat(F.lit("run_"), F.col("feed_id").cast("string"))
+        )
         met = failing.select("run_id", "test_name").join(evidence, ["run_id", "test_name"])
         return build_incidents(
             met, identity=["feed_id", "test_name"], created_at=F.lit(fx.FAULTS_AT)

@@ -200,6 +200,7 @@ def assemble_evidence(
     groups: Sequence[str] | None = None,
     observed_at: datetime | str | None = None,
     baselines: DataFrame | None = None,
+    slas: DataFrame | None = None,
     wanted: Sequence[str] = FACTS,
     ignore_null_parents: bool = False,
     use_skew: bool = True,
@@ -210,7 +211,8 @@ def assemble_evidence(
     `observed_at` is the clock for freshness; without it there is no freshness
     evidence, because a wall clock would call all historic data late.  `baselines`
     (target, expected_dtype, expected_mean, expected_stddev, and optionally the `by`
-    columns) overrides the expectations in the targets.  `wanted` names the column facts
+    columns) overrides the expectations in the targets; `slas` (blame_model, sla_minutes)
+    overrides how old a table may be.  `wanted` names the column facts
     to compute; the others count as not known.
 
     Every target has its row, in every group, whatever could be probed: a table or column
@@ -306,6 +308,11 @@ def assemble_evidence(
         for c in given:
             if c in baselines.columns:
                 rows = rows.withColumn(c, F.coalesce(f"given_{c}", c))
+    if slas is not None:
+        given = slas.select("blame_model", F.col("sla_minutes").alias("given_sla"))
+        rows = rows.join(given, "blame_model", "left").withColumn(
+            "sla_minutes", F.coalesce("given_sla", "sla_minutes")
+        )
     return _derive(rows, by, observed_at, ignore_null_parents, use_skew, fanout_parent_only)
 
 

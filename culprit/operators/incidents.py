@@ -192,6 +192,21 @@ def incident_summary(incidents: DataFrame) -> DataFrame:
     )
 
 
+def incidents_by_place(incidents: DataFrame) -> DataFrame:
+    """Incidents grouped by what they blame, with their span and surest cause."""
+    place = incidents.select(
+        F.col("blame_location.model").alias("blame_model"),
+        F.col("blame_location.column").alias("blame_column"),
+        "created_at",
+        likely_cause().alias("cause"),
+    )
+    return place.groupBy("blame_model", "blame_column", "cause").agg(
+        F.count(F.lit(1)).alias("n_incidents"),
+        F.min("created_at").alias("first_seen"),
+        F.max("created_at").alias("last_seen"),
+    )
+
+
 def narrate(incidents: DataFrame) -> DataFrame:
     """Headline, story, fix, chat payload and review comment for each incident."""
     flat = incidents.select(

@@ -143,6 +143,12 @@ def per_class(pairs: DataFrame) -> DataFrame:
     )
 
 
+def confusion(pairs: DataFrame) -> DataFrame:
+    """How often each true class got each predicted class; no prediction is its own class."""
+    said = F.coalesce("cause_class", F.lit("none"))
+    return pairs.groupBy("true_class", said.alias("cause_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def class_f1(pairs: DataFrame) -> DataFrame:
     """F1 of each class that occurs among the labels."""
     said = pairs.select(

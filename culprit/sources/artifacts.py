@@ -74,28 +74,42 @@ def last_part(unique_id: Column) -> Column:
     return F.element_at(F.split(unique_id, r"\."), -1)
 
 
-def test_results(runs: DataFrame, manifests: DataFrame, on: str = "run_id") -> DataFrame:
-    """Every test of every run with its manifest entry.
+def documents_of(runs: DataFrame, manifests: DataFrame, on: str = "run_id") -> DataFrame:
+    """Both documents of each run in one row; a run may lack its manifest."""
+    return runs.select(on, "run_results").join(manifests.select(on, "manifest"), on, "left")
 
-    `runs` holds (run key, run_results JSON), `manifests` (run key, manifest JSON).
-    """
-    results = runs.select(on, F.from_json("run_results", RUN_RESULTS).alias("r")).select(
-        on, F.posexplode("r.results").alias("position", "r")
-    )
-    results = results.select(on, "position", "r.*").filter(
-        F.col("unique_id").startswith(TEST_PREFIX)
-    )
-    # Models and their documentation make up most of a manifest; they stay in the row.
-    tests = F.map_filter("m.nodes", lambda uid, _: uid.startswith(TEST_PREFIX))
-    nodes = manifests.select(on, F.from_json("manifest", MANIFEST).alias("m")).select(
-        on, F.explode(tests).alias("unique_id", "node")
-    )
-    return results.join(nodes, [on, "unique_id"], "left")
 
+def test_results(documents: DataFrame, on: str = "run_id") -> DataFrame:
+    """Every test of every run with its manifest entry.
 
-def failing_tests(runs: DataFrame, manifests: DataFrame, on: str = "run_id") -> DataFrame:
+    `documents` holds (run key, run_results JSON, manifest JSON).  Each result looks up
+    its node in the row's own manifest before anything is exploded, so nodes neither
+    move nor multiply.
+    """
+    both = F.struct(
+        F.from_json("run_results", RUN_RESULTS)["results"].alias("results"),
+        F.from_json("manifest", MANIFEST)["nodes"].alias("nodes"),
+    )
+    # The one-element explode pins the parsed documents: inlined into the look-up they
+    # would be parsed again for every result.
+    parsed = documents.select(on, F.explode(F.array(both)).alias("d"))
+    numbered = F.transform(
+        "d.results",
+        lambda r, i: F.struct(
+            i.alias("position"),
+            r["unique_id"].alias("unique_id"),
+            r["status"].alias("status"),
+            r["relation_name"].alias("relation_name"),
+            F.col("d.nodes")[r["unique_id"]].alias("node"),
+        ),
+    )
+    tests = F.filter(numbered, lambda r: r["unique_id"].startswith(TEST_PREFIX))
+    return parsed.select(on, F.inline(tests))
+
+
+def failing_tests(documents: DataFrame, on: str = "run_id") -> DataFrame:
     """Failing tests with kind, model, column, parent and failures table."""
-    failed = test_results(runs, manifests, on).filter(F.col("status").isin(*FAILED_STATUSES))
+    failed = test_results(documents, on).filter(F.col("status").isin(*FAILED_STATUSES))
     name = F.coalesce("node.name", last_part(F.col("unique_id")))
     depends = F.coalesce("node.depends_on.nodes", F.array().cast("array<string>"))
     models = F.transform(
@@ -128,9 +142,9 @@ def failing_tests(runs: DataFrame, manifests: DataFrame, on: str = "run_id") ->
     )
 
 
-def run_totals(runs: DataFrame, manifests: DataFrame, on: str = "run_id") -> DataFrame:
+def run_totals(documents: DataFrame, on: str = "run_id") -> DataFrame:
     """Passed and failed tests per run."""
-    results = test_results(runs, manifests, on)
+    results = test_results(documents, on)
     return results.groupBy(on).agg(
         F.count_if(F.col("status") == "pass").alias("passed"),
         F.count_if(F.col("status").isin(*FAILED_STATUSES)).alias("failed"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from culprit.schemas import TEXT, record
-from culprit.sources.artifacts import failing_tests
+from culprit.sources.artifacts import documents_of, failing_tests
 from culprit.sources.store import IncidentStore
 
 ARTIFACT = record(run_id=TEXT, run_results=TEXT, manifest=TEXT)
@@ -19,7 +19,7 @@ Responder = Callable[[DataFrame], DataFrame]
 
 def write_artifacts(runs: DataFrame, manifests: DataFrame, path: str) -> None:
     """Both documents of each run as one JSON line."""
-    runs.join(manifests, "run_id").select(*ARTIFACT.names).write.mode("append").json(path)
+    documents_of(runs, manifests).select(*ARTIFACT.names).write.mode("append").json(path)
 
 
 def start_triage_stream(
@@ -44,9 +44,7 @@ def start_triage_stream(
     arriving = reader.json(artifacts_path)
 
     def triage_batch(batch: DataFrame, batch_id: int) -> None:
-        failing = failing_tests(
-            batch.select("run_id", "run_results"), batch.select("run_id", "manifest")
-        )
+        failing = failing_tests(batch)
         query_id = spark.read.text(f"{checkpoint}/metadata").first()["value"]
         store.save(respond(failing), batch=f"{query_id}#{batch_id}")
 

@@ -40,18 +40,18 @@ def documents(spark, results=RESULTS):
 
 
 def test_failing_tests(spark):
-    got = artifacts.failing_tests(*documents(spark)).orderBy("position").collect()
+    got = artifacts.failing_tests(artifacts.documents_of(*documents(spark))).orderBy("position").collect()
     assert [(r.kind, r.model, r.column, r.parent_model, r.parent_column, r.failures_table) for r in got] == [
         ("not_null", "stg_orders", "customer_id", None, None, "db.fail.nn"),
         ("relationships", "stg_orders", "customer_id", "stg_customers", "customer_id", "db.fail.rel"),
         ("unknown", "?", None, None, None, ""),
     ]
     assert got[2].test_name == "abc"
-    assert rows(artifacts.run_totals(*documents(spark))) == [("r", 1, 3)]
+    assert rows(artifacts.run_totals(artifacts.documents_of(*documents(spark)))) == [("r", 1, 3)]
 
 
 def test_nothing_failed(spark):
-    assert artifacts.failing_tests(*documents(spark, [])).count() == 0
+    assert artifacts.failing_tests(artifacts.documents_of(*documents(spark, []))).count() == 0
 
 
 def test_name_parse(spark):
