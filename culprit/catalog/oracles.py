@@ -1395,3 +1395,72 @@ ORACLES["materialised_layers"] = with_ctes(
 SELECT customer_id, customer_name, number_of_orders
 FROM stg_customers JOIN mart_customers USING (customer_id, customer_name)""",
 )
+
+# --- history ------------------------------------------------------------------------------
+
+ORACLES["null_rate_trend"] = with_ctes(
+    FEED,
+    """
+daily AS (
+  SELECT CAST(ship_ts AS DATE) AS day, count(*) AS n_rows,
+         (count(*) - count(order_ref)) / count(*) AS null_rate
+  FROM feed_lines WHERE ship_ts IS NOT NULL GROUP BY 1),
+trend AS (
+  SELECT d.day, any_value(d.n_rows) AS n_rows, any_value(d.null_rate) AS null_rate,
+         median(b.null_rate) AS p50, avg(b.null_rate) AS mean, stddev_samp(b.null_rate) AS spread
+  FROM daily d LEFT JOIN daily b ON b.day >= d.day - 30 AND b.day < d.day GROUP BY d.day)""",
+    select="""
+SELECT CAST(day AS VARCHAR) AS day, n_rows, round(null_rate, 6) AS null_rate,
+       round(p50, 6) AS null_rate_p50,
+       round(CASE WHEN spread > 0 THEN (null_rate - mean) / spread ELSE 0e0 END, 6) AS null_rate_z
+FROM trend""",
+)
+ORACLES["schema_diff"] = with_ctes(
+    _TYPES_CTE,
+    select="""
+SELECT table_name, column_name,
+       CASE WHEN column_name = 'l_tax' THEN 'none' WHEN column_name LIKE '%key' THEN 'STRING'
+            ELSE dtype END AS old_dtype,
+       CASE WHEN column_name = 'o_orderpriority' THEN 'none' ELSE dtype END AS new_dtype,
+       CASE WHEN column_name = 'l_tax' THEN 'added' WHEN column_name = 'o_orderpriority'
+            THEN 'dropped' ELSE 'retyped' END AS change, filled_rows
+FROM kinds WHERE column_name IN ('l_tax', 'o_orderpriority') OR column_name LIKE '%key'""",
+)
+ORACLES["expired_references"] = """
+SELECT l_suppkey AS feed_id, count(*) AS n_rows,
+       count(*) FILTER (s_nationkey > 0
+         AND TIMESTAMP '1996-01-01' + to_days(CAST(s_nationkey * 100 AS INTEGER)) < l_shipdate) AS n_expired
+FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1
+"""
+ORACLES["unit_shift"] = """
+SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 100e0 ELSE 1e0 END AS unit_factor
+FROM events GROUP BY user_id
+"""
+ORACLES["hash_split"] = """
+SELECT doc_id, CASE WHEN spot < 60 THEN 'fit' WHEN spot < 80 THEN 'tune' ELSE 'test' END AS part
+FROM (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS spot
+      FROM labels)
+"""
+ORACLES["blame_outside"] = with_ctes(
+    INCIDENTS, select="SELECT count(*) AS n_incidents, count(*) AS n_outside FROM summed"
+)
+_STEPS = ", ".join(
+    repr(sum(0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)[:k])) + "e0"
+    for k in range(1, 9)
+)
+ORACLES["metric_interval"] = with_ctes(
+    *_NOISY,
+    f"""
+drawn AS (
+  SELECT CASE WHEN nation < 15 THEN 1e0 ELSE 0e0 END AS hit, draw,
+         CAST('0x' || substr(md5(incident_key || '#' || draw), 1, 8) AS BIGINT) / 4294967296e0 AS u
+  FROM pairs, (SELECT unnest(range(1, 201)) AS draw)),
+counted AS (
+  SELECT hit, draw, (SELECT count(*) FROM (SELECT unnest([{_STEPS}]) AS step) WHERE u >= step) AS times
+  FROM drawn),
+means AS (SELECT draw, sum(hit * times) / sum(times) AS mean FROM counted GROUP BY draw)""",
+    select="""
+SELECT round(quantile_cont(mean, 0.025e0), 6) AS low, round(quantile_cont(mean, 0.975e0), 6) AS high,
+       (SELECT round(avg(CASE WHEN nation < 15 THEN 1e0 ELSE 0e0 END), 6) FROM pairs) AS mean
+FROM means""",
+)

@@ -13,7 +13,16 @@ from culprit.catalog import fixtures as fx
 from culprit.functions.detectors import DETECTORS, Detector, verdict
 from culprit.functions.dtypes import first_temporal, norm_dtype
 from culprit.functions.keys import incident_key, text_key
-from culprit.operators import baselines, calibration, datatests, lineage, metrics, probes, repair
+from culprit.operators import (
+    baselines,
+    calibration,
+    datatests,
+    history,
+    lineage,
+    metrics,
+    probes,
+    repair,
+)
 from culprit.operators.evidence import Target, assemble_evidence, fingerprint, schema_mismatch
 from culprit.operators.faults import NULLS, FaultTarget, find_cuts, inject, trial_frame, trials_for
 from culprit.operators.incidents import (
@@ -1241,6 +1250,77 @@ def q_metric_confusion(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.confusion(_noisy_pairs(spark, folder))
 
 
+@query
+def q_metric_interval(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = _noisy_pairs(spark, folder)
+    return fx.rounded(history.bootstrap_interval(pairs, "incident_key", metrics.top_k_hit(1)))
+
+
+@query
+def q_blame_outside(spark: SparkSession, folder: str) -> DataFrame:
+    """Feeds are sources, so a table of models alone knows none of them."""
+    nodes = artifacts.manifest_nodes(fx.artifacts(spark, folder)[1])
+    listed = nodes.filter(F.col("kind") == "model").select(F.col("name"))
+    return metrics.blame_outside(fx.line_incidents(spark, folder), listed)
+
+
+# --- history ---------------------------------------------------------------------------
+
+
+@query
+def q_null_rate_trend(spark: SparkSession, folder: str) -> DataFrame:
+    found = history.null_rate_trend(fx.feed_lines(spark, folder), "order_ref", "ship_ts")
+    return fx.rounded(found.withColumn("day", F.col("day").cast("string")))
+
+
+@query
+def q_schema_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """A snapshot with keys as text and without tax, against one without priorities."""
+    types = _typed_columns(spark, folder).withColumn("dtype", norm_dtype(F.col("dtype")))
+    is_key = F.col("column_name").endswith("key")
+    before = types.filter("column_name <> 'l_tax'").withColumn(
+        "dtype", F.when(is_key, "STRING").otherwise(F.col("dtype"))
+    )
+    found = history.schema_diff(before, types.filter("column_name <> 'o_orderpriority'"))
+    filled = types.select("table_name", "column_name", "filled_rows")
+    return found.join(filled, ["table_name", "column_name"]).select(
+        "table_name", "column_name", F.coalesce("old_dtype", F.lit("none")).alias("old_dtype"),
+        F.coalesce("new_dtype", F.lit("none")).alias("new_dtype"), "change", "filled_rows",
+    )
+
+
+@query
+def q_expired_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers whose contract ran out, by nation, before the line was shipped."""
+    ends = F.timestamp_add("DAY", F.col("s_nationkey") * 100, F.lit("1996-01-01").cast("timestamp_ntz"))
+    contracts = fx.read(spark, folder, "supplier").select(
+        "s_suppkey", F.when(F.col("s_nationkey") > 0, ends).alias("valid_to")
+    )
+    return history.expired_references(
+        fx.feed_lines(spark, folder), "feed_id", "ship_ts", contracts, "s_suppkey", "valid_to",
+        by=["feed_id"],
+    )
+
+
+@query
+def q_unit_shift(spark: SparkSession, folder: str) -> DataFrame:
+    """Users whose mean value left in another unit: cents for every third one."""
+    value = F.when(F.col("user_id") % 3 == 0, F.col("value") * 100).otherwise(F.col("value"))
+    means = fx.read(spark, folder, "events").groupBy("user_id").agg(
+        F.avg("value").alias("before"), F.avg(value).alias("now")
+    )
+    factor = history.unit_factor(F.col("now"), F.col("before"))
+    return means.select("user_id", F.coalesce(factor, F.lit(1.0)).alias("unit_factor"))
+
+
+@query
+def q_hash_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents dealt 60 / 20 / 20 for fitting, tuning and testing."""
+    labels = fx.read(spark, folder, "labels")
+    split = history.hash_split(labels, F.col("doc_id"), {"fit": 60, "tune": 20, "test": 20})
+    return split.select("doc_id", "part")
+
+
 # --- baselines -------------------------------------------------------------------------
 
 

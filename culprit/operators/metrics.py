@@ -143,6 +143,15 @@ def per_class(pairs: DataFrame) -> DataFrame:
     )
 
 
+def blame_outside(incidents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """How many incidents blame a model that the node table does not know."""
+    known = nodes.select(F.col("name").alias("blame_model")).distinct().withColumn("known", F.lit(True))
+    blamed = incidents.select(F.col("blame_location.model").alias("blame_model"))
+    return blamed.join(known, "blame_model", "left").agg(
+        F.count(F.lit(1)).alias("n_incidents"), F.count_if(F.col("known").isNull()).alias("n_outside")
+    )
+
+
 def confusion(pairs: DataFrame) -> DataFrame:
     """How often each true class got each predicted class; no prediction is its own class."""
     said = F.coalesce("cause_class", F.lit("none"))
