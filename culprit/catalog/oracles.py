@@ -1464,3 +1464,27 @@ SELECT round(quantile_cont(mean, 0.025e0), 6) AS low, round(quantile_cont(mean,
        (SELECT round(avg(CASE WHEN nation < 15 THEN 1e0 ELSE 0e0 END), 6) FROM pairs) AS mean
 FROM means""",
 )
+ORACLES["triage_calibrated"] = with_ctes(
+    LINES_ONLY,
+    SCORED,
+    _ISOTONIC,
+    """
+knots AS (SELECT score AS x, calibrated AS y FROM points JOIN fitted USING (i)),
+asked AS (
+  SELECT 'unique_stg_payments_payment_id' AS failing_test_name,
+         (SELECT least(1e0, 0.7e0 + (count(*) - count(DISTINCT l_orderkey * 10 + l_linenumber))
+                 / count(*) * 30e0) FROM lineitem) AS confidence
+  UNION ALL SELECT 'accepted_values_stg_orders_status__F__O', 0.5e0),
+around AS (
+  SELECT failing_test_name, any_value(confidence) AS confidence,
+         any_value(round(confidence, 3)) AS s, max(x) FILTER (x <= round(confidence, 3)) AS below,
+         min(x) FILTER (x >= round(confidence, 3)) AS above
+  FROM asked, knots GROUP BY failing_test_name)""",
+    select="""
+SELECT failing_test_name, round(confidence, 6) AS confidence, round(CASE
+    WHEN below IS NULL THEN (SELECT y FROM knots WHERE x = above)
+    WHEN above IS NULL OR above = below THEN (SELECT y FROM knots WHERE x = below)
+    ELSE (SELECT y FROM knots WHERE x = below) + (s - below) / (above - below)
+      * ((SELECT y FROM knots WHERE x = above) - (SELECT y FROM knots WHERE x = below)) END, 6) AS calibrated
+FROM around""",
+)

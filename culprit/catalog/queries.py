@@ -248,8 +248,7 @@ def q_test_accepted_values(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def q_test_suite_results(spark: SparkSession, folder: str) -> DataFrame:
-    models = retail.built(spark, retail.sources(spark, folder))
-    return datatests.run_tests(models, retail.TESTS)
+    return datatests.run_tests(retail.models(retail.sources(spark, folder)), retail.TESTS)
 
 
 # --- models ----------------------------------------------------------------------------
@@ -1371,11 +1370,29 @@ def q_triage_retail(spark: SparkSession, folder: str) -> DataFrame:
     """The project's own failures, from tests to incidents."""
     raw = retail.sources(spark, folder)
     answer = triage(
-        spark, raw, retail.built(spark, raw), project(spark), created_at=F.lit(fx.FAULTS_AT)
+        spark, raw, retail.models(raw), project(spark), created_at=F.lit(fx.FAULTS_AT)
     )
     return _flat(answer.incidents)
 
 
+@query
+def q_triage_calibrated(spark: SparkSession, folder: str) -> DataFrame:
+    """The same incidents with confidences on a curve fitted to the line fleet's labels."""
+    raw = retail.sources(spark, folder)
+    model = calibration.fit_calibration(_labelled_scores(spark, folder))
+    answer = triage(
+        spark, raw, retail.models(raw), project(spark), created_at=F.lit(fx.FAULTS_AT),
+        calibrate=calibration.calibrator(model),
+    )
+    guess = F.get("hypotheses", F.lit(0))
+    return fx.rounded(
+        answer.incidents.select(
+            "failing_test_name", guess["confidence"].alias("confidence"),
+            guess["confidence_calibrated"].alias("calibrated"),
+        )
+    )
+
+
 @query
 def q_triage_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Run artifacts as files, triaged by the stream into a store."""

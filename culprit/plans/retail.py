@@ -11,7 +11,6 @@ from culprit.operators.datatests import DataTest
 from culprit.operators.faults import DROPOUT, DUPES, NULLS, FaultTarget
 from culprit.operators.lineage import KeyedEdge, edge_frame
 from culprit.schemas import NODE
-from culprit.session import scratch_path
 from culprit.sources.constants import constant_frame
 
 DATASET = "retail"
@@ -103,29 +102,13 @@ def staging(raw: Mapping[str, DataFrame], by: Sequence[str] = ()) -> dict[str, D
 
 
 def models(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """All five models, lazily."""
+    """All five models, lazily: a test that needs no payments plans no join with them."""
     out = staging(raw)
     out["orders"] = mart_orders(out["stg_orders"], out["stg_payments"])
     out["customers"] = mart_customers(out["stg_customers"], out["orders"])
     return out
 
 
-def built(spark: SparkSession, raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Models with the marts written out, as the project declares: views below, tables above.
-
-    Marts are read by several tests and by each other; as tables they are joined and
-    summed once.
-    """
-    out = models(raw)
-    folder = scratch_path(spark, "marts")
-    for name in MART_NAMES:
-        if name == "customers":
-            out[name] = mart_customers(out["stg_customers"], out["orders"])
-        out[name].write.parquet(f"{folder}/{name}")
-        out[name] = spark.read.parquet(f"{folder}/{name}")
-    return out
-
-
 TESTS = (
     DataTest("unique", "stg_customers", "customer_id"),
     DataTest("not_null", "stg_customers", "customer_id"),
