@@ -115,6 +115,7 @@ PREDICTION = record(
 
 # One evidence row per incident.  The value is the neutral default a probe falls
 # back to when it has nothing to say, so that detectors never meet a null.
+# --- fixed values: evidence fields and what they are where nothing was found ----------
 EVIDENCE_DEFAULTS: dict[str, object] = {
     "blame_row_count": 0,
     "blame_null_rate": 0.0,

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def parquet_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
-
-
-def catalog_tables(spark: SparkSession, names: Sequence[str]) -> dict[str, DataFrame]:
-    return {n: spark.table(n) for n in names}
-
-
 def seed_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A seed file with a given schema; inferring one would read the file twice."""
     return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
