@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh3_64_intdigest
 
 from culprit.llm.components import components
-from culprit.llm.shared import settled, stored
+from culprit.llm.shared import settled, slices, stored, tidied
 
 # Words in a gram, and the least similarity in hundredths.
 WIDTH, ALIKE = 4, 85
@@ -82,7 +82,7 @@ def _profiles(width: int, kind: pa.DataType) -> Task:
 
     def run(batches: Batches) -> Batches:
         counters = np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [grams(t.as_py(), width) for t in batch.column(1)]
             for own in sets:
                 counters[counter_of(own)] += 1
@@ -125,9 +125,9 @@ def _ranks(batches: Batches) -> Batches:
 
 def gram_ranks(profiles: DataFrame) -> np.ndarray:
     """How frequent each counter's grams are over all documents: one byte a counter."""
-    slices = profiles.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
+    counted = profiles.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
     ranks = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
-    for row in slices.mapInArrow(_ranks, "slice int, ranks binary").collect():
+    for row in counted.mapInArrow(tidied(_ranks), "slice int, ranks binary").collect():
         ranks[row["slice"]] = np.frombuffer(row["ranks"], np.uint8)
     return ranks.ravel()
 
@@ -137,7 +137,7 @@ def _prefixes(ranks, width: int, alike: int) -> Task:
 
     def run(batches: Batches) -> Batches:
         rank, seen = ranks.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             made = [[], [], [], []]
             for text in batch.column(1):
                 own = grams(text.as_py(), width)
@@ -208,7 +208,7 @@ def _suffix_filter(alike: int) -> Task:
     """Pairs whose parts can share enough grams: no part shares more than its smaller side."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             at = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             keep = []
             for n, m, one, two in zip(
@@ -228,7 +228,7 @@ def suffix_filtered(pairs: DataFrame, sets: DataFrame, alike: int) -> DataFrame:
     one = sets.select(F.col("code").alias("a"), "n", "parts")
     two = sets.select(F.col("code").alias("b"), F.col("n").alias("m"), F.col("parts").alias("parts_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "parts", "parts_b").mapInArrow(
-        _suffix_filter(alike), "a long, b long"
+        tidied(_suffix_filter(alike)), "a long, b long"
     )
 
 
@@ -248,7 +248,7 @@ def _verify(width: int, alike: int) -> Task:
                     held.popitem(last=False)
             return held[code]
 
-        for batch in batches:
+        for batch in slices(batches):
             a, b = batch.column(0), batch.column(1)
             keep = []
             for x, y, one, two in zip(a.to_pylist(), b.to_pylist(), batch.column(2), batch.column(3), strict=True):
@@ -275,7 +275,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, ali
     one = texts.select(F.col("code").alias("a"), F.col("text").alias("one"))
     two = texts.select(F.col("code").alias("b"), F.col("text").alias("two"))
     told = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
-    return settled(told.mapInArrow(_verify(width, alike), "a long, b long"))
+    return settled(told.mapInArrow(tidied(_verify(width, alike)), "a long, b long"))
 
 
 def _groups(batches: Batches, keys: int) -> Iterator[pa.Table]:
@@ -363,7 +363,7 @@ def across(lists: DataFrame, roots: DataFrame, sets: DataFrame, alike: int) -> D
         .repartition("gram", "first", "second")
         .sortWithinPartitions("gram", "first", "second")
     )
-    return dealt.mapInArrow(_across(alike), "a long, b long").distinct()
+    return dealt.mapInArrow(tidied(_across(alike)), "a long, b long").distinct()
 
 
 def ngram_join(
@@ -395,16 +395,16 @@ def ngram_join(
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     form = f"id {kind}, n long, code long, parts binary, slice int, counts binary"
-    profiles = stored(docs.mapInArrow(_profiles(width, to_arrow_type(docs.schema["id"].dataType)), form), "gram-profiles")
+    profiles = stored(docs.mapInArrow(tidied(_profiles(width, to_arrow_type(docs.schema["id"].dataType))), form), "gram-profiles")
     rows = profiles.where("slice is null").select("id", "n", "code", "parts")
     ranks = spark.sparkContext.broadcast(gram_ranks(profiles))
     lists = stored(
         docs.where("id is not null")
-        .mapInArrow(_prefixes(ranks, width, alike), "gram long, pos int, code long, n long")
+        .mapInArrow(tidied(_prefixes(ranks, width, alike)), "gram long, pos int, code long, n long")
         .repartition("gram")
         .sortWithinPartitions("gram", "pos", "code")
         .mapInArrow(
-            _lists, "gram long, code long, n long, pos int, lead long, lead_n long, lead_pos int"
+            tidied(_lists), "gram long, code long, n long, pos int, lead long, lead_n long, lead_pos int"
         ),
         "gram-lists",
     )

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from culprit.llm.shared import slices, tidied
+
 # What a space becomes inside the model.
 SPACE = "▁".encode()
 
@@ -224,34 +226,32 @@ def _encoded(model_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         use, widths = settings(model.serialized_model_proto()), piece_widths(model)
-        for batch in batches:
-            for first in range(0, batch.num_rows, BATCH):
-                part = batch.slice(first, BATCH)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                coded = model.encode(texts, num_threads=1)
-                plain = model.decode(coded, num_threads=1)
-                ids, starts, ends = [], [], []
-                for text, own in zip(texts, coded, strict=True):
-                    own = np.fromiter(own, np.int32, len(own))
-                    normal, origin = normalise(text.encode(), use)
-                    start, end = spans(own, widths, normal, origin)
-                    ids.append(own)
-                    starts.append(start)
-                    ends.append(end)
-                offsets = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
-
-                def lists(arrays: list[np.ndarray], offsets=offsets) -> pa.Array:
-                    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays).astype(np.int32)))
-
-                yield pa.record_batch(
-                    {
-                        "key": part.column(0),
-                        "ids": lists(ids),
-                        "starts": lists(starts),
-                        "ends": lists(ends),
-                        "decoded": pa.array(plain, pa.string()),
-                    }
-                )
+        for part in slices(batches, BATCH):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            coded = model.encode(texts, num_threads=1)
+            plain = model.decode(coded, num_threads=1)
+            ids, starts, ends = [], [], []
+            for text, own in zip(texts, coded, strict=True):
+                own = np.fromiter(own, np.int32, len(own))
+                normal, origin = normalise(text.encode(), use)
+                start, end = spans(own, widths, normal, origin)
+                ids.append(own)
+                starts.append(start)
+                ends.append(end)
+            offsets = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+
+            def lists(arrays: list[np.ndarray], offsets=offsets) -> pa.Array:
+                return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(arrays).astype(np.int32)))
+
+            yield pa.record_batch(
+                {
+                    "key": part.column(0),
+                    "ids": lists(ids),
+                    "starts": lists(starts),
+                    "ends": lists(ends),
+                    "decoded": pa.array(plain, pa.string()),
+                }
+            )
 
     return run
 
@@ -271,4 +271,4 @@ def encode_pieces(df: DataFrame, model_path: str, key: str = "doc_id", text: str
     """
     kind = df.schema[key].dataType.simpleString()
     form = f"key {kind}, ids array<int>, starts array<int>, ends array<int>, decoded string"
-    return df.select(key, text).mapInArrow(_encoded(model_path), form).withColumnRenamed("key", key)
+    return df.select(key, text).mapInArrow(tidied(_encoded(model_path)), form).withColumnRenamed("key", key)

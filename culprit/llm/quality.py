@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from culprit.llm.shared import slices, tidied
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 
@@ -199,7 +201,7 @@ def _measured(
     model: Trees | None, cut: float
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             told = [statistics(t.as_py() or "") for t in batch.column(1)]
             counts = np.array([c for c, _ in told], np.int64).reshape(-1, len(COUNTS))
             x = np.array([f for _, f in told]).reshape(-1, len(FEATURES))
@@ -227,7 +229,7 @@ def document_statistics(df: DataFrame, key: str = "doc_id", text: str = "text")
     form = ", ".join(
         [f"key {kind}", *(f"{c} long" for c in COUNTS), *(f"{f} double" for f in FEATURES)]
     )
-    return df.select(key, text).mapInArrow(_measured(None, 0), form).withColumnRenamed("key", key)
+    return df.select(key, text).mapInArrow(tidied(_measured(None, 0)), form).withColumnRenamed("key", key)
 
 
 def fit_quality(
@@ -282,4 +284,4 @@ def quality_rules(
     form = ", ".join(
         [f"key {kind}", *(f"{c} long" for c in COUNTS), "base_failed boolean, score double, kept boolean"]
     )
-    return df.select(key, text).mapInArrow(_measured(model, cut), form).withColumnRenamed("key", key)
+    return df.select(key, text).mapInArrow(tidied(_measured(model, cut)), form).withColumnRenamed("key", key)

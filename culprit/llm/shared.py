@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,36 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+# Rows that a task of Python code works on at once; batches that arrive may be larger.
+AT_ONCE = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what is made of them stays small beside them."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def tidied(task: Task) -> Task:
+    """The task, which at its end gives freed memory back to the machine.
+
+    Python workers are used again for hours, and an idle one would keep its largest
+    batch's memory beside that of the next stage.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: what spark.checkpoint.dir names.
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from culprit.llm.shared import stored
+from culprit.llm.shared import stored, tidied
 
 # Fixed value: how byte-level vocabularies of this family cut a text into pre-tokens.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -214,14 +214,14 @@ def token_counts(
         f"block long, ids array<{kind}>, n_bytes array<long>, direct array<long>, "
         "pieces array<string>, lengths binary, slots binary, times binary"
     )
-    blocks = stored(df.select(key, text).mapInArrow(_blocks(path, block_chars), form), "pre-tokens")
+    blocks = stored(df.select(key, text).mapInArrow(tidied(_blocks(path, block_chars)), form), "pre-tokens")
     pieces = (
         blocks.select("block", F.posexplode("pieces").alias("slot", "piece"))
         .select("piece", "block", "slot")
         .repartition("piece")
         .sortWithinPartitions("piece")
     )
-    counts = pieces.mapInArrow(_pieces(path), "block long, slots binary, counts binary")
+    counts = pieces.mapInArrow(tidied(_pieces(path)), "block long, slots binary, counts binary")
     return (
         counts.groupBy("block")
         .cogroup(blocks.drop("pieces").groupBy("block"))

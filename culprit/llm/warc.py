@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from culprit.llm.shared import settled, shared_dir, small
+from culprit.llm.shared import settled, shared_dir, small, tidied
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
@@ -227,7 +227,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         .text(path)
         .select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("part"))
     )
-    return parts.mapInArrow(_records, RECORD)
+    return parts.mapInArrow(tidied(_records), RECORD)
 
 
 def assemble(records: DataFrame, carry: tuple[str, ...] = ("payload",)) -> DataFrame:
