@@ -25,6 +25,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # A line that more than this part of a source's documents hold is boilerplate.
 LINE_RATIO = 0.05
 
+# Near copies share 0.8 or more of their 5-word grams.  op1's own query keeps its 4 and 85.
+COPY_WIDTH, COPY_ALIKE = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the trees, which are fitted on the labels.
@@ -50,7 +53,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest key, of each group of near copies."""
-    told = ngram_join(docs.select("doc_id", "text"))
+    told = ngram_join(docs.select("doc_id", "text"), width=COPY_WIDTH, alike=COPY_ALIKE)
     gone = settled(told.where("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

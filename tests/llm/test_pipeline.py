@@ -5,7 +5,7 @@ import random
 import corpus_pipeline as pipeline
 import pytest
 from cases import SCHEMA, collected, words
-from test_dedup_ops import plain_join
+from test_dedup_ops import plain_join, plain_sets
 from test_mix_ops import plain_lines, plain_targets
 from test_text_ops import plain_counts, plain_pieces
 
@@ -89,6 +89,33 @@ def test_near_copy_stage(kept):
     assert kept[3].count() < len(rows)
 
 
+def copies_left(rows):
+    """The rows that a brute-force join of 5-word grams at 0.8 leaves."""
+    sets, group = plain_sets(rows, 5), list(range(len(rows)))
+    for a, (_, s) in enumerate(sets):
+        for b, (_, t) in enumerate(sets[:a]):
+            if s and t and 5 * len(s & t) >= 4 * len(s | t) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    first = {}
+    for at, row in enumerate(rows):
+        rank = (row[0] is None, row[0] or 0, at)
+        first[group[at]] = min(first.get(group[at], rank), rank)
+    return sorted((rows[rank[2]] for rank in first.values()), key=repr)
+
+
+def test_near_copy_stage_takes_five_words_and_four_fifths(spark, kept):
+    draw = random.Random(4)
+    base = [f"b{j}" for j in range(1000)]
+    edited = [w if at % 47 else f"e{at}" for at, w in enumerate(base)]
+    far = [w if at % 40 else f"f{at}" for at, w in enumerate(base)]
+    texts = [base, base + [f"n{j}" for j in range(200)], edited, far, [draw.choice("xyz") for _ in range(60)]]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+    got = collected(pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA), ""))
+    assert got == copies_left(rows)
+    assert [r[0] for r in got] == [0, 3, 4]
+    assert collected(kept[3]) == copies_left([tuple(r) for r in kept[2].collect()])
+
+
 def test_mixture_stage(kept):
     rows = kept[3].collect()
     sizes = {}
