@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +16,9 @@ VERSION = "WARC/1.1"
 CRLF = "\r\n"
 END = CRLF + CRLF
 
+# The end of a record, and the version line of the next.
+NEXT = re.compile(rb"\r\n\r\nWARC/\d+\.\d+\r\n")
+
 # Payloads shorter than this are always written out, as a reference would take as much.
 LEAST_SHARED = 100
 
@@ -160,18 +164,18 @@ def _header(block: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest
 
 
-def _parsed(part: bytes) -> dict | None:
-    """A record from the text between two version lines; None if its block goes on."""
+def _parsed(part: bytes) -> tuple[dict, bytes] | None:
+    """The record that a part begins with and what follows it; None if its block goes on."""
     head, block = _header(part)
     length = int(head.get("content-length", 0))
     if len(block) < length:
         return None
-    block = block[:length]
+    block, rest = block[:length], block[length:]
     http = head.get("content-type", "").startswith("application/http")
     payload = _header(block)[1] if http and head.get("warc-type") == "response" else None
     if http and head.get("warc-type") == "response" and b"\r\n\r\n" not in block:
         payload = b""
-    return {
+    record = {
         "record_id": head.get("warc-record-id"),
         "warc_type": head.get("warc-type"),
         "concurrent_to": head.get("warc-concurrent-to"),
@@ -181,13 +185,17 @@ def _parsed(part: bytes) -> dict | None:
         "fields": block.decode("utf-8", "replace") if head.get("warc-type") == "metadata" else None,
         "payload": payload,
     }
+    return record, rest
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records of files read as stretches between version lines, in file order.
 
     A version line inside a block splits its record.  The block is then shorter than its
-    header says, and the next stretches of the file belong to it.
+    header says, and the next stretches of the file belong to it.  A block that ends in
+    empty lines makes the separator overlap itself, and where a read buffer ends inside
+    it the line reader misses it: one stretch then holds several records, and what comes
+    after a block and begins with a version line is the next record.
     """
     schema = pa.schema(
         [
@@ -203,13 +211,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held and file == held_file:
                 part = held + joint + part
             held, held_file = b"", file
-            if not part.strip():
-                continue
-            row = _parsed(part)
-            if row is None:
-                held = part
-            else:
+            while part.strip():
+                told = _parsed(part)
+                if told is None:
+                    held = part
+                    break
+                row, rest = told
                 rows.append(row)
+                begun = NEXT.match(rest)
+                part = rest[begun.end() :] if begun else b""
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 from pathlib import Path
 
+import pyarrow as pa
 from cases import collected
 from pyspark.sql import functions as F
 
@@ -99,3 +100,34 @@ def test_records_of_others_without_request_or_metadata(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(whole + cut))
     captures = warc.assemble(warc.read_records(spark, str(tmp_path))).collect()
     assert [(c.response.payload, c.request, c.metadata) for c in captures] == [(bytearray(b"hello"), None, None)]
+
+
+def test_records_given_as_one_part():
+    def record(name, block):
+        head = b"WARC-Type: metadata\r\nWARC-Record-ID: <urn:%s>\r\nContent-Length: %d\r\n\r\n"
+        return head % (name, len(block)) + block
+
+    joint = b"\r\n\r\nWARC/1.1\r\n"
+    trap = b"a" + joint + b"b\r\n\r\n"
+    parts = [
+        b"WARC/1.1\r\n" + record(b"1", b"x\r\n\r\n") + joint + record(b"2", b"") + joint + record(b"3", b"y"),
+        record(b"4", b"z\r\n\r\n") + joint + record(b"5", trap).partition(joint)[0],
+        record(b"5", trap).partition(joint)[2] + joint + record(b"6", b"end") + b"\r\n\r\n",
+    ]
+    batch = pa.record_batch({"file": pa.array(["f"] * 3), "part": pa.array(parts)})
+    got = [(r["record_id"], r["fields"]) for out in warc._records(iter([batch])) for r in out.to_pylist()]
+    want = ["x\r\n\r\n", "", "y", "z\r\n\r\n", trap.decode(), "end"]
+    assert got == [(f"<urn:{i + 1}>", fields) for i, fields in enumerate(want)]
+
+
+def test_round_trip_over_many_read_buffers(spark, tmp_path):
+    rows = [(i, f"http://a.org/{i}", "<p>" + "x" * (i % 173) + ("\r\n\r\n" if i % 3 else "")) for i in range(2000)]
+    size = spark.conf.get("io.file.buffer.size", None)
+    spark.conf.set("io.file.buffer.size", "509")
+    try:
+        got = collected(warc.round_trip(spark.createDataFrame(rows, PAGES).repartition(2), str(tmp_path / "w")))
+        parts = spark.read.option("lineSep", "\r\n\r\nWARC/1.1\r\n").text(str(tmp_path / "w")).count()
+    finally:
+        spark.conf.unset("io.file.buffer.size") if size is None else spark.conf.set("io.file.buffer.size", size)
+    assert parts < 3 * len(rows)
+    assert got == plain(rows)
