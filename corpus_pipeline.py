@@ -32,12 +32,11 @@ COPY_WIDTH, COPY_ALIKE = 5, 80
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the trees, which are fitted on the labels.
 
-    Keys that occur twice are judged together: all their rows must pass.
+    Each row is judged by its own text, whatever its key.
     """
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    told = quality_rules(docs, model).groupBy("doc_id").agg(F.min("kept").alias("_kept"))
-    kept = settled(told.where("_kept").select(F.col("doc_id").alias("_id")))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
+    others = tuple(c for c in COLUMNS if c != "doc_id")
+    return quality_rules(docs, model, carry=others).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,7 +198,7 @@ def fit_trees(
 
 
 def _measured(
-    model: Trees | None, cut: float
+    model: Trees | None, cut: float, carried: int = 0
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -218,6 +218,7 @@ def _measured(
                     "score": pa.array(score),
                     "kept": pa.array(~failed & (score >= cut)),
                 }
+            made |= {f"carried{i}": batch.column(2 + i) for i in range(carried)}
             yield pa.record_batch(made)
 
     return run
@@ -267,9 +268,14 @@ def fit_quality(
 
 
 def quality_rules(
-    df: DataFrame, model: Trees, key: str = "doc_id", text: str = "text", cut: float = 0.5
+    df: DataFrame,
+    model: Trees,
+    key: str = "doc_id",
+    text: str = "text",
+    cut: float = 0.5,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """key, counts, base_failed, score and kept for each row.
+    """key, counts, base_failed, score and kept for each row, and its columns in `carry`.
 
     Words are separated by ASCII white space.  A text fails the base rule with fewer than
     50 words, or when more than half of its words lie in 3-word windows that occur twice
@@ -282,6 +288,13 @@ def quality_rules(
     """
     kind = df.schema[key].dataType.simpleString()
     form = ", ".join(
-        [f"key {kind}", *(f"{c} long" for c in COUNTS), "base_failed boolean, score double, kept boolean"]
+        [
+            f"key {kind}",
+            *(f"{c} long" for c in COUNTS),
+            "base_failed boolean, score double, kept boolean",
+            *(f"carried{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)),
+        ]
     )
-    return df.select(key, text).mapInArrow(tidied(_measured(model, cut)), form).withColumnRenamed("key", key)
+    rows = df.select(key, text, *(F.col(c).alias(f"carried{i}") for i, c in enumerate(carry)))
+    told = rows.mapInArrow(tidied(_measured(model, cut, len(carry))), form)
+    return told.withColumnsRenamed({"key": key} | {f"carried{i}": c for i, c in enumerate(carry)})

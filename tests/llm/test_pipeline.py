@@ -72,6 +72,23 @@ def test_quality_stage(spark, kept, folder_of):
     assert 60 < len(want) < 150 and not any("###" in w[1] for w in want)
 
 
+def test_quality_stage_judges_rows_of_one_key_apart(spark, folder_of):
+    rows, _ = corpus()
+    good = [r for r in rows if r[0] % 7 and len(words(r[1])) >= 60][:4]
+    bad = [(None, "short", "en", "s", 5), (7000, None, None, None, None), (7000, "a b " * 90, "en", "s", 360)]
+    mixed = [*bad, *((key, *r[1:]) for key in (None, 7000) for r in good), (None, *good[0][1:])]
+    docs = spark.createDataFrame(rows + mixed, SCHEMA).repartition(3)
+    model = quality.fit_quality(docs, spark.read.parquet(f"{folder_of}/labels.parquet"))
+    want = []
+    for row in rows + mixed:
+        n, *_, repeats = plain_counts(row[1])
+        good_score = model.score(quality.np.array([quality.statistics(row[1] or "")[1]]))[0] >= 0.5
+        if n >= 50 and 100 * repeats <= 50 * n and good_score:
+            want.append(row)
+    assert collected(pipeline.quality(spark, docs, folder_of)) == sorted(want, key=repr)
+    assert sum(r[0] is None for r in want) > 1 and sum(r[0] == 7000 for r in want) > 1
+
+
 def test_line_stage(kept):
     rows = kept[1].collect()
     told = plain_lines([(r.source, r.text) for r in rows], pipeline.LINE_RATIO)
