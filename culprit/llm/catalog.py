@@ -11,11 +11,14 @@ from culprit.llm.line_dedup import line_dedup, page_text, url_host
 from culprit.llm.mixing import mix, prose_weight
 from culprit.llm.oracles import ORACLES as ORACLES
 from culprit.llm.ngram_join import ngram_join
+from culprit.llm.near_vectors import nearest_vectors
 from culprit.llm.piece_codec import encode_pieces
 from culprit.llm.quality import COUNTS, fit_quality, quality_rules
+from culprit.llm.ranked_search import ranked_search
 from culprit.llm.secret_scan import BASE_RULES, scan_secrets, span_text
 from culprit.llm.sharding import checked, interleave
 from culprit.llm.shared import settled, word_count
+from culprit.llm.spelling import spelling_groups
 from culprit.llm.token_counts import token_counts
 from culprit.llm.warc import round_trip
 
@@ -116,6 +119,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, model).select("doc_id", *COUNTS, "base_failed", "kept", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search(docs, _read(spark, sf_dir, "benchmark"))
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest_vectors(vectors, F.col("id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -129,5 +146,8 @@ QUERIES = {
         op8_token_counts,
         op9_sharding,
         op10_quality_rules,
+        op11_spelling_variants,
+        op12_ranked_search,
+        op13_nearest_vectors,
     )
 }

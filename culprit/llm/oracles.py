@@ -1,7 +1,8 @@
 """The registered queries in SQL, where SQL can say them.
 
 Patterns are written out: these are the questions, not the library's answers.  Encoders,
-boosted trees and CRC-32 have no form in SQL; tests hold those queries against brute force.
+boosted trees, shards and searches that may miss have no form in SQL; tests hold those
+queries against brute force.
 """
 
 from __future__ import annotations
@@ -186,6 +187,71 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 FROM ranked
 """
 
+# CRC-32 of the UTF-8 bytes of `m`, bit by bit.
+_CRC = """xor(list_reduce(
+        list_transform(range(1, strlen(m) + 1), lambda i: CAST('0x' || substr(hex(encode(m)), 2 * i - 1, 2) AS BIGINT)),
+        lambda c, b: list_reduce(range(8), lambda r, k: xor(r >> 1, 3988292384 * (r & 1)), xor(c, b)),
+        4294967295::BIGINT), 4294967295::BIGINT)"""
+
+OP11 = rf"""
+WITH RECURSIVE runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS m, run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run
+        FROM documents)
+    WHERE length(run) >= 7 GROUP BY ALL),
+summed AS (SELECT run, n, {_CRC} AS h FROM runs),
+changed AS (
+    SELECT n, CASE WHEN h % 31 = 0
+        THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM summed),
+words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (
+    SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut
+    FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+    SELECT x.word AS a, x.n AS n_a, y.word AS b, y.n AS n_b
+    FROM cuts x JOIN cuts y ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word
+    UNION SELECT c.word, c.n, w.word, w.n FROM cuts c JOIN words w ON c.cut = w.word
+    UNION SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON c.cut = w.word),
+near AS (SELECT a AS word, count(*) AS n_near FROM pairs GROUP BY a),
+forms AS (
+    SELECT a AS word, b AS form, n_b AS form_n FROM pairs WHERE n_b >= 10 * n_a
+    QUALIFY row_number() OVER (PARTITION BY a ORDER BY n_b DESC, b) = 1),
+walk AS (
+    SELECT word, form AS root FROM forms
+    UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.root),
+ends AS (SELECT word, root FROM walk WHERE root NOT IN (SELECT word FROM forms))
+SELECT w.word, f.form, coalesce(e.root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN near USING (word) LEFT JOIN forms f USING (word) LEFT JOIN ends e USING (word)
+"""
+
+_TERMS = r"""regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP12 = f"""
+WITH docs AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+totals AS (SELECT count(*) AS big_n, CAST(sum(len(terms)) AS BIGINT) AS big_l FROM docs WHERE len(terms) > 0),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+held AS (
+    SELECT doc_id, n, term, count(*) AS tf
+    FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+    FROM held, totals GROUP BY term),
+scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+    FROM asked JOIN held USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id),
+ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES = {
     "op1_ngram_join": OP1,
     "op2_secret_scans": OP2,
@@ -193,4 +259,6 @@ ORACLES = {
     "op5_warc": OP5,
     "op6_line_dedup": OP6,
     "op7_exact_dedup": OP7,
+    "op11_spelling_variants": OP11,
+    "op12_ranked_search": OP12,
 }
