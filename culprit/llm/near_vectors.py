@@ -29,7 +29,10 @@ TOP = 5
 PROJECTIONS, SURE = 8, 0.95
 
 # Vectors that one tree indexes, and those in a leaf of it.
-TREE_ROWS, LEAF_ROWS = 4096, 32
+TREE_ROWS, LEAF_ROWS = 4096, 256
+
+# What two ways of adding up a cosine may differ by, with room to spare.
+ROUNDING = 1e-9
 
 # Vectors that the cuts between the trees' cells are fitted on, at most, and for each cell
 # at least.  Every vector is indexed.
@@ -112,15 +115,14 @@ class Tree:
     """A kd-tree over projections, with the vectors and ids behind them."""
 
     def __init__(self, vectors: np.ndarray, ids: list, axes: np.ndarray):
-        self.vectors, self.ids = vectors, ids
-        self.norms = np.sqrt((vectors * vectors).sum(1))
-        points = (vectors / self.norms[:, None]) @ axes
-        self.order = np.arange(len(points))
+        norms = np.sqrt((vectors * vectors).sum(1))
+        points = (vectors / norms[:, None]) @ axes
+        order = np.arange(len(points))
         self.nodes: list[tuple[int, int, int, int]] = []
         lows, highs = [], []
 
         def build(start: int, end: int) -> int:
-            own = points[self.order[start:end]]
+            own = points[order[start:end]]
             node = len(self.nodes)
             self.nodes.append((start, end, -1, -1))
             lows.append(own.min(0))
@@ -128,7 +130,7 @@ class Tree:
             if end - start > LEAF_ROWS:
                 middle = (end - start) // 2
                 split = np.argpartition(own[:, np.ptp(own, axis=0).argmax()], middle)
-                self.order[start:end] = self.order[start:end][split]
+                order[start:end] = order[start:end][split]
                 left = build(start, start + middle)
                 self.nodes[node] = (start, end, left, build(start + middle, end))
             return node
@@ -136,13 +138,17 @@ class Tree:
         if len(points):
             build(0, len(points))
         self.low, self.high = np.array(lows), np.array(highs)
+        # Leaves are stretches of rows, so that a leaf is read without gathering.
+        self.vectors, self.norms, self.ids = vectors[order], norms[order], [ids[i] for i in order]
 
     def nearest(self, vector: np.ndarray, axes: np.ndarray, top: int, far: float, reach: float) -> list[tuple[float, int]]:
         """(-score, id) of the `top` nearest ids, best first.
 
         Leaves come in the order of their projected distance.  `far` is the squared
         distance of the worst neighbour known from elsewhere, `reach` the chi-square value
-        of the test.
+        of the test.  A leaf's cosines come from one product of matrices, in whichever order
+        it adds; those that may count are worked out again one by one, so that equal vectors
+        score alike wherever they lie.
         """
         if not self.nodes:
             return []
@@ -159,11 +165,14 @@ class Tree:
                 for child in (left, right):
                     heapq.heappush(heap, (float(box_distance(self.low[child], self.high[child], point)), child))
                 continue
-            rows = self.order[start:end]
-            score = (self.vectors[rows] * vector).sum(1) / (self.norms[rows] * norm)
             worst = -best[-1][0] if len(best) >= top else -np.inf
-            for at in np.flatnonzero(score >= worst):
-                best.extend((-float(score[at]), i) for i in self.ids[rows[at]])
+            nearly = self.vectors[start:end] @ vector / (self.norms[start:end] * norm)
+            rows = start + np.flatnonzero(nearly >= worst - ROUNDING)
+            if not len(rows):
+                continue
+            score = (self.vectors[rows] * vector).sum(1) / (self.norms[rows] * norm)
+            for less, row in zip((-score).tolist(), rows.tolist(), strict=True):
+                best.extend((less, i) for i in self.ids[row])
             best = sorted(best)[:top]
             if len(best) >= top:
                 far = min(far, max(0.0, 2 + 2 * best[-1][0]))
@@ -351,6 +360,8 @@ def nearest_vectors(
     trees = placed.join(ranges, "cell").select((F.col("first") + salt).cast("int").alias("part"), "node", "ids", "vec")
     trees = stored(trees, "vectors-dealt")
 
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * int(parts.sum()))
+
     def search(queries: DataFrame) -> DataFrame:
         """(node, id, score) for queries (part, node, vec, far)."""
         blocks = settled(queries.groupBy("part").agg(F.ceil(F.count("*") / TREE_QUERIES).cast("int").alias("blocks")))
@@ -367,7 +378,8 @@ def nearest_vectors(
             "vec",
             F.lit(None).cast("double").alias("far"),
         )
-        both = indexed.unionByName(asking).repartition("part", "block").sortWithinPartitions("part", "block", "asks")
+        # A number of tasks of its own: trees take time, not room, and would else share tasks.
+        both = indexed.unionByName(asking).repartition(tasks, "part", "block").sortWithinPartitions("part", "block", "asks")
         return both.mapInArrow(tidied(_searched(axes, dim, held, reach)), f"node {kind}, id {kind}, score double")
 
     wanted = asked.select("node").distinct()
