@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh3_64_intdigest
 
 from culprit.llm.components import components
-from culprit.llm.shared import settled, slices, stored, tidied
+from culprit.llm.shared import settled, slices, small, stored, tidied
 
 # Words in a gram, and the least similarity in hundredths.
 WIDTH, ALIKE = 4, 85
@@ -366,6 +366,20 @@ def across(lists: DataFrame, roots: DataFrame, sets: DataFrame, alike: int) -> D
     return dealt.mapInArrow(tidied(_across(alike)), "a long, b long").distinct()
 
 
+def codes_of_one_key(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys that have several texts: (id, low), their smallest code; and links to it, (a, b)."""
+    some = F.when(F.col("n") > 0, F.col("code"))
+    several = settled(
+        rows.where("id is not null")
+        .groupBy("id")
+        .agg(F.min(some).alias("low"), F.max(some).alias("high"), F.min("n").alias("least"))
+        .where("low is not null and (low <> high or least = 0)")
+        .select("id", "low")
+    )
+    same = rows.where("n > 0").join(several, "id").where("code <> low")
+    return small(several), same.select(F.col("low").alias("a"), F.col("code").alias("b")).distinct()
+
+
 def ngram_join(
     df: DataFrame,
     key: str = "doc_id",
@@ -388,8 +402,8 @@ def ngram_join(
 
     A null or empty text has no grams and is linked with nothing: it is its own component.
     A row without key is compared with nothing and has no component.  Rows that repeat a
-    key are one node of the graph.  An empty table gives an empty result; other columns
-    are ignored.
+    key are one node of the graph, linked with whatever any of their texts is linked with.
+    An empty table gives an empty result; other columns are ignored.
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -421,7 +435,8 @@ def ngram_join(
         .distinct()
     )
     stars = settled(suffix_filtered(settled(stars), sets, alike))
-    links = verified(stars, docs, sets, width, alike)
+    several, same = codes_of_one_key(rows)
+    links = verified(stars, docs, sets, width, alike).unionByName(same)
     roots = components(links)
     rest = settled(across(lists, roots, sets, alike).join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
@@ -438,10 +453,15 @@ def ngram_join(
     table = settled(
         reps.join(named, "code", "left").select("code", F.coalesce("component", "rep").alias("component"))
     )
+    # A row without grams whose key has other texts goes the way of those.
+    rows = rows.join(several, "id", "left").withColumn(
+        "code", F.when((F.col("n") == 0) & F.col("low").isNotNull(), F.col("low")).otherwise(F.col("code"))
+    )
     return rows.join(table, "code", "left").select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))).alias(
-            "component_id"
-        ),
+        F.when(
+            F.col("id").isNotNull(),
+            F.when((F.col("n") == 0) & F.col("low").isNull(), F.col("id")).otherwise(F.col("component")),
+        ).alias("component_id"),
     )

@@ -46,7 +46,7 @@ _SECRETS = (
     ("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", 2, r"[0-9a-f]+", 0, 24),
     ("pem", 3, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1),
-    ("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+    ("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,250}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("forge", 5, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
 )
 
@@ -136,11 +136,13 @@ WITH told AS (
     SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
         sha256(coalesce(html, '')) AS payload_digest
     FROM pages),
-firsts AS (SELECT payload_digest, min(page_id) AS first_id FROM told GROUP BY 1)
+placed AS (
+    SELECT *, first_value(page_id) OVER same AS first_id, payload_bytes >= 100 AND row_number() OVER same > 1 AS again
+    FROM told WINDOW same AS (PARTITION BY payload_digest ORDER BY page_id))
 SELECT page_id, payload_bytes, payload_digest,
-    CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
-FROM told JOIN firsts USING (payload_digest)
+    CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN again THEN first_id END AS refers_to
+FROM placed
 """
 
 OP6 = rf"""

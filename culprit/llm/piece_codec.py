@@ -200,20 +200,22 @@ def piece_widths(model) -> np.ndarray:
     return widths
 
 
-def spans(ids: np.ndarray, widths: np.ndarray, normal: bytes, origin: np.ndarray) -> np.ndarray:
-    """Start and end in the original bytes of each id's piece.
+def own_widths(model, text: str, ids: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Bytes of the normal form that each id of a text covers.
 
-    One unknown id's width is what the known ones leave over; with several, each is a
-    character of the normal form.
+    An unknown id stands for one character or a run of them; the model then tells the
+    characters in place of a piece.
     """
     own = widths[ids]
     if (own < 0).any():
-        at = 0
-        for i, width in enumerate(own):
-            if width < 0:
-                head = normal[at]
-                own[i] = 1 if head < 0x80 else 2 if head < 0xE0 else 3 if head < 0xF0 else 4
-            at += own[i]
+        told = model.encode(text, out_type=str)
+        unknown = np.flatnonzero(own < 0)
+        own[unknown] = [len(told[i].encode()) for i in unknown]
+    return own
+
+
+def spans(own: np.ndarray, normal: bytes, origin: np.ndarray) -> np.ndarray:
+    """Start and end in the original bytes of each piece, from the widths of all."""
     ends = np.cumsum(own)
     if len(normal) != (ends[-1] if len(ends) else 0):
         raise ValueError("pieces do not cover the normal form")
@@ -234,7 +236,7 @@ def _encoded(model_path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             for text, own in zip(texts, coded, strict=True):
                 own = np.fromiter(own, np.int32, len(own))
                 normal, origin = normalise(text.encode(), use)
-                start, end = spans(own, widths, normal, origin)
+                start, end = spans(own_widths(model, text, own, widths), normal, origin)
                 ids.append(own)
                 starts.append(start)
                 ends.append(end)

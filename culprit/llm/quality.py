@@ -246,6 +246,7 @@ def fit_quality(
 
     The sample is the first rows by a seeded hash of the key, the same on every run; its
     keys are so few that they may be broadcast, and only its statistics reach the driver.
+    Of rows that repeat a key, the text of the smallest hash and its smallest label count.
     Rows without key or label are left out.  Without labels the trees say nothing: every
     score is the same, and it is above one half.
     """
@@ -256,8 +257,10 @@ def fit_quality(
         .limit(sample_rows)
     )
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
+    # One text a key, so that a key with many rows does not outgrow the sample.
+    rows = rows.groupBy("_key").agg(F.min(F.struct(F.xxhash64("_text"), "_text", "_label")).alias("_one"))
     # The label rides along in the key, as statistics keep one column beside the text.
-    keyed = rows.select(F.struct("_key", "_label").alias("_pair"), "_text")
+    keyed = rows.select(F.struct("_key", "_one._label").alias("_pair"), "_one._text")
     told = document_statistics(keyed, "_pair", "_text").select("_pair._label", *FEATURES).toPandas()
     x, y = told[list(FEATURES)].to_numpy(float), told["_label"].to_numpy(float)
     order = np.lexsort((*x.T, y))

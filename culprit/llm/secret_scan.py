@@ -45,7 +45,8 @@ BASE_RULES = (
 
 MORE_RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # A header of unbounded length would be looked for anew from every eyJ of a long run.
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,250}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 

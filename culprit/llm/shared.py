@@ -63,7 +63,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Rows written once to the shared folder; Spark deletes them with the frame."""
+    """Rows written once to the shared folder.
+
+    Spark deletes them with the frame where spark.cleaner.referenceTracking.cleanCheckpoints
+    is set; else they stay below spark.checkpoint.dir, as what `stored` writes does, until
+    whoever owns that folder empties it.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint()
 

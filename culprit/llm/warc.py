@@ -63,8 +63,9 @@ def write_warc(pages: DataFrame, path: str) -> None:
     response, or the revisit, as the one they are concurrent to.  Of captures with equal
     payloads of 100 bytes or more the one with the smallest page_id (nulls last, then url)
     is written out, the others are revisits that refer to it.  Rows that repeat page_id,
-    url and html are one capture; its metadata tells how often.  A null html is an empty
-    payload; a null url leaves the target header out; line ends in a url are escaped.
+    url and html are captures of their own, told apart by a running number.  A null html
+    is an empty payload; a null url leaves the target header out; line ends in a url are
+    escaped.
     """
     line_safe = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     captures = (
@@ -76,6 +77,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
         )
         .groupBy("page", "page_id", "url", "payload")
         .agg(F.count("*").alias("copies"))
+        .withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
         .withColumns(
             {
                 "digest": F.sha2("payload", 256),
@@ -93,15 +95,15 @@ def write_warc(pages: DataFrame, path: str) -> None:
         F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.coalesce("url", F.lit("")).alias("url")).alias(
             "who"
         ),
-    ).groupBy("digest").agg(F.min("who").alias("first"), F.max("who").alias("last"))
-    firsts = settled(firsts.where("first <> last").select("digest", "first"))
+    ).groupBy("digest").agg(F.min("who").alias("first"), F.count("*").alias("n"))
+    firsts = settled(firsts.where("n > 1").select("digest", "first"))
     told = captures.join(small(firsts), "digest", "left")
-    response = _urn(F.lit("r"), F.col("page_id"), F.coalesce("url", F.lit("")), F.col("digest"))
-    first = _urn(F.lit("r"), F.col("first.page_id"), F.col("first.url"), F.col("digest"))
+    response = _urn(F.lit("r"), F.col("page_id"), F.coalesce("url", F.lit("")), F.col("digest"), F.col("nth"))
+    first = _urn(F.lit("r"), F.col("first.page_id"), F.col("first.url"), F.col("digest"), F.lit(1))
     ids = told.withColumns(
         {
             "id": response,
-            "again": F.col("first").isNotNull() & (F.col("first") != F.col("who")),
+            "again": F.col("first").isNotNull() & ((F.col("first") != F.col("who")) | (F.col("nth") > 1)),
             "first_id": first,
         }
     )
@@ -138,9 +140,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
         "application/http; msgtype=response",
         http,
     )
-    fields = F.concat_ws(
-        CRLF, F.concat(F.lit("page: "), F.col("page")), F.concat(F.lit("copies: "), F.col("copies"))
-    )
+    fields = F.coalesce(F.concat(F.lit("page: "), F.col("page")), F.lit(""))
     metadata = _record(
         "metadata",
         [_field("WARC-Record-ID", _urn(F.lit("m"), F.col("id"))), concurrent, target],
@@ -298,7 +298,7 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write the pages, read the archives back: one row per page.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to (see write_warc).
-    Repeated rows come back as often as they went in.  An empty table gives an empty
+    Of repeated rows the first is the response, if it may be one.  An empty table gives an empty
     result, other columns are ignored.
     """
     spark = pages.sparkSession
@@ -313,8 +313,7 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     )
     slim = settled(records.drop("payload"))
     told = resolved(settled(assemble(slim, carry)), carry)
-    copies = F.sequence(F.lit(1), meta("metadata", "copies").cast("int"))
-    return told.withColumn("copy", F.explode(copies)).select(
+    return told.select(
         meta("metadata", "page").cast("long").alias("page_id"),
         "payload_bytes",
         F.col("payload_sha256").alias("payload_digest"),

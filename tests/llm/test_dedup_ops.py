@@ -111,6 +111,16 @@ def test_ngram_join_group_with_many_edits_in_blocks(spark, monkeypatch):
     assert collected(join.ngram_join(frame(spark, rows * 2).repartition(5))) == plain_join(rows * 2)
 
 
+def test_ngram_join_goes_through_a_key_with_two_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    alone = " ".join(f"c{i}" for i in range(60))
+    rows = [(3, one), (5, one + " x"), (5, two), (9, two + " y"), (12, alone), (5, None), (12, ""), (14, None)]
+    rows = [(k, t, "en", "s", 0) for k, t in rows]
+    got = collected(join.ngram_join(frame(spark, rows)))
+    assert got == plain_join(rows)
+    assert {(k, c) for k, _, c in got} == {(3, 3), (5, 3), (9, 3), (12, 12), (14, 14)}
+
+
 def test_ngram_join_empty(spark):
     assert collected(join.ngram_join(frame(spark, []))) == []
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -285,3 +286,56 @@ def test_quality_without_labels_or_rows(spark):
     got = quality.quality_rules(frame(spark, rows), model).where("kept")
     assert {r.doc_id for r in got.collect()} == {77}
     assert collected(quality.quality_rules(frame(spark, []), model)) == []
+
+
+def test_patterns_take_time_in_proportion(spark):
+    """Several MB of what could make a pattern start over and over."""
+    size = 5_000_000
+    hard = ["eyJ", "eyJaaaaaaaa.", "AKIA", "0123456789abcdef0123456 ", "ghp_", "token ", "-----BEGIN A", "secret" + " " * 99]
+    rows = [(i, (unit * (size // len(unit)))[:size], "en", "a", size) for i, unit in enumerate(hard)]
+    began = time.time()
+    found, _ = scan_secrets(frame(spark, rows).repartition(8))
+    assert found.count() == len(hard)
+    assert time.time() - began < 120
+
+
+def test_spans_of_unknown_runs():
+    """A model without byte pieces merges unknown characters that stand side by side."""
+
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    def field(number, kind, body):
+        return varint(number << 3 | kind) + (varint(len(body)) + body if kind == 2 else body)
+
+    pieces = [("<unk>", 2), ("<s>", 3), ("</s>", 3), ("▁", 1), ("a", 1), ("b", 1), ("ab", 1), ("c", 1)]
+    proto = b"".join(
+        field(1, 2, field(1, 2, text.encode()) + field(2, 5, np.float32(-i).tobytes()) + field(3, 0, varint(kind)))
+        for i, (text, kind) in enumerate(pieces)
+    )
+    # Unigram without a character map: spaces are escaped and led by one, nothing else.
+    proto += field(2, 2, field(3, 0, b"\x01") + field(4, 0, varint(len(pieces))))
+    proto += field(3, 2, field(1, 2, b"identity") + field(3, 0, b"\x01") + field(4, 0, b"\x00") + field(5, 0, b"\x01"))
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    use, widths = codec.settings(model.serialized_model_proto()), codec.piece_widths(model)
+    for text in ("xyz", "abxyzab", "é", "aéxb xx", "", "日本ab語語語"):
+        ids = np.array(model.encode(text), np.int64)
+        normal, origin = codec.normalise(text.encode(), use)
+        start, end = codec.spans(codec.own_widths(model, text, ids, widths), normal, origin)
+        raw = text.encode()
+        assert b"".join(raw[a:b] for a, b in zip(start, end, strict=True)) == raw
+        for i, a, b in zip(ids, start, end, strict=True):
+            piece = model.id_to_piece(int(i))
+            if piece in ("a", "b", "c", "ab"):
+                assert raw[a:b].decode() == piece
+
+
+def test_quality_sample_holds_one_row_a_key(spark, monkeypatch):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = [(1, f"text {i} " * 60, "en", "a", 0) for i in range(500)] + [(2, "other " * 80, "en", "a", 0)]
+    seen = []
+    monkeypatch.setattr(quality, "fit_trees", lambda x, y, d: seen.append(len(y)))
+    quality.fit_quality(frame(spark, rows), labels, sample_rows=10)
+    assert seen == [2]
