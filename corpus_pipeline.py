@@ -51,10 +51,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest key, of each group of near copies."""
-    told = ngram_join(docs.select("doc_id", "text"), width=COPY_WIDTH, alike=COPY_ALIKE)
-    gone = settled(told.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies: that of the smallest key, null keys last.
+
+    Rows are told apart by key and text, so each is judged by its own text, whatever its
+    key.  Of rows that agree in both, which need not have words, one stays.
+    """
+    told_apart = F.struct(
+        F.col("doc_id").isNull().alias("none"),
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
+        F.xxhash64("text").alias("one"),
+        F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("two"),
+    )
+    rows = docs.withColumn("_row", told_apart)
+    told = ngram_join(rows.select("_row", "text"), key="_row", width=COPY_WIDTH, alike=COPY_ALIKE)
+    counted = settled(told.groupBy("_row").agg(F.min("component_id").alias("group"), F.count("*").alias("n")))
+    gone = counted.where(F.col("group") != F.col("_row")).select("_row")
+    again = settled(counted.where((F.col("group") == F.col("_row")) & (F.col("n") > 1)).select("_row"))
+    kept = rows.join(gone, "_row", "left_anti")
+    if again.isEmpty():
+        return kept.select(*COLUMNS)
+    one = kept.join(again, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("of"))
+    return kept.join(again, "_row", "left_anti").select(*COLUMNS).unionByName(one.select("of.*"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
