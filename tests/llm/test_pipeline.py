@@ -133,6 +133,16 @@ def test_near_copy_stage_takes_five_words_and_four_fifths(spark, kept):
     assert collected(kept[3]) == copies_left([tuple(r) for r in kept[2].collect()])
 
 
+def test_near_copy_stage_judges_rows_of_one_key_apart(spark):
+    one, two, alone = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(3, one), (5, one + " x"), (5, alone), (None, two), (None, two), (7, two + " y"), (None, None), (None, None)]
+    rows += [(8, "few words"), (8, "few words"), (9, ""), (9, None), (None, alone + " z")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r[0], r[1]) for r in collected(pipeline.near_copies(spark, docs, ""))), key=repr)
+    want = [(3, one), (5, alone), (7, two + " y"), (None, None), (8, "few words"), (9, ""), (9, None)]
+    assert got == sorted(want, key=repr)
+
+
 def test_mixture_stage(kept):
     rows = kept[3].collect()
     sizes = {}
