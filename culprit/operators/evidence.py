@@ -285,7 +285,35 @@ def assemble_evidence(
         facts = facts.select(
             *by, "target", *[F.coalesce(n, f"all_{n}").alias(n) for n in PARTIALS]
         )
+    return from_facts(
+        facts,
+        targets,
+        tables,
+        by=by,
+        observed_at=observed_at,
+        baselines=baselines,
+        slas=slas,
+        ignore_null_parents=ignore_null_parents,
+        use_skew=use_skew,
+        fanout_parent_only=fanout_parent_only,
+    )
+
 
+def from_facts(
+    facts: DataFrame,
+    targets: Sequence[Target],
+    tables: Mapping[str, DataFrame],
+    *,
+    by: Sequence[str] = (),
+    observed_at: datetime | str | None = None,
+    baselines: DataFrame | None = None,
+    slas: DataFrame | None = None,
+    ignore_null_parents: bool = False,
+    use_skew: bool = True,
+    fanout_parent_only: bool = False,
+) -> DataFrame:
+    """Evidence rows from the facts of PARTIALS by (`by`, target)."""
+    spark = facts.sparkSession
     dtypes = {
         t.key: tables[t.blame_model].schema[t.blame_column].dataType.simpleString()
         for t in targets

@@ -1,7 +1,8 @@
 """Labelled faults: seeded mutations of a source table, all trials in one plan.
 
-A trial is a column, not a run: the source is read once and every trial sees it with
-its own mutation, told apart by `incident_key`.  A sample of n keys is never sorted or
+A trial is a set of signed rows, those it takes from its source and those it adds; trials
+are told apart by `incident_key`.  `inject` makes whole faulted tables of them, a copy of the
+source per trial, for the few trials that one wants to look at.  A sample of n keys is never sorted or
 limited as a whole.  Instead the n-th key in sampling order is found (a histogram over
 hash buckets, then a rank inside the one bucket that holds it).  That leaves one value
 per trial, which is all that comes to the driver; from then on being chosen is a
@@ -284,6 +285,32 @@ def _is_chosen(pk: str) -> Column:
     return F.coalesce(chosen & (~F.col("conditional") | F.col("_eligible")), F.lit(False))
 
 
+def chosen_rows(
+    rows: DataFrame, found: Mapping[str, Cut], pk: str, trials: Sequence[Trial], dataset: str
+) -> DataFrame:
+    """The rows that each trial has chosen, by incident_key; a row that none has is gone.
+
+    A key is hashed once per seed, whatever the number of trials, and only what was chosen
+    leaves the row.
+    """
+    key = F.col(pk)
+    seeds = sorted({t.seed for t in trials if not t.pattern.tail})
+    hashed = rows.withColumns({f"_h{s}": sample_hash(key, F.lit(s)) for s in seeds})
+    picks = []
+    for t in trials:
+        cut = found[t.key(dataset)]
+        if t.pattern.tail:
+            chosen = key >= F.lit(cut.key)
+        else:
+            h = F.col(f"_h{t.seed}")
+            chosen = (h < cut.hash) | ((h == cut.hash) & (key <= F.lit(cut.key)))
+        if t.pattern.conditional:
+            chosen = chosen & F.col("_eligible")
+        picks.append(F.when(chosen, t.key(dataset)))
+    hits = F.filter(F.array(*picks), lambda k: k.isNotNull())
+    return hashed.withColumn("incident_key", F.explode(hits)).drop(*[f"_h{s}" for s in seeds])
+
+
 HELPERS = ("seed", "conditional", "cut_hash", "cut_key", "_eligible")
 
 
@@ -295,6 +322,65 @@ def _with_choice(
     return spread.withColumn("_chosen", _is_chosen(pk))
 
 
+@dataclass(frozen=True)
+class Fault:
+    """What the trials of a family do: signed rows of one table, and the keys they hit."""
+
+    table: str
+    change: DataFrame  # the table's columns, incident_key and sign
+    truth: DataFrame  # (incident_key, pk)
+    loses: bool  # rows go for good
+
+
+def null_change(df: DataFrame, target: FaultTarget, trials: Sequence[Trial], dataset: str) -> Fault:
+    """Chosen rows go, and come back without the target column."""
+    condition = F.expr(target.condition) if target.condition else F.lit(True)
+    rows = df.withColumn("_eligible", F.coalesce(condition, F.lit(False)))
+    found = find_cuts(rows, target.pk, trials, dataset)
+    chosen = chosen_rows(rows, found, target.pk, trials, dataset).drop("_eligible")
+    both = chosen.withColumn("sign", F.explode(F.array(F.lit(-1), F.lit(1))))
+    emptied = both.withColumn(target.column, F.when(F.col("sign") < 0, F.col(target.column)))
+    return Fault(target.table, emptied, chosen.select("incident_key", text_key(target.pk).alias("pk")), False)
+
+
+def duplicate_change(df: DataFrame, target: FaultTarget, trials: Sequence[Trial], dataset: str) -> Fault:
+    """Chosen rows come a second time."""
+    rows = df.withColumn("_eligible", F.lit(True))
+    found = find_cuts(rows, target.pk, trials, dataset)
+    chosen = chosen_rows(rows, found, target.pk, trials, dataset).drop("_eligible")
+    truth = chosen.select("incident_key", text_key(target.pk).alias("pk")).distinct()
+    return Fault(target.table, chosen.withColumn("sign", F.lit(1)), truth, False)
+
+
+def dropout_change(
+    parent: DataFrame, child: DataFrame, target: FaultTarget, trials: Sequence[Trial], dataset: str
+) -> Fault:
+    """Chosen parents that children refer to go; the truth is the orphaned children."""
+    used = child.filter(F.col(target.child_fk).isNotNull()).select(F.col(target.child_fk).alias(target.pk))
+    rows = parent.join(used.distinct(), target.pk, "left_semi").withColumn("_eligible", F.lit(True))
+    found = find_cuts(rows.select(target.pk, "_eligible").distinct(), target.pk, trials, dataset)
+    chosen = chosen_rows(rows, found, target.pk, trials, dataset).drop("_eligible")
+    links = child.select(
+        F.col(target.child_pk).alias("_child"), F.col(target.child_fk).alias(target.pk)
+    ).withColumn("_eligible", F.lit(True))
+    hit = chosen_rows(links, found, target.pk, trials, dataset)
+    hit = hit.join(parent.select(target.pk).distinct(), target.pk, "left_semi")
+    truth = hit.select("incident_key", text_key("_child").alias("pk"))
+    return Fault(target.table, chosen.withColumn("sign", F.lit(-1)), truth, True)
+
+
+def change(
+    tables: Mapping[str, DataFrame], target: FaultTarget, trials: Sequence[Trial], dataset: str
+) -> Fault:
+    """A family's trials as changes of the clean table; nothing is copied by trial."""
+    family = trials[0].pattern.family
+    if family == NULLS:
+        return null_change(tables[target.table], target, trials, dataset)
+    if family == DUPES:
+        return duplicate_change(tables[target.table], target, trials, dataset)
+    return dropout_change(tables[target.table], tables[target.child_table], target, trials, dataset)
+
+
 def inject_null_spike(
     df: DataFrame, target: FaultTarget, trials: Sequence[Trial], dataset: str
 ) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,8 @@
 """The labelled benchmark: inject every fault, triage every trial, score the answers.
 
-Each fault family is one plan over its faulted table, whatever the number of trials.
-Tests that cannot see the faulted table are left out of that family's plan, and tables
-a family does not touch are shared by all its trials.
+Facts are counted once over the clean tables.  A trial is the few rows that it changes,
+and its tests, evidence and failing keys are the clean ones plus what these rows add.
+Tests that cannot see the changed table are left out of that family's plan.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from culprit.operators.deltas import SIGN
 from culprit.operators.faults import (
     DROPOUT,
     DUPES,
@@ -22,7 +23,7 @@ from culprit.operators.faults import (
     FaultTarget,
     Trial,
     ground_truths,
-    inject,
+    change,
     trial_frame,
     trials_for,
 )
@@ -43,6 +44,11 @@ class SuiteRun:
     classified: DataFrame  # the chosen test of each trial with evidence and causes
     predictions: DataFrame
     prediction_rows: DataFrame
+    held: tuple[DataFrame, ...] = ()  # what was persisted for the run
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
     def pairs(self) -> DataFrame:
         return pair(self.predictions, self.truths)
@@ -117,15 +123,17 @@ def run_family(
     family: str,
     trials: Sequence[Trial],
     created_at: Column,
-) -> tuple[Triage, DataFrame]:
+) -> tuple[Triage, DataFrame, DataFrame]:
     dataset, target = retail.DATASET, retail.TARGETS[family]
     seen = affected(found, target, family)
-    faulted, truth_rows = inject(dict(raw), target, trials, dataset)
-    tables = {**raw, target.table: faulted}
+    fault = change(raw, target, trials, dataset)
+    # Read by each fact of the family; what was chosen is a few times its table at most.
+    signed = fault.change.persist()
+    changed = {target.table: signed}
     answer = triage(
         spark,
-        tables,
-        retail.staging(tables, [KEY]),
+        raw,
+        retail.staging(raw),
         plan,
         by=[KEY],
         groups=[t.key(dataset) for t in trials],
@@ -135,8 +143,10 @@ def run_family(
         one_per_group=True,
         created_at=created_at,
         wanted=[f for f in FACTS if f != "distinct_count"],  # no detector reads it
+        changes={**changed, **retail.staging(changed, [KEY, SIGN])},
+        losing=[target.table] if fault.loses else [],
     )
-    return answer, truth_rows
+    return answer, fault.truth, signed
 
 
 def run_suite(
@@ -155,18 +165,19 @@ def run_suite(
     found = attribute(spark, plan, [t for t in plan.tests if t.model in retail.STAGING_NAMES])
     trials = trials_for(suite, families)
 
-    def answer_family(family: str) -> tuple[Triage, DataFrame]:
+    def answer_family(family: str) -> tuple[Triage, DataFrame, DataFrame]:
         own = [t for t in trials if t.pattern.family == family]
         return run_family(spark, raw, plan, found, family, own, at)
 
     # Families share nothing; their short jobs (cuts, test results) overlap on the cluster.
     with ThreadPoolExecutor(max_workers=len(families)) as pool:
-        answers, truth_rows = zip(*pool.map(answer_family, families))
+        answers, truth_rows, signed = zip(*pool.map(answer_family, families))
 
     def union(frames: Sequence[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, frames)
 
-    classified = union([a.classified for a in answers])
+    # A row per trial, which predictions, diagnostics and scores all read.
+    classified = union([a.classified for a in answers]).persist()
     top = F.get("class_scores", F.lit(0))
     predictions = classified.select(
         KEY,
@@ -185,4 +196,5 @@ def run_suite(
         classified,
         predictions,
         union([a.blame_rows.select(KEY, "pk") for a in answers]),
+        (classified, *signed, *[a.results for a in answers]),
     )

@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from culprit.functions.detectors import DETECTORS, Detector
 from culprit.operators.datatests import DataTest, failing_keys, run_tests
-from culprit.operators.evidence import Target, assemble_evidence
+from culprit.operators.deltas import facts_changed, failing_keys_changed, run_tests_changed
+from culprit.operators.evidence import Target, assemble_evidence, from_facts
 from culprit.operators.incidents import Tiebreaker, build_incidents, choose_test, classify
 from culprit.operators.lineage import DEFAULT_KEY, walk_lineage
+from culprit.operators.probes import FACTS
 from culprit.schemas import FLAG, REAL, TEXT, WALK_STEP, record
 from culprit.sources.constants import constant_frame
 
@@ -128,6 +130,8 @@ def triage(
     detectors: Sequence[Detector] = DETECTORS,
     tiebreaker: Tiebreaker | None = None,
     calibrate: Callable[[Column], Column] | None = None,
+    changes: Mapping[str, DataFrame] | None = None,
+    losing: Sequence[str] = (),
     **options: object,
 ) -> Triage:
     """Run tests, trace failures, probe the blamed tables and rank causes.
@@ -138,12 +142,20 @@ def triage(
     its own incidents.  `one_per_group` keeps the test closest to the source per run.
     `detectors` replaces the rules, `tiebreaker` scores the uncertain cases again, and
     `calibrate` (say, a fitted curve) turns raw confidences into calibrated ones.
+
+    With `changes` the tables are clean ones, and each run is what its signed rows, given by
+    table or model name, make of them (`operators.deltas`); `losing` names the tables of
+    which rows go for good.
     """
+    deltas = changes is not None
     tests = list(tests if tests is not None else project.tests)
     if attributions is None:
         attributions = attribute(spark, project, tests)
     place = {a.test.name: a for a in attributions}
-    results = run_tests(models, tests, by=by, groups=groups).persist()
+    if deltas:
+        results = run_tests_changed(models, changes, tests, by=by, groups=groups).persist()
+    else:
+        results = run_tests(models, tests, by=by, groups=groups).persist()
     broken = results.filter("status = 'fail'").select("test_name").distinct()
     failed = {row["test_name"] for row in broken.collect()}
     tests = [t for t in tests if t.name in failed]
@@ -153,15 +165,16 @@ def triage(
     failing = results.filter("status = 'fail'").join(walks, "test_name")
     if one_per_group:
         failing = choose_test(failing, by, expected_test)
-    evidence = assemble_evidence(
-        [a.target for a in found],
-        {**models, **raw},
-        by=by,
-        groups=groups,
-        observed_at=observed_at,
-        baselines=baselines,
-        **options,
-    ).withColumnRenamed("target", "test_name")
+    targets, tables = [a.target for a in found], {**models, **raw}
+    if deltas and targets:
+        wanted = options.pop("wanted", FACTS)
+        facts = facts_changed(targets, tables, changes, by=by, groups=groups, losing=losing, wanted=wanted)
+        evidence = from_facts(facts, targets, tables, by=by, observed_at=observed_at, baselines=baselines, **options)
+    else:
+        evidence = assemble_evidence(
+            targets, tables, by=by, groups=groups, observed_at=observed_at, baselines=baselines, **options
+        )
+    evidence = evidence.withColumnRenamed("target", "test_name")
     met = failing.drop("model", "column", "kind").join(evidence, [*by, "test_name"])
     handled = F.col("failing_test_kind").isin("not_null", "unique", "relationships")
     met = met.withColumn(
@@ -174,11 +187,13 @@ def triage(
         created_at=created_at if created_at is not None else F.current_timestamp(),
         calibrate=calibrate,
     )
-    keys = [
-        failing_keys(models, a.test, project.pk(a.test.model), by=by, groups=groups)
-        for a in found
-        if not a.hit_agg_boundary
-    ]
+    def keys_of(a: Attribution) -> DataFrame:
+        pk = project.pk(a.test.model)
+        if deltas:
+            return failing_keys_changed(models, changes, a.test, pk, by=by, groups=groups)
+        return failing_keys(models, a.test, pk, by=by, groups=groups)
+
+    keys = [keys_of(a) for a in found if not a.hit_agg_boundary]
     nothing = record(**dict.fromkeys([*by, "test_name", "pk"], TEXT))
     rows = reduce(DataFrame.unionByName, keys, constant_frame(spark, [], nothing))
     if one_per_group:
