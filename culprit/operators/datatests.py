@@ -94,57 +94,133 @@ def _split(df: DataFrame, by: Sequence[str]) -> list[str]:
     return [c for c in by if c in df.columns]
 
 
-def key_counts(model: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Each key (`by` and the column) with its number of rows; null keys do not count.
+# Types whose text is equal exactly where the values are.
+_WHOLE = {"tinyint", "smallint", "int", "bigint"}
+_TOLD_BY_TEXT = _WHOLE | {"string", "boolean", "date", "timestamp", "timestamp_ntz"}
 
-    Tests on one column share this very frame, so Spark plans its shuffle once: repeated
-    keys, the keys a relationship asks for and those it finds all come from it.
-    """
-    return (
-        model.filter(F.col(column).isNotNull())
-        .groupBy(*by, F.col(column).alias("key"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
 
+def _same_text(models: Mapping[str, DataFrame], test: DataTest) -> bool:
+    """Whether a relationship's keys may be compared as text."""
+    one = models[test.model].schema[test.column].dataType.simpleString()
+    two = models[test.parent_model].schema[test.parent_column].dataType.simpleString()
+    return {one, two} <= _WHOLE or (one == two and (one in _TOLD_BY_TEXT or one.startswith("decimal")))
 
-def orphans_by_counts(child: DataFrame, parent: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Keys of `child` counts without a row in `parent` counts.
 
-    A left join that keeps the parent's counts instead of an anti join, which would prune
-    them and so make the parent's shuffle another one.
-    """
-    met = child.join(parent.withColumnRenamed("n", "parents"), [*by, "key"], "left")
-    return met.filter(F.col("parents").isNull())
+@dataclass(frozen=True)
+class Space:
+    """Keys that are counted together: those of a child column, a parent column, or both."""
 
+    child: tuple[str, str] | None = None
+    parent: tuple[str, str] | None = None
+    only: DataTest | None = None  # keys of nulls, or of values outside the list, of one test
+
+
+# What a test reads off the counts of its space.
+ORPHANS, CHILD_REPEATED, PARENT_REPEATED, ROWS, KEYS = "orphans", "child_repeated", "parent_repeated", "n_rows", "n_keys"
 
-def _scan_counts(
-    models: Mapping[str, DataFrame],
-    tests: Sequence[DataTest],
-    by: Sequence[str],
-    groups: Sequence[str] | None,
-) -> list[DataFrame]:
-    """All not_null and accepted_values tests of a model in one scan.
 
-    Zero rows stand in for the other tests.
+def key_spaces(tests: Sequence[DataTest]) -> tuple[list[Space], list[tuple[int, str]]]:
+    """The fewest spaces that answer all tests, and for each test its space and measure.
+
+    A unique test reads the side of a relationship that counts its column anyway.
+    """
+    spaces: list[Space] = []
+    answers: dict[int, tuple[int, str]] = {}
+
+    def add(space: Space) -> int:
+        if space not in spaces:
+            spaces.append(space)
+        return spaces.index(space)
+
+    for i, t in enumerate(tests):
+        if t.kind == "relationships":
+            answers[i] = add(Space((t.model, t.column), (t.parent_model, t.parent_column))), ORPHANS
+    for i, t in enumerate(tests):
+        spot = (t.model, t.column)
+        if t.kind == "unique":
+            as_parent = [n for n, s in enumerate(spaces) if s.parent == spot]
+            as_child = [n for n, s in enumerate(spaces) if s.child == spot]
+            if as_child and not as_parent:
+                answers[i] = as_child[0], CHILD_REPEATED
+            else:
+                answers[i] = as_parent[0] if as_parent else add(Space(parent=spot)), PARENT_REPEATED
+        elif t.kind != "relationships":
+            answers[i] = add(Space(only=t)), ROWS if t.kind == "not_null" else KEYS
+    return spaces, [answers[i] for i in range(len(tests))]
+
+
+def _entries(name: str, spaces: Sequence[Space], by: Sequence[str]) -> Column:
+    """What a row of a model adds to the spaces: (space, key, c, p); mostly a few keys."""
+
+    def entry(space: int, key: Column, child: bool, when: Column) -> Column:
+        c, p = (F.lit(int(x)).cast("bigint") for x in (child, not child))
+        key = key.cast("string")
+        return F.when(when, F.struct(F.lit(space).alias("space"), key.alias("key"), c.alias("c"), p.alias("p")))
+
+    made, none = [], F.lit(None)
+    for i, s in enumerate(spaces):
+        for side, child in ((s.child, True), (s.parent, False)):
+            if side is not None and side[0] == name:
+                col = F.col(side[1])
+                made.append(entry(i, col, child, col.isNotNull()))
+        if s.only is not None and s.only.model == name:
+            col = F.col(s.only.column)
+            if s.only.kind == "not_null":
+                made.append(entry(i, none, False, col.isNull()))
+            else:
+                made.append(entry(i, col, False, ~col.isin(*s.only.accepted)))
+    if by:  # a run of which a model has rows has results of its tests
+        made.append(entry(-1, F.lit(name), False, F.lit(True)))
+    return F.filter(F.array(*made), lambda e: e.isNotNull())
+
+
+def space_counts(
+    models: Mapping[str, DataFrame], spaces: Sequence[Space], names: Sequence[str], by: Sequence[str]
+) -> DataFrame:
+    """(by, space, key, c, p): rows of child and parent that hold each key of a space.
+
+    Every model is read once.  Both sides of a relationship meet in one aggregation instead
+    of a join, and what a task holds of a key, a hot one too, is one row of the shuffle.
     """
     parts = []
-    for name in dict.fromkeys(t.model for t in tests):
-        model, own = models[name], [t for t in tests if t.model == name]
-        slots, aggs = [], [F.count(F.lit(1)).alias("rows")]
-        for i, t in enumerate(own):
-            failures: Column = F.lit(0).cast("bigint")
-            if t.kind == "not_null":
-                aggs.append(F.count_if(F.col(t.column).isNull()).alias(f"n{i}"))
-                failures = F.col(f"n{i}")
-            elif t.kind == "accepted_values":
-                wrong = F.when(~F.col(t.column).isin(*t.accepted), F.col(t.column))
-                aggs.append(F.count_distinct(wrong).alias(f"n{i}"))
-                failures = F.col(f"n{i}")
-            slots.append(F.struct(F.lit(t.name).alias("test_name"), failures.alias("failures")))
-        counted = model.groupBy(*_split(model, by)).agg(*aggs)
-        long = counted.select(*_split(model, by), F.inline(F.array(*slots)))
-        parts.append(_spread(long, by, groups))
-    return parts
+    for name in names:
+        entries = F.explode(_entries(name, spaces, by)).alias("e")
+        parts.append(models[name].select(*by, entries).select(*by, "e.*"))
+    union = reduce(DataFrame.unionByName, parts)
+    return union.groupBy(*by, "space", "key").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
+
+
+def _fused(models: Mapping[str, DataFrame], tests: Sequence[DataTest], by: Sequence[str]) -> DataFrame:
+    """(by, test_name, failures) of tests whose models are all split alike."""
+    spaces, answers = key_spaces(tests)
+    names = dict.fromkeys(n for t in tests for n in (t.model, t.parent_model) if n)
+    counts = space_counts(models, spaces, list(names), by)
+    measures = {
+        ORPHANS: F.sum(F.when(F.col("p") == 0, F.col("c"))),
+        CHILD_REPEATED: F.count_if(F.col("c") > 1),
+        PARENT_REPEATED: F.count_if(F.col("p") > 1),
+        ROWS: F.sum("p"),
+        KEYS: F.count_if(F.col("p") > 0),
+    }
+    owner = F.when(F.col("space") < 0, F.col("key")).alias("owner")
+    told = counts.groupBy(*by, "space", owner).agg(*[m.alias(n) for n, m in measures.items()])
+    slots = []
+    for t, (space, measure) in zip(tests, answers, strict=True):
+        hit = F.col(measure) if not by else F.when(F.col("space") == space, F.col(measure))
+        slots.append((t, space, F.coalesce(hit, F.lit(0)).cast("bigint")))
+    if not by:
+        # One row for each test, whatever rows there are.
+        sums = [F.sum(F.when(F.col("space") == space, f)) for _, space, f in slots]
+        wide = told.agg(*[F.coalesce(s, F.lit(0)).alias(f"n{i}") for i, s in enumerate(sums)])
+        cells = [F.struct(F.lit(t.name).alias("test_name"), F.col(f"n{i}").alias("failures")) for i, (t, _, _) in enumerate(slots)]
+        return wide.select(F.inline(F.array(*cells)))
+    rows = []
+    for t, space, failures in slots:
+        here = (F.col("space") == space) | ((F.col("space") < 0) & (F.col("owner") == t.model))
+        rows.append(F.when(here, F.struct(F.lit(t.name).alias("test_name"), failures.alias("failures"))))
+    cells = F.filter(F.array(*rows), lambda e: e.isNotNull())
+    long = told.select(*by, F.explode(cells).alias("e")).select(*by, "e.*")
+    return long.groupBy(*by, "test_name").agg(F.sum("failures").alias("failures"))
 
 
 def run_tests(
@@ -154,33 +230,36 @@ def run_tests(
     by: Sequence[str] = (),
     groups: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Status and failure count of every test (for every group)."""
-    parts = _scan_counts(models, tests, by, groups)
+    """Status and failure count of every test (for every group).
+
+    Tests whose models are split alike share one scan of each model and one shuffle of
+    keys.  A relationship between models that are not, or whose keys have types that text
+    does not tell apart, is joined on its own.
+    """
+    fused: dict[tuple, list[DataTest]] = {}
+    apart = []
     for t in tests:
-        model = models[t.model]
-        own_by = _split(model, by)
-        if t.kind == "unique":
-            found = key_counts(model, t.column, own_by).filter(F.col("n") > 1)
-            size = F.count(F.lit(1))
-        elif t.kind == "relationships" and own_by == _split(models[t.parent_model], by):
-            child = key_counts(model, t.column, own_by)
-            parent = key_counts(models[t.parent_model], t.parent_column, own_by)
-            found = orphans_by_counts(child, parent, own_by)
-            size = F.sum("n")
-        elif t.kind == "relationships":
-            found = orphan_keys(
-                model, t.column, models[t.parent_model], t.parent_column, by=by, groups=groups
-            )
-            own_by = _split(found, by)
-            size = F.sum("child_rows")
+        own = tuple(_split(models[t.model], by))
+        if t.kind == "relationships" and (
+            own != tuple(_split(models[t.parent_model], by)) or not _same_text(models, t)
+        ):
+            apart.append(t)
         else:
-            continue
-        counted = found.groupBy(*own_by).agg(size.alias("failures"))
-        counted = counted.filter(F.col("failures") > 0)
-        counted = _spread(counted, by, groups)
-        parts.append(counted.select(*by, F.lit(t.name).alias("test_name"), "failures"))
+            fused.setdefault(own, []).append(t)
+    parts = [_spread(_fused(models, own, list(split)), by, groups) for split, own in fused.items()]
+    for t in apart:
+        model = models[t.model]
+        found = orphan_keys(
+            model, t.column, models[t.parent_model], t.parent_column, by=by, groups=groups
+        )
+        counted = found.groupBy(*_split(found, by)).agg(F.sum("child_rows").alias("failures"))
+        parts.append(_spread(counted, by, groups).select(*by, F.lit(t.name).alias("test_name"), "failures"))
+        # No orphans are no rows: the groups are those of the failing model.
+        own = _split(model, by)
+        some = model.groupBy(*own).agg(F.lit(0).cast("bigint").alias("failures"))
+        parts.append(_spread(some, by, groups).select(*by, F.lit(t.name).alias("test_name"), "failures"))
     long = reduce(DataFrame.unionByName, [p.select(*by, "test_name", "failures") for p in parts])
-    totals = long.groupBy(*by, "test_name").agg(F.sum("failures").alias("failures"))
+    totals = long.groupBy(*by, "test_name").agg(F.coalesce(F.sum("failures"), F.lit(0)).alias("failures"))
     return totals.withColumn("status", F.when(F.col("failures") > 0, "fail").otherwise("pass"))
 
 
