@@ -1432,6 +1432,51 @@ SELECT l_suppkey AS feed_id, count(*) AS n_rows,
          AND TIMESTAMP '1996-01-01' + to_days(CAST(s_nationkey * 100 AS INTEGER)) < l_shipdate) AS n_expired
 FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1
 """
+ORACLES["interval_references"] = """
+WITH contracts AS (
+  SELECT l_suppkey AS member, o_orderdate AS valid_from,
+         CASE WHEN o_orderkey % 101 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 60 AS INTEGER))
+         END AS valid_to
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 13 = 0),
+begun AS (SELECT member, min(valid_from) AS earliest FROM contracts GROUP BY 1),
+lines AS (
+  SELECT l_suppkey, l_orderkey, l_linenumber, l_shipdate,
+         EXISTS (SELECT 1 FROM contracts c WHERE c.member = l_suppkey AND c.valid_from <= l_shipdate
+                 AND (c.valid_to IS NULL OR c.valid_to >= l_shipdate)) AS covered
+  FROM lineitem)
+SELECT l_suppkey AS feed_id, count(*) AS n_rows,
+       count(*) FILTER (earliest > l_shipdate) AS n_early,
+       count(*) FILTER (earliest <= l_shipdate AND NOT covered) AS n_expired,
+       count(*) FILTER (earliest IS NULL) AS n_unknown
+FROM lines LEFT JOIN begun ON member = l_suppkey GROUP BY 1
+"""
+ORACLES["row_carry"] = """
+WITH busy AS (
+  SELECT o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+  GROUP BY 1 HAVING count(*) >= 20),
+picked AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 50 = 0),
+ranked AS (
+  SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place
+  FROM orders),
+found AS (
+  SELECT 'customers' AS model, 'first_order' AS column_name, 'orders' AS blame_model,
+         'order_date' AS blame_column, o_orderkey AS pk, 0.7e0 AS certainty, 'agg_boundary' AS ended, 1 AS hops
+  FROM orders WHERE o_custkey IN (SELECT o_custkey FROM busy)
+  UNION ALL
+  SELECT 'customers', 'customer_name', 'raw_customers', 'c_name', o_custkey, 1e0, 'source', 2 FROM busy
+  UNION ALL
+  SELECT 'orders', 'customer_id', 'raw_orders', 'o_custkey', o_orderkey, 1e0, 'source', 2 FROM picked
+  UNION ALL
+  SELECT 'orders', 'customer_id', 'raw_customers', 'c_custkey', c_custkey, 0.85e0, 'source', 2
+  FROM customer WHERE c_custkey IN (SELECT o_custkey FROM picked)
+  UNION ALL
+  SELECT 'orders', 'amount', 'stg_payments', 'amount', l_orderkey * 10 + l_linenumber, 0.7e0, 'agg_boundary', 1
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 400 = 1)
+  UNION ALL
+  SELECT 'order_ranks', 'order_rank', 'raw_orders', 'o_orderdate', o_orderkey, 0.8e0, 'source', 2
+  FROM orders WHERE o_custkey IN (SELECT o_custkey FROM ranked WHERE place = 15))
+SELECT DISTINCT * REPLACE (CAST(pk AS VARCHAR) AS pk) FROM found
+"""
 ORACLES["unit_shift"] = """
 SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 100e0 ELSE 1e0 END AS unit_factor
 FROM events GROUP BY user_id

@@ -16,6 +16,7 @@ from culprit.functions.keys import incident_key, text_key
 from culprit.operators import (
     baselines,
     calibration,
+    carry,
     datatests,
     history,
     lineage,
@@ -591,6 +592,28 @@ def q_lineage_walk(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def q_row_carry(spark: SparkSession, folder: str) -> DataFrame:
+    """Suspect rows of the marts carried up through groups, joins and windows."""
+    raw = retail.sources(spark, folder)
+    tables = {**raw, **retail.models(raw)}
+    tables["order_ranks"] = retail.order_ranks(tables["stg_orders"])
+    suspects = [
+        ("customers", "first_order", tables["customers"].filter("number_of_orders >= 20")),
+        ("customers", "customer_name", tables["customers"].filter("number_of_orders >= 20")),
+        ("orders", "customer_id", tables["orders"].filter("order_id % 50 = 0")),
+        ("orders", "amount", tables["orders"].filter("order_id % 400 = 1")),
+        ("order_ranks", "order_rank", tables["order_ranks"].filter("order_rank = 15")),
+    ]
+    found = []
+    for model, column, rows in suspects:
+        keys = rows.select(text_key(retail.PK_MAP[model]).alias("pk"))
+        ends = carry.carry_rows(tables, retail.CARRY_EDGES, retail.PK_MAP, model, column, keys)
+        named = carry.carried(ends).withColumns({"model": F.lit(model), "column_name": F.lit(column)})
+        found.append(named)
+    return fx.rounded(reduce(DataFrame.unionByName, found))
+
+
 @query
 def q_lineage_hop(spark: SparkSession, folder: str) -> DataFrame:
     starts = _counted_suspects(spark, folder)
@@ -1301,6 +1324,29 @@ def q_expired_references(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def q_interval_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines by feed against the contracts that the feeds' orders of 1995 to 1997 made.
+
+    A contract begins with an order and runs for a number of days that follows the order's
+    key; some have no end.  Contracts overlap, and leave gaps.
+    """
+    date = F.col("o_orderdate").cast("timestamp_ntz")
+    made = fx.read(spark, folder, "orders").filter("o_orderkey % 13 = 0").select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        date.alias("valid_from"),
+        F.when(
+            F.col("o_orderkey") % 101 != 0, F.timestamp_add("DAY", (F.col("o_orderkey") % 60).cast("int"), date)
+        ).alias("valid_to"),
+    )
+    lines = fx.read(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    contracts = lines.join(made, "l_orderkey").select("l_suppkey", "valid_from", "valid_to")
+    return history.interval_references(
+        fx.feed_lines(spark, folder), "feed_id", "ship_ts", contracts, "l_suppkey", "valid_from",
+        "valid_to", by=["feed_id"],
+    )
+
+
 @query
 def q_unit_shift(spark: SparkSession, folder: str) -> DataFrame:
     """Users whose mean value left in another unit: cents for every third one."""

@@ -88,6 +88,78 @@ def expired_references(
     )
 
 
+def interval_references(
+    facts: DataFrame,
+    key: str,
+    moment: str,
+    versions: DataFrame,
+    dim_key: str,
+    valid_from: str,
+    valid_to: str,
+    *,
+    by: Sequence[str] = (),
+    unit: str = "month",
+) -> DataFrame:
+    """n_rows, n_early, n_expired, n_unknown: how rows stand to the versions of their member.
+
+    A row is covered if a version began at its moment or before and ends at it or later; an
+    open end (null) never comes, and versions may overlap.  Without one, it is early if no
+    version has begun, and expired if all that have begun are over, be it before the first
+    gap or after the last end.  Members without versions are unknown; rows without key or
+    moment count as rows only.  A version that begins at null has always been there.
+
+    Rows and versions of a member are put in order of time and the latest end so far is
+    carried along.  A member's time is cut into pieces of one `unit` (a piece gets the latest
+    end of all before it from sums per piece), so that a member with most rows is sorted in
+    as many tasks as it has pieces.
+    """
+    start = F.date_trunc(unit, F.col("_at"))
+    never = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
+    always = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+    ends = versions.filter(F.col(dim_key).isNotNull()).select(
+        F.col(dim_key).alias("_member"),
+        F.coalesce(F.col(valid_from).cast("timestamp_ntz"), always).alias("_at"),
+        F.coalesce(F.col(valid_to).cast("timestamp_ntz"), never).alias("_end"),
+    )
+    asked = facts.select(
+        *by, F.col(key).alias("_member"), F.col(moment).cast("timestamp_ntz").alias("_at")
+    )
+    told = asked.filter(F.col("_member").isNotNull() & F.col("_at").isNotNull())
+    # Versions sort before the rows of their moment.
+    blank = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in by]
+    both = told.withColumns({"_end": F.lit(None).cast("timestamp_ntz"), "_row": F.lit(1)}).unionByName(
+        ends.select("*", *blank, F.lit(0).alias("_row"))
+    ).withColumn("_piece", start)
+    pieces = both.groupBy("_member", "_piece").agg(F.max("_end").alias("_piece_end"))
+    earlier = Window.partitionBy("_member").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_member")
+    pieces = pieces.select(
+        "_member",
+        "_piece",
+        F.max("_piece_end").over(earlier).alias("_before"),
+        F.max("_piece_end").over(whole).isNotNull().alias("_known"),
+    )
+    so_far = Window.partitionBy("_member", "_piece").orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_inside", F.max("_end").over(so_far)).filter("_row = 1").join(
+        pieces, ["_member", "_piece"]
+    )
+    end = F.greatest("_before", "_inside")
+    counted = placed.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_told"),
+        F.count_if(F.col("_known") & end.isNull()).alias("n_early"),
+        F.count_if(end < F.col("_at")).alias("n_expired"),
+        F.count_if(~F.col("_known")).alias("n_unknown"),
+    )
+    # Rows without key or moment have no place in time.
+    rest = asked.filter(F.col("_member").isNull() | F.col("_at").isNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_told"), *[F.lit(0).cast("bigint").alias(n) for n in ("n_early", "n_expired", "n_unknown")]
+    )
+    sums = {n: F.coalesce(F.sum(n), F.lit(0)) for n in ("n_early", "n_expired", "n_unknown")}
+    return counted.unionByName(rest).groupBy(*by).agg(
+        F.coalesce(F.sum("n_told"), F.lit(0)).alias("n_rows"), *[s.alias(n) for n, s in sums.items()]
+    )
+
+
 def unit_factor(now: Column, before: Column, tolerance: float = 0.05) -> Column:
     """The clean factor between two means, or null: 10, 100, 1000 or one over these."""
     found: Column = F.lit(None).cast("double")

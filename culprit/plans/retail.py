@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from culprit.operators.carry import AGG, CAST, DIRECT, JOIN_KEY, WINDOW, CarryEdge
 from culprit.operators.datatests import DataTest
 from culprit.operators.faults import DROPOUT, DUPES, NULLS, FaultTarget
 from culprit.operators.lineage import KeyedEdge, edge_frame
@@ -92,6 +93,12 @@ def mart_customers(customers: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def order_ranks(orders: DataFrame) -> DataFrame:
+    """Each customer's orders in the order of their dates."""
+    by_date = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    return orders.select("order_id", "customer_id", F.row_number().over(by_date).alias("order_rank"))
+
+
 def staging(raw: Mapping[str, DataFrame], by: Sequence[str] = ()) -> dict[str, DataFrame]:
     builders = {
         "stg_customers": (stg_customers, "raw_customers"),
@@ -138,6 +145,7 @@ PK_MAP = {
     "stg_payments": "payment_id",
     "customers": "customer_id",
     "orders": "order_id",
+    "order_ranks": "order_id",
     "raw_customers": "c_custkey",
     "raw_orders": "o_orderkey",
     "raw_payments": "payment_key",
@@ -174,6 +182,21 @@ KEYED_EDGES = tuple(
     if not agg
 )
 
+# The same lineage with the columns that joins, groups and windows match rows with.
+CARRY_EDGES = tuple(
+    CarryEdge(down, column, up, up_column, CAST if cast else DIRECT)
+    for down, column, up, up_column, agg, _, cast in EDGES
+    if not agg
+) + (
+    CarryEdge("orders", "amount", "stg_payments", "amount", AGG, (("order_id", "order_id"),)),
+    CarryEdge("customers", "first_order", "orders", "order_date", AGG, (("customer_id", "customer_id"),)),
+    CarryEdge("customers", "most_recent_order", "orders", "order_date", AGG, (("customer_id", "customer_id"),)),
+    CarryEdge("customers", "number_of_orders", "orders", "order_id", AGG, (("customer_id", "customer_id"),)),
+    CarryEdge("customers", "customer_lifetime_value", "orders", "amount", AGG, (("customer_id", "customer_id"),)),
+    CarryEdge("orders", "customer_id", "stg_customers", "customer_id", JOIN_KEY, (("customer_id", "customer_id"),)),
+    CarryEdge("order_ranks", "order_rank", "stg_orders", "order_date", WINDOW, (("customer_id", "customer_id"),)),
+)
+
 SOURCE_NAMES = ("raw_customers", "raw_orders", "raw_payments")
 STAGING_NAMES = ("stg_customers", "stg_orders", "stg_payments")
 MART_NAMES = ("orders", "customers")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -33,6 +35,49 @@ def test_expired_references(spark):
     assert (got.n_rows, got.n_expired) == (5, 1)
 
 
+def covered(versions, member, at):
+    """Plain standing of a row: early, expired, unknown or fine."""
+    own = [(a, b) for k, a, b in versions if k == member]
+    if member is None or at is None:
+        return None
+    if not own:
+        return "unknown"
+    begun = [(a, b) for a, b in own if a is None or a <= at]
+    if not begun:
+        return "early"
+    return None if any(b is None or b >= at for _, b in begun) else "expired"
+
+
+@pytest.mark.parametrize("unit", ["month", "day", "year"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_interval_references(spark, unit, seed):
+    draw = random.Random(seed)
+    day = lambda n: f"2024-{n // 28 + 1:02d}-{n % 28 + 1:02d} 00:00:00"
+    # Gaps, overlaps, open ends and beginnings; one member holds most rows.
+    versions = [
+        (draw.choice([1, 1, 2, 3]), a if draw.random() < 0.95 else None, a + draw.randrange(0, 25) if draw.random() < 0.9 else None)
+        for a in (draw.randrange(20, 250) for _ in range(25))
+    ]
+    facts = [(draw.choice([1, 1, 1, 1, 2, 3, 4, None]), draw.choice([None, *range(0, 300)]), draw.choice("xy")) for _ in range(400)]
+    as_day = lambda n: None if n is None else day(n)
+    df = spark.createDataFrame([(k, as_day(a), g) for k, a, g in facts], "k int, at string, g string")
+    vs = spark.createDataFrame([(k, as_day(a), as_day(b)) for k, a, b in versions], "m int, a string, b string")
+    got = history.interval_references(df, "k", "at", vs, "m", "a", "b", by=["g"], unit=unit)
+    told = {r["g"]: tuple(r[n] for n in ("n_rows", "n_early", "n_expired", "n_unknown")) for r in got.collect()}
+    for g in "xy":
+        stands = [covered(versions, k, a) for k, a, h in facts if h == g]
+        assert told[g] == (len(stands), *(stands.count(w) for w in ("early", "expired", "unknown")))
+
+
+def test_event_between_two_versions_has_expired(spark):
+    facts = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ '2024-02-15' AS at")
+    versions = spark.sql(
+        "SELECT * FROM VALUES (1, DATE '2024-01-01', DATE '2024-01-31'), (1, DATE '2024-03-01', NULL) t(k, a, b)"
+    )
+    got = history.interval_references(facts, "k", "at", versions, "k", "a", "b").first()
+    assert got.asDict() == {"n_rows": 1, "n_early": 0, "n_expired": 1, "n_unknown": 0}
+
+
 def test_unit_factor(spark):
     df = spark.sql("SELECT * FROM VALUES (100D,1D),(1D,100D),(1.2D,1D),(1D,0D),(NULL,1D),(1010D,1D) t(a,b)")
     got = [r[0] for r in df.select(history.unit_factor(F.col("a"), F.col("b"))).collect()]
