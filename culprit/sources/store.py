@@ -1,24 +1,30 @@
 """Incident and label tables as append-only parquet, read as their latest state.
 
-A save appends a batch and never rewrites what readers may be reading.  The current
-state is the last change per key.  Appending the same named batch twice (a replayed
+A save commits a batch and never rewrites what readers may be reading.  The current
+state is the last change per key.  Saving the same named batch twice (a replayed
 micro-batch, a retried job) changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culprit.operators.incidents import incident_rows
 from culprit.schemas import CAUSE_CLASSES, INCIDENT, TEXT, record
+from culprit.sources.commits import Once, write_sized
 from culprit.sources.constants import constant_frame
 
 PUT, DROP = "put", "drop"
-BOOKKEEPING = ("_version", "_written", "_batch", "_change")
+BOOKKEEPING = ("_version", "_change")
+
+# Keys in one bucket of a snapshot.
+BUCKET_ROWS = 200_000
 
 
 def latest(df: DataFrame, key: str, version: str | Column) -> DataFrame:
@@ -87,11 +93,13 @@ def set_labels(current: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class IncidentStore:
-    """Incidents (or ground truths) below `path`: a log of changes and snapshots of it.
+    """Incidents (or ground truths) below `path`: numbered changes and snapshots of them.
 
-    Every change gets the next number of the store's one sequence, whoever makes it, and
-    the last change of a key wins.  A named batch keeps the number it got first: replayed
-    after a failure it completes what was lost and overrides nothing newer.
+    A change is written first and then committed by creating the file of the next number,
+    which only one writer can; whoever finds it taken goes on to the one after.  So every
+    change is whole or not there, and the last change of a key wins, in the order of the
+    numbers, whoever makes it.  A named batch that has been committed is not committed
+    again: replayed after a failure it adds what was lost and overrides nothing newer.
 
     Methods that write say so; the others are lazy.
     """
@@ -100,50 +108,66 @@ class IncidentStore:
         self.spark = spark
         self.path = f"{path.rstrip('/')}/{table}"
         self.key = "incident_id" if table == "incidents" else "incident_key"
-        self.moment = "created_at" if table == "incidents" else "injected_at"
-
-    def _read(self, part: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{part}")
-        except AnalysisException:
+        self.commits = Once(spark, f"{self.path}/commits")
+        self.snapshots = Once(spark, f"{self.path}/snapshots")
+        self.batches = Once(spark, f"{self.path}/batches")
+
+    def _since(self) -> tuple[dict | None, int, dict[int, dict]]:
+        """The last snapshot, the number it goes up to, and the changes after it."""
+        last = self.snapshots.names()[-1:]
+        told = self.snapshots.read(last)
+        upto = int(last[0]) if told else -1
+        names = [n for n in self.commits.names() if int(n) > upto]
+        found = {int(n): c for n, c in self.commits.read(names).items()}
+        return (told[last[0]] if told else None), upto, dict(sorted(found.items()))
+
+    def _log(self, key: str | None = None) -> DataFrame | None:
+        """The last snapshot and all changes since, of all keys or of one.
+
+        With a key only its bucket of the snapshot is opened.
+        """
+        kept, _, changes = self._since()
+        parts = []
+        if kept is not None:
+            base = self.spark.read.parquet(f"{self.path}/data/{kept['data']}")
+            if key is not None:
+                bucket = F.pmod(F.xxhash64(F.lit(key)), F.lit(kept["buckets"])).cast("int")
+                base = base.filter(F.col("_bucket") == bucket)
+            parts.append(base.drop("_bucket"))
+        if changes:
+            frame = self.spark.read.parquet(*[f"{self.path}/data/{c['data']}" for c in changes.values()])
+            # One entry per change since the snapshot.
+            number = F.create_map(*[x for n, c in changes.items() for x in (F.lit(c["data"]), F.lit(n))])
+            change = F.create_map(*[x for c in changes.values() for x in (F.lit(c["data"]), F.lit(c["change"]))])
+            parts.append(
+                frame.withColumns(
+                    {"_version": number[F.col("_data")].cast("bigint"), "_change": change[F.col("_data")]}
+                ).drop("_data")
+            )
+        if not parts:
             return None
+        log = reduce(DataFrame.unionByName, parts)
+        return log if key is None else by_id(log, self.key, key)
 
-    def _log(self) -> DataFrame | None:
-        """The last snapshot and all changes since."""
-        log, kept = self._read("log"), self._read("snapshots")
-        if log is None:
-            return None
-        log = log.drop("_date")
-        if kept is None:
-            return log
-        upto = kept.agg(F.max("_upto")).first()[0]
-        base = kept.filter(F.col("_upto") == upto).drop("_upto")
-        return base.unionByName(log.filter(F.col("_version") > upto))
-
-    def _number(self, batch: str | None) -> int:
-        log = self._read("log")
-        if log is None:
-            return 0
-        own = F.max(F.when(F.col("_batch") == batch, F.col("_version")))
-        last, same = log.agg(F.max("_version"), own).first()
-        return same if same is not None else last + 1
+    def _committed(self, batch: str, changes: dict[int, dict]) -> bool:
+        mark = hashlib.sha256(batch.encode()).hexdigest()
+        return any(c["batch"] == batch for c in changes.values()) or mark in self.batches.names()
 
     def _append(self, rows: DataFrame, change: str, batch: str | None = None) -> None:
-        stamped = rows.withColumns(
-            {
-                "_version": F.lit(self._number(batch)).cast("bigint"),
-                "_written": F.current_timestamp(),
-                "_batch": F.lit(batch).cast("string"),
-                "_change": F.lit(change),
-                "_date": F.to_date(self.moment),
-            }
-        )
-        stamped.write.mode("append").partitionBy("_date").parquet(f"{self.path}/log")
+        _, upto, changes = self._since()
+        if batch is not None and self._committed(batch, changes):
+            return
+        data = uuid.uuid4().hex
+        write_sized(rows.withColumn("_data", F.lit(data)), f"{self.path}/data/{data}", self.key)
+        entry = {"data": data, "change": change, "batch": batch}
+        number = max([upto, *changes]) + 1
+        while not self.commits.make(f"{number:012d}", entry):
+            number += 1
 
     def _state(self, log: DataFrame | None) -> DataFrame:
         if log is None:
             raise LookupError(f"nothing stored at {self.path}")
-        return latest(log, self.key, F.struct("_version", "_written"))
+        return latest(log, self.key, "_version")
 
     def save_rows(self, rows: DataFrame, batch: str | None = None) -> None:
         """Writes: upsert by key."""
@@ -162,8 +186,7 @@ class IncidentStore:
 
     def load(self, key: str) -> DataFrame:
         """Key filters reach the scan, as they hold for every version of a row."""
-        log = self._log()
-        return self._live(self._state(log if log is None else by_id(log, self.key, key)))
+        return self._live(self._state(self._log(key)))
 
     def list(self, **filters: object) -> DataFrame:
         return listing(self.current(), **filters)
@@ -199,13 +222,39 @@ class IncidentStore:
         self._append(set_labels(hit, labels), PUT)
 
     def compact(self) -> None:
-        """Writes a snapshot of the state; readers then skip the changes before it.
+        """Writes a snapshot of the state, in buckets of keys; readers then start from it.
 
-        Older snapshots and changes stay for those who are reading them; what removes old
-        files from the folder may take all but the last snapshot.
+        Older snapshots and changes stay for those who are reading them, until `prune`.
+        """
+        _, upto, changes = self._since()
+        state = self._state(self._log())
+        last = max([upto, *changes])
+        # What a replay asks for must be known before the changes are out of its sight.
+        for c in changes.values():
+            if c["batch"] is not None:
+                self.batches.make(hashlib.sha256(c["batch"].encode()).hexdigest(), {"batch": c["batch"]})
+        buckets = max(1, -(-state.count() // BUCKET_ROWS))
+        data = uuid.uuid4().hex
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
+        state.withColumn("_bucket", bucket).repartition(buckets, "_bucket").sortWithinPartitions(
+            self.key
+        ).write.partitionBy("_bucket").parquet(f"{self.path}/data/{data}")
+        self.snapshots.make(f"{last:012d}", {"data": data, "buckets": buckets})
+
+    def prune(self) -> int:
+        """Deletes the files of changes and snapshots that the last snapshot replaces.
+
+        For times when nobody reads an older state; returns how many went.
         """
-        log = self._log()
-        state = self._state(log)
-        upto = log.agg(F.max("_version")).first()[0]
-        stamped = state.withColumn("_upto", F.lit(upto).cast("bigint"))
-        stamped.write.mode("append").partitionBy("_upto").parquet(f"{self.path}/snapshots")
+        _, upto, _ = self._since()
+        data = Once(self.spark, f"{self.path}/data")
+        gone = 0
+        for log, names in (
+            (self.commits, [n for n in self.commits.names() if int(n) <= upto]),
+            (self.snapshots, self.snapshots.names()[:-1]),
+        ):
+            for name, entry in log.read(names).items():
+                data.remove(entry["data"])
+                log.remove(name)
+                gone += 1
+        return gone

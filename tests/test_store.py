@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -73,6 +75,87 @@ def test_last_write_wins_whoever_writes(spark, incidents, tmp_path):
     assert kept.current().count() == incidents.count()
 
 
+def few(spark, *names, label="x"):
+    return spark.createDataFrame([(n, label) for n in names], "incident_key string, notes string")
+
+
+def test_writers_at_once_are_both_kept_in_order(spark, tmp_path):
+    """Whoever finds a number taken goes on to the next; no change is lost or numbered twice."""
+    stores = [store.IncidentStore(spark, str(tmp_path), "ground_truths") for _ in range(6)]
+
+    def write(i):
+        stores[i].save_rows(few(spark, "same", f"own{i}", label=f"by {i}"), batch=f"writer {i}")
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(write, range(6)))
+    names = stores[0].commits.names()
+    assert names == [f"{i:012d}" for i in range(6)]
+    last = stores[0].commits.read(names[-1:])[names[-1]]["batch"].split()[1]
+    found = dict(rows(stores[0].current()))
+    assert found == {"same": f"by {last}", **{f"own{i}": f"by {i}" for i in range(6)}}
+
+
+def test_a_taken_number_is_passed_by(spark, tmp_path, monkeypatch):
+    one, two = (store.IncidentStore(spark, str(tmp_path), "ground_truths") for _ in range(2))
+    stale = one._since()
+    monkeypatch.setattr(one, "_since", lambda: stale)
+    two.save_rows(few(spark, "a", label="two"))
+    one.save_rows(few(spark, "a", label="one"))
+    assert rows(two.current()) == [("a", "one")]
+
+
+def test_half_a_batch_is_not_there_and_its_replay_is_whole(spark, tmp_path, monkeypatch):
+    kept = store.IncidentStore(spark, str(tmp_path), "ground_truths")
+    kept.save_rows(few(spark, "old"))
+    with monkeypatch.context() as m:
+        # The writer dies after its files are written and before they are committed.
+        m.setattr(kept.commits, "make", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            kept.save_rows(few(spark, "a", "b"), batch="b#0")
+    assert rows(kept.current()) == [("old", "x")]
+    kept.compact()
+    kept.save_rows(few(spark, "a", "b"), batch="b#0")
+    assert kept.current().count() == 3
+    kept.compact()
+    kept.save_rows(few(spark, "a", label="newer"))
+    kept.save_rows(few(spark, "a", "b"), batch="b#0")
+    assert dict(rows(kept.current()))["a"] == "newer"
+
+
+def test_snapshots_open_one_bucket_and_no_old_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET_ROWS", 25)
+    kept = store.IncidentStore(spark, str(tmp_path), "ground_truths")
+    for i in range(3):
+        kept.save_rows(few(spark, *[f"k{j}" for j in range(100)], label=f"round {i}"))
+    old = set(kept.current().inputFiles())
+    kept.compact()
+    files = kept.current().inputFiles()
+    assert not old & set(files) and len(files) == 4
+    assert kept.load("k7").first().notes == "round 2"
+    scan = next(x for x in kept.load("k7")._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+    assert "_bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert len(list((tmp_path / "ground_truths" / "data").iterdir())) == 4
+    assert kept.prune() == 3 and kept.current().count() == 100
+    assert len(list((tmp_path / "ground_truths" / "data").iterdir())) == 1
+    kept.save_rows(few(spark, "k7", label="after"))
+    assert kept.load("k7").first().notes == "after" and kept.current().count() == 100
+
+
+def test_few_rows_are_one_file(spark, incidents, tmp_path):
+    kept = store.IncidentStore(spark, str(tmp_path))
+    kept.save(incidents.repartition(8))
+    assert len(kept.current().inputFiles()) == 1
+
+
+def test_unreadable_files_are_no_empty_store(spark, tmp_path):
+    kept = store.IncidentStore(spark, str(tmp_path), "ground_truths")
+    kept.save_rows(few(spark, "a"))
+    for file in (tmp_path / "ground_truths" / "data").rglob("*.parquet"):
+        file.write_bytes(b"damaged")
+    with pytest.raises(Exception, match="(?i)parquet|footer|CANNOT_READ"):
+        kept.current().collect()
+
+
 def test_listing(spark):
     df = spark.sql(
         """SELECT * FROM VALUES ('a',1,'m1','x','auto'),('b',3,'m1','y','auto'),('c',2,'m2','x','auto')
