@@ -132,37 +132,44 @@ def scan(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def scan_secrets(
+NO_SPANS = "array<struct<start:long,end:long>>"
+
+
+def scan_unseen(
+    versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES
+) -> DataFrame:
+    """Ledger rows, form `LEDGER`, for the pairs of blob and rule version it has no row for.
+
+    A pair has its row, findings or not: what has been scanned is never scanned again.
+    """
+    todo = unseen(versions, text, ledger, rules)
+    spans = settled(scan(todo, rules)).groupBy("blob", "rule").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("findings")
+    )
+    pairs = todo.select("blob", F.explode("todo").alias("rule"))
+    return pairs.join(spans, ["blob", "rule"], "left").select(
+        "blob", "rule", F.coalesce("findings", F.array().cast(NO_SPANS)).alias("findings")
+    )
+
+
+def path_findings(
     versions: DataFrame,
+    ledger: DataFrame,
     path: str = "doc_id",
     text: str = "text",
-    ledger: DataFrame | None = None,
     rules: Sequence[Rule] = RULES,
-) -> tuple[DataFrame, DataFrame]:
-    """Findings of every path, and the ledger rows this run adds.
-
-    Each version is addressed by the digest of its content.  A blob is scanned once,
-    however many paths and versions hold it, and only by the rule versions that `ledger`
-    has no row for; findings come back to all paths by the address.
+) -> DataFrame:
+    """path, blob, findings for each row of `versions`, from the ledger alone.
 
-    The first frame has one row per row of `versions`: path, blob, findings, an array of
-    (start, rank, end, kind) ordered by start and then by the order of `rules`.  The
-    second has the form `LEDGER`, a row for each pair scanned now, findings or not; append
-    it to the ledger.  A null text is an empty blob.  Null and repeated paths each get
-    their row; an empty table gives empty frames; other columns are ignored.
+    findings is an array of (start, rank, end, kind), ordered by start and then by the
+    order of `rules`; rows of rule versions that are not among them are left aside.
     """
-    todo = unseen(versions, text, ledger, rules)
-    fresh = settled(scan(todo, rules))
     ranks = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))))
-    current = fresh
-    if ledger is not None:
-        current = fresh.unionByName(
-            ledger.where(F.col("rule").isin([r.key for r in rules])).select(
-                "blob", "rule", F.inline("findings").alias("start", "end")
-            )
-        )
     found = settled(
-        current.groupBy("blob").agg(
+        ledger.where(F.col("rule").isin([r.key for r in rules]))
+        .select("blob", "rule", F.inline("findings").alias("start", "end"))
+        .groupBy("blob")
+        .agg(
             F.array_sort(
                 F.collect_list(
                     F.struct(
@@ -177,19 +184,50 @@ def scan_secrets(
     )
     addressed = versions.select(F.col(path), blob_id(F.col(text)).alias("blob"))
     none = F.array().cast("array<struct<start:long,rank:int,end:long,kind:string>>")
-    told = addressed.join(found, "blob", "left").select(
+    return addressed.join(found, "blob", "left").select(
         path, "blob", F.coalesce("findings", none).alias("findings")
     )
-    pairs = todo.select("blob", F.explode("todo").alias("rule"))
-    spans = fresh.groupBy("blob", "rule").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("findings")
-    )
-    added = pairs.join(spans, ["blob", "rule"], "left").select(
-        "blob",
-        "rule",
-        F.coalesce("findings", F.array().cast("array<struct<start:long,end:long>>")).alias("findings"),
-    )
-    return told, added
+
+
+def scan_secrets(
+    versions: DataFrame,
+    path: str = "doc_id",
+    text: str = "text",
+    ledger: DataFrame | None = None,
+    rules: Sequence[Rule] = RULES,
+) -> tuple[DataFrame, DataFrame]:
+    """Findings of every path, and the ledger rows this run adds.
+
+    Each version is addressed by the digest of its content.  A blob is scanned once,
+    however many paths and versions hold it, and only by the rule versions that `ledger`
+    has no row for; findings come back to all paths by the address.
+
+    The first frame has one row per row of `versions` (see path_findings), the second a row
+    for each pair scanned now; append it to the ledger.  A null text is an empty blob.  Null
+    and repeated paths each get their row; an empty table gives empty frames; other columns
+    are ignored.
+    """
+    added = settled(scan_unseen(versions, text, ledger, rules))
+    known = added if ledger is None else added.unionByName(ledger)
+    return path_findings(versions, known, path, text, rules), added
+
+
+def scan_arrivals(
+    arrivals: Sequence[DataFrame],
+    ledger_path: str,
+    text: str = "text",
+    rules: Sequence[Rule] = RULES,
+) -> DataFrame:
+    """The ledger below `ledger_path` after each of the arrivals, one after the other.
+
+    Every arrival appends the pairs that are new to the ledger, and only these are scanned.
+    """
+    ledger = None
+    for versions in arrivals:
+        added = scan_unseen(versions, text, ledger, rules)
+        added.write.mode("append").parquet(ledger_path)
+        ledger = versions.sparkSession.read.schema(LEDGER).parquet(ledger_path)
+    return ledger
 
 
 def span_text(findings: Column) -> Column:

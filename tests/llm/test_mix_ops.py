@@ -189,3 +189,33 @@ def test_page_text_and_host(spark):
     got = df.select(lines.page_text(F.col("html")), lines.url_host(F.col("url"))).collect()
     assert [x for x in got[0][0].split("\n") if x] == ["T", "one two", "three"]
     assert got[0][1] == "a.example.org" and tuple(got[1]) == (None, None)
+
+
+def plain_shards(rows, shards):
+    """(id, source, tie) and hash of each row, to (id, source, tie, shard, slot)."""
+    first = lambda x: (x is not None, x if x is not None else 0)
+    groups = {}
+    for key, source, tie, hashed in rows:
+        label = "" if source is None else f"s{source}"
+        groups.setdefault(label, []).append((hashed, first(key), tie, key, source))
+    order = []
+    for label, own in groups.items():
+        own.sort(key=lambda r: r[:3])
+        order += [((at + 0.5) / len(own), label, at, r) for at, r in enumerate(own)]
+    order.sort(key=lambda r: r[:3])
+    n = len(order)
+    made = []
+    for place, (*_, r) in enumerate(order):
+        shard = place * shards // n
+        made.append((r[3], r[4], r[2], shard, place - -(-shard * n // shards)))
+    return sorted(made, key=repr)
+
+
+@pytest.mark.parametrize("shards", [1, 5, 24])
+def test_interleave_against_plain(spark, shards):
+    rows = [(i % 400 if i % 9 else None, "hot" if i % 3 else f"s{i % 7}" if i % 11 else None, i) for i in range(700)]
+    df = spark.createDataFrame(rows + rows[:20], "doc_id long, source string, tie long").repartition(5)
+    hashed = df.withColumn("h", F.xxhash64(F.lit(7), "doc_id", "source", "tie"))
+    want = plain_shards([tuple(r) for r in hashed.collect()], shards)
+    got = sharding.interleave(df, shards, tie="tie").select("doc_id", "source", "tie", "shard", "slot")
+    assert sorted((r[:2] + r[3:] for r in collected(got)), key=repr) == sorted((r[:2] + r[3:] for r in want), key=repr)

@@ -9,6 +9,7 @@ from cases import clashing, collected, documents, frame, words
 
 from culprit.llm import piece_codec as codec
 from culprit.llm import quality as quality
+from culprit.llm import secret_scan
 from culprit.llm import token_counts as tokens
 from culprit.llm.secret_scan import BASE_RULES, LEDGER, RULES, scan_secrets, span_text
 
@@ -339,3 +340,28 @@ def test_quality_sample_holds_one_row_a_key(spark, monkeypatch):
     monkeypatch.setattr(quality, "fit_trees", lambda x, y, d: seen.append(len(y)))
     quality.fit_quality(frame(spark, rows), labels, sample_rows=10)
     assert seen == [2]
+
+
+def test_arrivals_scan_only_unseen_pairs(spark, tmp_path, monkeypatch):
+    rows = secret_rows()
+    half = len(rows) // 2
+    arrivals = [frame(spark, rows[:half]), frame(spark, rows[: half + 3]), frame(spark, rows)]
+    scanned = []
+    plain_scan = secret_scan.scan
+
+    def counted(blobs, rules):
+        scanned.append({(bytes(r.blob), rule) for r in blobs.collect() for rule in r.todo})
+        return plain_scan(blobs, rules)
+
+    monkeypatch.setattr(secret_scan, "scan", counted)
+    ledger = secret_scan.scan_arrivals(arrivals, str(tmp_path / "ledger"))
+    blobs = [{t or "" for _, t, *_ in r} for r in (rows[:half], rows[: half + 3], rows)]
+    new = [len(blobs[0]), len(blobs[1] - blobs[0]), len(blobs[2] - blobs[1])]
+    assert [len(s) for s in scanned] == [n * len(RULES) for n in new]
+    assert not scanned[0] & scanned[1] and not (scanned[0] | scanned[1]) & scanned[2]
+    # A new version of one rule is due on every blob, and nothing else is.
+    newer = [r._replace(version=r.version + 1) if r.kind == "hex" else r for r in RULES]
+    assert secret_scan.scan_unseen(frame(spark, rows), ledger=ledger, rules=newer).count() == len(blobs[2])
+    whole, _ = scan_secrets(frame(spark, rows))
+    told = secret_scan.path_findings(frame(spark, rows), ledger)
+    assert collected(told) == collected(whole)
