@@ -611,7 +611,7 @@ SELECT count(*) AS n_incidents, 1e0 AS top1_table_acc, 1e0 AS top3_table_acc,
 FROM said""",
 )
 
-ORACLES["fault_supply_targets"] = with_ctes(
+_SUPPLY = (
     TRIALS.format(seeds=5).replace("retail|", "supply|"),
     pick("null_pick", "null_spike", "lineitem", "l_orderkey", "s.l_returnflag = 'R'"),
     DUPE_PICK,
@@ -622,10 +622,27 @@ hit AS (
   SELECT incident_key, l_orderkey AS k FROM null_pick UNION ALL
   SELECT incident_key, o_orderkey FROM dupe_pick UNION ALL
   SELECT incident_key, l_orderkey FROM drop_pick JOIN lineitem ON l_suppkey = s_suppkey)""",
+)
+ORACLES["fault_supply_targets"] = with_ctes(
+    *_SUPPLY,
     select="""
 SELECT incident_key, count(DISTINCT k) AS n_keys FROM hit JOIN trials USING (incident_key)
 GROUP BY incident_key""",
 )
+ORACLES["suite_supply"] = with_ctes(
+    *_SUPPLY,
+    """
+placed AS (
+  SELECT 'null_spike' AS family, 'lineitem' AS t, 'l_partkey' AS c
+  UNION ALL SELECT 'duplicate_ingestion', 'orders', 'o_orderkey'
+  UNION ALL SELECT 'broken_join_dropout', 'lineitem', 'l_suppkey'),
+sizes AS (
+  SELECT incident_key, family, count(DISTINCT k) AS n FROM hit JOIN trials USING (incident_key) GROUP BY ALL)""",
+    select="""
+SELECT incident_key, t AS source_table, c AS source_column, t AS blame_table, c AS blame_column,
+       n AS n_predicted, n AS n_true, n AS n_common
+FROM sizes JOIN placed USING (family)""",
+)
 
 # --- baselines ----------------------------------------------------------------------------
 

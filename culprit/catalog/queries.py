@@ -37,8 +37,8 @@ from culprit.operators.incidents import (
     narrate,
     ranked_causes,
 )
-from culprit.plans import retail
-from culprit.plans.suite import project
+from culprit.plans import retail, supply
+from culprit.plans.suite import project, run_suite
 from culprit.plans.triage import triage
 from culprit.schemas import EVIDENCE_DEFAULTS, EVIDENCE_FIELDS
 from culprit.session import scratch_path
@@ -1046,6 +1046,19 @@ def q_fault_supply_targets(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@query
+def q_suite_supply(spark: SparkSession, folder: str) -> DataFrame:
+    """The second target set triaged: where each trial's fault was found, and its rows."""
+    run = run_suite(spark, supply.sources(spark, folder), "full", at=F.lit(fx.FAULTS_AT), models=supply)
+    found = metrics.row_overlap(run.prediction_rows, run.truth_rows)
+    said = run.predictions.select(
+        "incident_key", F.get("candidate_tables", F.lit(0)).alias("blame_table"), "blame_column"
+    )
+    return run.truths.select("incident_key", "source_table", "source_column").join(said, "incident_key").join(
+        found, "incident_key"
+    )
+
+
 @query
 def q_trial_suite(spark: SparkSession, folder: str) -> DataFrame:
     """All 45 trials with the number of keys each one hits."""

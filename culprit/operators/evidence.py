@@ -1,7 +1,7 @@
 """Evidence: one wide row per (group, incident) from a few fused scans.
 
-All incidents that blame the same table share one aggregation over it, whatever
-their number; a relationship adds one anti join on distinct keys.  The partial
+All incidents that blame the same table, or have it as a parent, share one aggregation
+over it, whatever their number; a relationship adds one anti join on distinct keys.  The partial
 results are unioned and folded with a single groupBy, so the number of shuffles does
 not grow with the number of facts.
 """
@@ -93,8 +93,8 @@ PARTIALS = {
 }
 
 
-def _per_target(slots: Mapping[str, Mapping[str, str]]) -> Column:
-    """One row per target out of a wide aggregate: `inline` over structs of one type.
+def _per_target(slots: Sequence[tuple[str, Mapping[str, str]]]) -> Column:
+    """A row per target and role out of a wide aggregate: `inline` over structs of one type.
 
     Facts are SQL texts over the aggregate's columns; what a target lacks is null.
     """
@@ -106,19 +106,18 @@ def _per_target(slots: Mapping[str, Mapping[str, str]]) -> Column:
             fields.append(f"'{name}', CAST({facts.get(name, 'NULL')} AS {dtype})")
         return f"named_struct({', '.join(fields)})"
 
-    return F.expr(f"inline(array({', '.join(struct(k, f) for k, f in slots.items())}))")
+    return F.expr(f"inline(array({', '.join(struct(k, f) for k, f in slots)}))")
 
 
 def _ratio(part: str, whole: str) -> str:
     return f"IF({whole} > 0, {part} / ({whole}), 0D)"
 
 
-def blame_scan(
-    df: DataFrame, targets: Sequence[Target], by: Sequence[str], wanted: Sequence[str] = FACTS
-) -> DataFrame:
-    """Everything the targets want to know about one blamed table, in one aggregation."""
-    aggs = {"n": F.count(F.lit(1)), "latest": _latest(df)}
-    slots = {}
+def _blame_slots(
+    df: DataFrame, targets: Sequence[Target], aggs: dict[str, Column], wanted: Sequence[str]
+) -> list[tuple[str, dict[str, str]]]:
+    """What the targets want to know about a table that they blame."""
+    slots = []
     for t in targets:
         facts = {"blame_row_count": "n", "blame_latest": "latest"}
         if t.blame_pk_column in df.columns:
@@ -140,15 +139,15 @@ def blame_scan(
                 facts["blame_cardinality_ratio"] = _ratio(
                     got["distinct_count"], f"n - {got['null_count']}"
                 )
-        slots[t.key] = facts
-    wide = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
-    return wide.select(*by, _per_target(slots))
+        slots.append((t.key, facts))
+    return slots
 
 
-def parent_scan(df: DataFrame, targets: Sequence[Target], by: Sequence[str]) -> DataFrame:
-    """Row count, freshness, repeated and null keys of one parent table."""
-    aggs = {"n": F.count(F.lit(1)), "latest": _latest(df)}
-    slots = {}
+def _parent_slots(
+    df: DataFrame, targets: Sequence[Target], aggs: dict[str, Column]
+) -> list[tuple[str, dict[str, str]]]:
+    """Row count, freshness, repeated and null keys of a table that is a parent."""
+    slots = []
     for t in targets:
         facts = {"parent_row_count": "n", "parent_latest": "latest"}
         if t.parent_pk_column in df.columns:
@@ -157,7 +156,24 @@ def parent_scan(df: DataFrame, targets: Sequence[Target], by: Sequence[str]) ->
             aggs[f"null_{pk}"] = F.max(F.col(pk).isNull())
             facts["parent_pk_dupe_count"] = f"`extra_{pk}`"
             facts["parent_has_null"] = f"`null_{pk}`"
-        slots[t.key] = facts
+        slots.append((t.key, facts))
+    return slots
+
+
+def table_scan(
+    df: DataFrame,
+    blaming: Sequence[Target],
+    parents: Sequence[Target],
+    by: Sequence[str],
+    wanted: Sequence[str] = FACTS,
+) -> DataFrame:
+    """Everything the targets want to know about one table, in one aggregation.
+
+    `blaming` are the targets that blame the table, `parents` those that have it as parent;
+    a key that is asked for in both roles is counted once.
+    """
+    aggs = {"n": F.count(F.lit(1)), "latest": _latest(df)}
+    slots = [*_blame_slots(df, blaming, aggs, wanted), *_parent_slots(df, parents, aggs)]
     wide = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
     return wide.select(*by, _per_target(slots))
 
@@ -236,14 +252,11 @@ def assemble_evidence(
         df = spread(df)
         (parts if split(df) == list(by) else loose).append(df)
 
-    for name in dict.fromkeys(t.blame_model for t in targets):
-        if name in tables:
-            own = [t for t in targets if t.blame_model == name]
-            keep(blame_scan(tables[name], own, split(tables[name]), wanted))
-    for name in dict.fromkeys(t.parent_table for t in targets if t.parent_table):
+    for name in dict.fromkeys(n for t in targets for n in (t.blame_model, t.parent_table) if n):
         if name in tables:
-            own = [t for t in targets if t.parent_table == name]
-            keep(parent_scan(tables[name], own, split(tables[name])))
+            blaming = [t for t in targets if t.blame_model == name]
+            parents = [t for t in targets if t.parent_table == name]
+            keep(table_scan(tables[name], blaming, parents, split(tables[name]), wanted))
     for t in targets:
         if t.is_relationship and t.blame_model in tables and t.parent_table in tables:
             child, parent = tables[t.blame_model], tables[t.parent_table]
@@ -253,7 +266,7 @@ def assemble_evidence(
                 )
                 cols = split(found)
                 counted = found.groupBy(*cols).agg(F.sum("child_rows").alias("c"))
-                keep(counted.select(*cols, _per_target({t.key: {"orphan_rows": "c"}})))
+                keep(counted.select(*cols, _per_target([(t.key, {"orphan_rows": "c"})])))
 
     # A row without facts for every target, so that one that cannot be probed stays.
     keys = [F.lit(t.key) for t in targets]

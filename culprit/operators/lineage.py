@@ -192,10 +192,25 @@ def walk_lineage(
     )
 
 
+# Parts that the keys of one place are dealt into, and the places times parts that may be
+# copied for it.
+PLACE_PARTS, COPIED_PLACES = 1024, 1_000_000
+
+
 def carry_keys(keys: DataFrame, blamed: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys travel unchanged; past an aggregation they no longer name rows and drop out."""
-    kept = blamed.filter(~F.col("hit_agg_boundary")).select(*on)
-    return keys.join(kept, list(on), "left_semi")
+    """Keys travel unchanged; past an aggregation they no longer name rows and drop out.
+
+    A handful of places hold all keys, so keys are dealt by their own hash too and each part
+    meets a copy of the places.  Those are counted first: there are as many parts as leave
+    the copies few, and with very many places each has few keys and needs no parts.
+    """
+    kept = blamed.filter(~F.col("hit_agg_boundary")).select(*on).distinct()
+    parts = max(1, min(PLACE_PARTS, COPIED_PLACES // max(1, kept.count())))
+    if parts == 1:
+        return keys.join(kept, list(on), "left_semi")
+    copies = kept.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = keys.withColumn("_part", F.pmod(F.xxhash64("pk"), F.lit(parts)).cast("int"))
+    return dealt.join(copies, [*on, "_part"], "left_semi").drop("_part")
 
 
 def first_keys(rows: DataFrame, by: Sequence[str], limit: int) -> DataFrame:

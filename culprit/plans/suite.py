@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,11 +95,13 @@ class SuiteRun:
         return trials.join(seen, KEY)
 
 
-def project(spark: SparkSession) -> Project:
-    return Project(retail.TESTS, retail.edges(spark), retail.nodes(spark), retail.PK_MAP)
+def project(spark: SparkSession, plan: ModuleType = retail) -> Project:
+    return Project(plan.TESTS, plan.edges(spark), plan.nodes(spark), plan.PK_MAP)
 
 
-def affected(found: Sequence[Attribution], target: FaultTarget, family: str) -> list[Attribution]:
+def affected(
+    found: Sequence[Attribution], target: FaultTarget, family: str, staging: Sequence[str]
+) -> list[Attribution]:
     """Staging tests that the fault can break.
 
     A fault touches one column of one table, so only tests traced to that column, as
@@ -110,7 +113,7 @@ def affected(found: Sequence[Attribution], target: FaultTarget, family: str) ->
         spots = [(t.blame_model, t.blame_column)]
         if family != DUPES:
             spots.append((t.parent_table, t.parent_pk_column))
-        if a.test.model in retail.STAGING_NAMES and (target.table, target.column) in spots:
+        if a.test.model in staging and (target.table, target.column) in spots:
             hit.append(a)
     return hit
 
@@ -123,9 +126,10 @@ def run_family(
     family: str,
     trials: Sequence[Trial],
     created_at: Column,
+    models: ModuleType = retail,
 ) -> tuple[Triage, DataFrame, DataFrame]:
-    dataset, target = retail.DATASET, retail.TARGETS[family]
-    seen = affected(found, target, family)
+    dataset, target = models.DATASET, models.TARGETS[family]
+    seen = affected(found, target, family, models.STAGING_NAMES)
     fault = change(raw, target, trials, dataset)
     # Read by each fact of the family; what was chosen is a few times its table at most.
     signed = fault.change.persist()
@@ -133,7 +137,7 @@ def run_family(
     answer = triage(
         spark,
         raw,
-        retail.staging(raw),
+        models.staging(raw),
         plan,
         by=[KEY],
         groups=[t.key(dataset) for t in trials],
@@ -143,7 +147,7 @@ def run_family(
         one_per_group=True,
         created_at=created_at,
         wanted=[f for f in FACTS if f != "distinct_count"],  # no detector reads it
-        changes={**changed, **retail.staging(changed, [KEY, SIGN])},
+        changes={**changed, **models.staging(changed, [KEY, SIGN])},
         losing=[target.table] if fault.loses else [],
     )
     return answer, fault.truth, signed
@@ -157,17 +161,21 @@ def run_suite(
     families: Sequence[str] = (NULLS, DUPES, DROPOUT),
     at: Column | None = None,
     latency: Column | None = None,
+    models: ModuleType = retail,
 ) -> SuiteRun:
-    """All trials of a suite.  `latency` gives each prediction its clock reading."""
+    """All trials of a suite over the project in `models`, a module like `plans.retail`.
+
+    `latency` gives each prediction its clock reading.
+    """
     at = at if at is not None else F.current_timestamp()
     latency = latency if latency is not None else F.lit(0.0)
-    plan = project(spark)
-    found = attribute(spark, plan, [t for t in plan.tests if t.model in retail.STAGING_NAMES])
+    plan = project(spark, models)
+    found = attribute(spark, plan, [t for t in plan.tests if t.model in models.STAGING_NAMES])
     trials = trials_for(suite, families)
 
     def answer_family(family: str) -> tuple[Triage, DataFrame, DataFrame]:
         own = [t for t in trials if t.pattern.family == family]
-        return run_family(spark, raw, plan, found, family, own, at)
+        return run_family(spark, raw, plan, found, family, own, at, models)
 
     # Families share nothing; their short jobs (cuts, test results) overlap on the cluster.
     with ThreadPoolExecutor(max_workers=len(families)) as pool:
@@ -189,8 +197,8 @@ def run_suite(
     )
     failing = union([a.results.filter("status = 'fail'") for a in answers])
     return SuiteRun(
-        trial_frame(spark, trials, retail.DATASET),
-        ground_truths(spark, retail.TARGETS, trials, retail.DATASET, at),
+        trial_frame(spark, trials, models.DATASET),
+        ground_truths(spark, models.TARGETS, trials, models.DATASET, at),
         union(truth_rows),
         failing.select(KEY, "test_name", "failures"),
         classified,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from culprit.operators import deltas, faults
 from culprit.operators.datatests import DataTest, failing_keys, run_tests
 from culprit.operators.evidence import Target, assemble_evidence, from_facts
-from culprit.plans import retail
+from culprit.plans import retail, supply
 from culprit.plans.suite import run_suite
 
 BY, GROUPS = ["incident_key"], ["a", "b", "c", "d"]
@@ -168,3 +168,13 @@ def test_no_plan_of_the_suite_copies_its_source(spark, folder):
     run.release()
 
 
+
+
+def test_supply_faults_are_found_in_their_places(spark, folder):
+    """All places and rows; causes suffer where lines are named by an order that repeats."""
+    run = run_suite(spark, supply.sources(spark, folder), "smoke", at=F.lit("2026-01-01"), models=supply)
+    got = run.report().first()
+    assert (got.n_incidents, got.top1_table_acc, got.column_acc_given_table) == (18, 1.0, 1.0)
+    assert (got.row_recall, got.row_precision) == (1.0, 1.0)
+    assert dict(rows(run.per_class(), "class", "accuracy"))["duplicate_ingestion"] == 1.0
+    run.release()

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from culprit.operators import lineage
 from culprit.plans import retail
@@ -114,3 +115,23 @@ def test_verify_rows_and_key_column(spark):
         "model", lineage.key_column(F.col("model"), retail.PK_MAP).alias("pk")
     )
     assert rows(known) == [("orders", "order_id"), ("x", "id")]
+
+
+def test_keys_of_a_hot_place_are_dealt_over_tasks(spark):
+    """Six places, one of which holds nearly all keys: tasks get like numbers of them."""
+    keys = spark.range(20_000).select(
+        F.when(F.col("id") % 50 == 0, F.concat(F.lit("m"), F.col("id") % 6)).otherwise("hot").alias("model"),
+        F.col("id").cast("string").alias("pk"),
+    )
+    blamed = spark.sql("SELECT * FROM VALUES ('hot', false), ('m0', false), ('m2', true), ('m0', false) t(model, hit_agg_boundary)")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = lineage.carry_keys(keys, blamed, ["model"])
+        assert got.count() == keys.filter("model in ('hot', 'm0')").count()
+        sizes = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) <= 2 * sum(sizes) / len(sizes) and len(sizes) > 4
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
