@@ -1077,6 +1077,10 @@ ORACLES["classify_uncertain"] = with_ctes(
 AS is_uncertain FROM top""",
 )
 ORACLES["verdict"] = with_ctes(BOTH, SCORED, select="SELECT incident, verdict_type FROM verdicts")
+_STEPS = ", ".join(
+    repr(sum(0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)[:k])) + "e0"
+    for k in range(1, 9)
+)
 _ISOTONIC = """
 pairs AS (
   SELECT feed_id, round(top, 2) AS score, CAST(s_nationkey < 12 AS DOUBLE) AS y
@@ -1111,6 +1115,79 @@ ORACLES["calibration_apply"] = with_ctes(
 FROM pairs JOIN points USING (score) JOIN fitted USING (i)""",
 )
 
+ORACLES["calibration_heldout"] = with_ctes(
+    BOTH,
+    SCORED,
+    f"""
+judged AS (
+  SELECT round(top, 2) AS score, split_part(incident, '/', 1) || '/' || split_part(incident, '/', 2) AS owner,
+         CASE WHEN CAST('0x' || substr(md5(incident || '#label'), 1, 8) AS BIGINT) / 4294967296e0
+                   < round(top, 2) * round(top, 2) THEN 1e0 ELSE 0e0 END AS y
+  FROM top),
+parts AS (
+  SELECT *, CASE WHEN spot < 60 THEN 'fit' WHEN spot < 80 THEN 'tune' ELSE 'test' END AS part
+  FROM (SELECT *, CAST('0x' || substr(md5(owner), 1, 8) AS BIGINT) % 100 AS spot FROM judged)),
+points AS (
+  SELECT score, avg(y) AS label, CAST(count(*) AS DOUBLE) AS weight,
+         row_number() OVER (ORDER BY score) AS i
+  FROM parts WHERE part = 'fit' GROUP BY score),
+prior AS (SELECT avg(y) AS prior FROM parts WHERE part = 'fit'),
+tenths AS (
+  SELECT b, (coalesce(sum(y), 0e0) + any_value(prior)) / (count(y) + 1) AS share
+  FROM (SELECT unnest(range(10)) AS b) CROSS JOIN prior
+  LEFT JOIN (SELECT y, least(CAST(round(score * 1000) AS BIGINT) // 100, 9) AS tenth FROM parts
+             WHERE part = 'fit') ON tenth = b GROUP BY b),
+cumulated AS (
+  SELECT *, sum(label * weight) OVER (ORDER BY i) AS sy, sum(weight) OVER (ORDER BY i) AS sw
+  FROM points),
+spans AS (
+  SELECT a.i AS a, b.i AS b,
+         (b.sy - a.sy + a.label * a.weight) / (b.sw - a.sw + a.weight) AS mean
+  FROM cumulated a JOIN cumulated b ON a.i <= b.i),
+lowest AS (
+  SELECT p.i, a, min(mean) AS m FROM points p JOIN spans ON a <= p.i AND b >= p.i GROUP BY 1, 2),
+knots AS (SELECT any_value(score) AS x, max(m) AS y FROM lowest JOIN points USING (i) GROUP BY i),
+around AS (
+  SELECT score, max(x) FILTER (x <= score) AS below, min(x) FILTER (x >= score) AS above
+  FROM (SELECT DISTINCT score FROM parts), knots GROUP BY score),
+curve AS (
+  SELECT score, CASE WHEN lo.x IS NULL THEN hi.y WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.y
+                ELSE lo.y + (score - lo.x) / (hi.x - lo.x) * (hi.y - lo.y) END AS level
+  FROM around LEFT JOIN knots lo ON lo.x = below LEFT JOIN knots hi ON hi.x = above),
+said AS (
+  SELECT part, owner, y, 'raw' AS method, 0 AS slot, score AS p FROM parts
+  UNION ALL SELECT part, owner, y, 'prior', 1, prior FROM parts, prior
+  UNION ALL SELECT part, owner, y, 'bins', 2, share FROM parts
+    JOIN tenths ON b = least(CAST(round(score * 1000) AS BIGINT) // 100, 9)
+  UNION ALL SELECT part, owner, y, 'isotonic', 3, level FROM parts JOIN curve USING (score)),
+tuned AS (
+  SELECT method, any_value(slot) AS slot, count(*) AS n_tune, avg((p - y) * (p - y)) AS brier
+  FROM said WHERE part = 'tune' GROUP BY method),
+gaps AS (
+  SELECT method, owner, least(CAST(round(p * 1000) AS BIGINT) // 100, 9) AS b, sum(y - p) AS gap,
+         count(*) AS n
+  FROM said WHERE part = 'test' GROUP BY ALL),
+drawn AS (
+  SELECT *, CASE WHEN draw = 0 THEN 1 ELSE (
+      SELECT count(*) FROM (SELECT unnest([{_STEPS}]) AS step) WHERE u >= step) END AS times
+  FROM (SELECT *, CAST('0x' || substr(md5(owner || '#' || draw), 1, 8) AS BIGINT) / 4294967296e0 AS u
+        FROM gaps, (SELECT unnest(range(0, 201)) AS draw))),
+errors AS (
+  SELECT method, draw, sum(abs(gap)) / nullif(sum(n), 0) AS ece, sum(n) AS n
+  FROM (SELECT method, draw, b, sum(times * gap) AS gap, sum(times * n) AS n FROM drawn GROUP BY ALL)
+  GROUP BY ALL),
+tested AS (
+  SELECT method, CAST(max(n) FILTER (draw = 0) AS BIGINT) AS n_test, max(ece) FILTER (draw = 0) AS ece,
+         quantile_cont(ece, 0.025e0) FILTER (draw > 0) AS ece_low,
+         quantile_cont(ece, 0.975e0) FILTER (draw > 0) AS ece_high
+  FROM errors GROUP BY method)""",
+    select="""
+SELECT method, n_tune, round(brier, 6) AS brier,
+       row_number() OVER (ORDER BY brier, slot) = 1 AS chosen, n_test, round(ece, 6) AS ece,
+       round(ece_low, 6) AS ece_low, round(ece_high, 6) AS ece_high
+FROM tuned JOIN tested USING (method)""",
+)
+
 # --- incidents ----------------------------------------------------------------------------
 
 ORACLES["incidents"] = with_ctes(INCIDENTS, select=INCIDENT_SELECT)
@@ -1506,10 +1583,6 @@ FROM (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS
 ORACLES["blame_outside"] = with_ctes(
     INCIDENTS, select="SELECT count(*) AS n_incidents, count(*) AS n_outside FROM summed"
 )
-_STEPS = ", ".join(
-    repr(sum(0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)[:k])) + "e0"
-    for k in range(1, 9)
-)
 ORACLES["metric_interval"] = with_ctes(
     *_NOISY,
     f"""

@@ -783,6 +783,22 @@ def q_calibration_apply(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def q_calibration_heldout(spark: SparkSession, folder: str) -> DataFrame:
+    """Curves for both fleets' scores, chosen and scored on feeds and users they did not see.
+
+    The reviewer is a hash of the incident that agrees less often than the score says.
+    """
+    top = F.get("class_scores", F.lit(0))["score"]
+    scored = classify(fx.both_fleets(spark, folder)).select("incident", F.round(top, 2).alias("score"))
+    luck = F.conv(
+        F.substring(F.md5(F.concat(F.col("incident"), F.lit("#label"))), 1, 8), 16, 10
+    ).cast("double") / F.lit(2.0**32)
+    pairs = scored.withColumn("correct", luck < F.col("score") * F.col("score"))
+    owner = F.substring_index("incident", "/", 2)
+    return fx.rounded(calibration.held_out(pairs, owner))
+
+
 # --- incidents -------------------------------------------------------------------------
 
 

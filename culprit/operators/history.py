@@ -182,6 +182,19 @@ def hash_split(df: DataFrame, key: Column, shares: Mapping[str, int]) -> DataFra
     return df.withColumn("part", part)
 
 
+def poisson_times(key: Column, draw: Column) -> Column:
+    """How often a draw takes all rows of a key: Poisson of mean 1, decided by both hashed."""
+    u = F.conv(
+        F.substring(F.md5(F.concat(key.cast("string"), F.lit("#"), draw)), 1, 8), 16, 10
+    ).cast("double") / F.lit(2.0**32)
+    times, chance, term = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(1, 9):
+        chance += term
+        term /= k
+        times = times + (u >= chance).cast("int")
+    return times
+
+
 def bootstrap_interval(
     df: DataFrame, key: str, hit: Column, draws: int = 200, level: float = 0.95
 ) -> DataFrame:
@@ -191,17 +204,9 @@ def bootstrap_interval(
     and the number of the draw decide: draws need no second pass and reruns agree.  Sums
     by draw are combined before the shuffle.
     """
-    u = F.conv(
-        F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("#"), F.col("draw"))), 1, 8), 16, 10
-    ).cast("double") / F.lit(2.0**32)
-    times, chance, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        chance += term
-        term /= k
-        times = times + (u >= chance).cast("int")
     rows = df.select(
         key, hit.cast("double").alias("hit"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")
-    ).withColumn("times", times)
+    ).withColumn("times", poisson_times(F.col(key), F.col("draw")))
     means = rows.groupBy("draw").agg((F.sum(F.col("hit") * F.col("times")) / F.sum("times")).alias("mean"))
     tail = (1 - level) / 2
     ends = means.agg(

@@ -79,6 +79,26 @@ def test_calibration(spark):
     assert all(r.score == r.calibrated for r in same.collect())
 
 
+def test_held_out_calibration(spark):
+    """Scores that say 0.9 and are right in a quarter of cases; groups of three rows."""
+    pairs = spark.range(3000).select(
+        F.lit(0.9).alias("score"), (F.col("id") % 4 == 0).alias("correct"),
+        F.floor(F.col("id") / 3).alias("run"),
+    )
+    got = {r.method: r for r in calibration.held_out(pairs, F.col("run")).collect()}
+    assert list(got) == list(calibration.METHODS)
+    assert [m for m, r in got.items() if r.chosen] == [min(got, key=lambda m: got[m].brier)] != ["raw"]
+    assert got["raw"].ece == pytest.approx(0.65, abs=0.05) and got["isotonic"].ece < 0.05
+    for r in got.values():
+        assert r.ece_low <= r.ece_high and r.n_test % 3 == r.n_tune % 3 == 0
+    lost = pairs.unionByName(pairs.withColumn("score", F.lit(None).cast("double")))
+    assert {r.method: r for r in calibration.held_out(lost, F.col("run")).collect()} == got
+    nowhere = calibration.apply_calibration(lost.filter("score IS NULL"), calibration.fit_calibration(lost))
+    assert nowhere.filter("calibrated IS NOT NULL").isEmpty()
+    none = calibration.held_out(pairs.filter("false"), F.col("run")).collect()
+    assert len(none) == 4 and not any(r.chosen or r.brier is not None or r.ece is not None for r in none)
+
+
 def test_calibrated_triage_with_own_rules(spark, folder):
     raw, _ = fx.one_fault(spark, folder, "null_spike.heavy_30pct")
     plan = project(spark)
