@@ -1623,3 +1623,25 @@ SELECT failing_test_name, round(confidence, 6) AS confidence, round(CASE
       * ((SELECT y FROM knots WHERE x = above) - (SELECT y FROM knots WHERE x = below)) END, 6) AS calibrated
 FROM around""",
 )
+ORACLES["fact_stream"] = """
+WITH settled AS (
+  SELECT DISTINCT CASE WHEN substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 2) = '00' THEN -o_orderkey
+                  ELSE o_orderkey END AS k FROM orders),
+lines AS (
+  SELECT l_suppkey AS feed_id, l_orderkey * 10 + l_linenumber AS line_key, l_shipdate AS at_time,
+         CASE WHEN NOT (l_discount = 0 AND l_tax = 0) THEN l_orderkey END AS order_ref,
+         year(l_shipdate) % 3 AS turn
+  FROM lineitem),
+judged AS (SELECT lines.*, order_ref IS NOT NULL AND k IS NULL AS orphan
+           FROM lines LEFT JOIN settled ON order_ref = k),
+turns AS (SELECT feed_id, turn, count_if(orphan) AS n FROM judged GROUP BY ALL),
+stand AS (
+  SELECT feed_id, count(*) AS n_deliveries, arg_max(n, turn) AS now, sum(n) - arg_max(n, turn) AS earlier
+  FROM turns GROUP BY feed_id)
+SELECT feed_id, count(*) AS n_rows, count(*) - count(order_ref) AS n_null,
+       count_if(orphan) AS n_orphans, count(line_key) - count(DISTINCT line_key) AS n_repeated,
+       strftime(max(at_time), '%Y-%m-%d %H:%M:%S') AS latest, any_value(n_deliveries) AS n_deliveries,
+       any_value(CASE WHEN now + earlier = 0 THEN 'clean' WHEN now = 0 THEN 'resolved'
+                 WHEN earlier > 0 THEN 'repeated' ELSE 'open' END) AS status
+FROM judged JOIN stand USING (feed_id) GROUP BY feed_id
+"""

@@ -44,6 +44,7 @@ from culprit.schemas import EVIDENCE_DEFAULTS, EVIDENCE_FIELDS
 from culprit.session import scratch_path
 from culprit.sources import artifacts, jsonl, store
 from culprit.sources.tables import materialise, seed_csv
+from culprit.streaming.fact_stream import feed_facts, start_fact_stream
 from culprit.streaming.triage_stream import triage_stream, write_artifacts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1495,3 +1496,24 @@ def q_triage_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
     return stored.current().select("incident_id", "failing_test_name", "verdict_type")
 
+
+@query
+def q_fact_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts of all feeds after three deliveries of their lines, each read once."""
+    path = scratch_path(spark, "facts")
+    lines = fx.feed_lines(spark, folder)
+    for turn in range(3):
+        arrived = lines.filter(F.year("ship_ts") % 3 == turn)
+        arrived.write.mode("append").parquet(f"{path}/arrivals")
+        start_fact_stream(
+            spark.readStream.schema(lines.schema).parquet(f"{path}/arrivals"),
+            path,
+            by=["feed_id"],
+            key="line_key",
+            reference="order_ref",
+            parent=fx.settled_orders(spark, folder),
+            parent_key="o_orderkey",
+            moment="ship_ts",
+        ).awaitTermination()
+    found = feed_facts(spark, path, ["feed_id"])
+    return found.withColumn("latest", F.date_format("latest", "yyyy-MM-dd HH:mm:ss"))
