@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from culprit.llm.shared import BROADCAST_ROWS, settled
 
-# A line is boilerplate where more than this part of the site's pages hold it ...
+# A line is boilerplate where more than this part of the site's pages hold it.
 RATIO = 0.05
-# ... and at least so many pages do: one page says nothing about its site.
-LEAST_PAGES = 3
 
 SPACES = " \t\n\u000b\f\r"
 
@@ -43,8 +41,8 @@ def told_lines(body: Column) -> Column:
     )
 
 
-def line_counts(pages: DataFrame) -> DataFrame:
-    """(site, digest, pages, site_pages) for each line of each site.
+def line_counts(pages: DataFrame, least_pages: int = 1) -> DataFrame:
+    """(site, digest, pages, site_pages) for each line that `least_pages` of a site hold.
 
     `pages` has site and body.  A line counts once per page.  Sums are taken before the
     shuffle, so neither a site nor a line that has most rows meets in one task.
@@ -57,20 +55,27 @@ def line_counts(pages: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("pages"))
     )
     totals = settled(pages.groupBy("site").agg(F.count("*").alias("site_pages")))
-    held = counted.where(F.col("pages") >= LEAST_PAGES)
+    held = counted.where(F.col("pages") >= least_pages)
     return held.join(totals, held["site"].eqNullSafe(totals["site"])).select(
         held["site"], "digest", "pages", "site_pages"
     )
 
 
 def line_dedup(
-    df: DataFrame, site: Column, text: Column, into: str = "text", ratio: float = RATIO
+    df: DataFrame,
+    site: Column,
+    text: Column,
+    into: str = "text",
+    ratio: float = RATIO,
+    least_pages: int = 1,
 ) -> DataFrame:
     """The rows of `df` with `into` (the text without boilerplate), n_lines, n_dropped.
 
     Lines are the \\n-separated parts that hold more than white space, compared without
     white space at their ends.  A line is dropped from all pages of a site when more than
-    `ratio` of the site's pages, and three at least, hold it.  Rows are pages, repeated
+    `ratio` of the site's pages hold it, whatever the size of the site: one of fewer than
+    1 / `ratio` pages has no other lines and keeps none.  `least_pages` spares lines that
+    fewer pages hold, for those who have such sites and want them.  Rows are pages, repeated
     ones too.  What stays, blank lines included, keeps its order.
 
     A site has at most (lines per page / ratio) such lines, however large it is, so they
@@ -80,7 +85,7 @@ def line_dedup(
     """
     pages = df.select(site.alias("site"), text.alias("body"))
     common = settled(
-        line_counts(pages)
+        line_counts(pages, least_pages)
         .where(F.col("pages") > F.lit(float(ratio)) * F.col("site_pages"))
         .select(F.coalesce(F.concat(F.lit("s"), F.col("site")), F.lit("")).alias("_site"), "digest")
     )

@@ -167,13 +167,14 @@ counted AS (
 totals AS (SELECT host, count(*) AS n_pages FROM bodies GROUP BY host),
 common AS (
     SELECT c.host, c.bare, true AS gone FROM counted c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host
-    WHERE n >= 3 AND n > 0.05::DOUBLE * n_pages),
+    WHERE n > 0.05::DOUBLE * n_pages),
 marked AS (
     SELECT t.*, coalesce(c.gone, false) AS gone
     FROM trimmed t LEFT JOIN common c ON t.host IS NOT DISTINCT FROM c.host AND t.bare = c.bare)
 SELECT page_id, host, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text,
     CAST(count(*) FILTER (bare <> '') AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped
 FROM marked GROUP BY page_id, host
+UNION ALL SELECT page_id, host, NULL, 0, 0 FROM bodies WHERE body IS NULL
 """
 
 OP7 = rf"""

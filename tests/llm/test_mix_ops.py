@@ -137,7 +137,7 @@ def test_size_and_crc(spark):
     assert collected(got) == sorted(want, key=repr)
 
 
-def plain_lines(rows, ratio, least=3):
+def plain_lines(rows, ratio, least=1):
     trim = " \t\n\v\f\r"
     pages, held = Counter(), Counter()
     for site, text in rows:
@@ -164,9 +164,22 @@ def test_line_dedup_against_plain(spark):
     rows += [("x.org", None), ("x.org", ""), ("z.org", "menu\nmenu"), ("z.org", "menu"), ("q.org", "\n\n")] * 2
     rows.append(("long.org", "\n".join(f"line {i}" for i in range(20_000))))
     df = clashing(spark.createDataFrame(rows, "source string, text string").repartition(4))
-    for ratio in (0.02, 0.3, 0.9):
-        got = lines.line_dedup(df, F.col("source"), F.col("text"), ratio=ratio)
-        assert collected(got.select("source", "text", "n_lines", "n_dropped")) == plain_lines(rows, ratio)
+    for ratio, least in ((0.02, 1), (0.3, 1), (0.9, 1), (0.02, 3), (0.3, 50)):
+        got = lines.line_dedup(df, F.col("source"), F.col("text"), ratio=ratio, least_pages=least)
+        assert collected(got.select("source", "text", "n_lines", "n_dropped")) == plain_lines(rows, ratio, least)
+
+
+def test_small_sites_follow_the_ratio(spark):
+    """A page of its own holds each of its lines; two pages share some."""
+    rows = [("one", "a\nb"), ("two", "a\nc"), ("two", "a\nd")]
+    df = spark.createDataFrame(rows, "source string, text string")
+
+    def texts(**how):
+        return {r.text for r in lines.line_dedup(df, F.col("source"), F.col("text"), **how).collect()}
+
+    assert texts() == {""}
+    assert texts(ratio=0.5) == {"", "c", "d"}
+    assert texts(least_pages=3) == {"a\nb", "a\nc", "a\nd"}
 
 
 def test_line_dedup_without_broadcast(spark, monkeypatch):
