@@ -24,6 +24,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 # A line that more than this part of a source's documents hold is boilerplate.
 LINE_RATIO = 0.05
+# A source of few documents keeps the lines that fewer of them hold.
+LEAST_DOCS = 3
 
 # Near copies share 0.8 or more of their 5-word grams.  op1's own query keeps its 4 and 85.
 COPY_WIDTH, COPY_ALIKE = 5, 80
@@ -44,7 +46,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which nothing is left goes.
     """
-    cut = line_dedup(docs, F.col("source"), F.col("text"), ratio=LINE_RATIO)
+    cut = line_dedup(docs, F.col("source"), F.col("text"), ratio=LINE_RATIO, least_pages=LEAST_DOCS)
     cut = cut.where((F.col("n_dropped") == 0) | (word_count(F.col("text")) > 0))
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", changed).select(*COLUMNS)
