@@ -4,7 +4,8 @@ A trial is a set of signed rows, those it takes from its source and those it add
 are told apart by `incident_key`.  `inject` makes whole faulted tables of them, a copy of the
 source per trial, for the few trials that one wants to look at.  A sample of n keys is never sorted or
 limited as a whole.  Instead the n-th key in sampling order is found (a histogram over
-hash buckets, then a rank inside the one bucket that holds it).  That leaves one value
+hash buckets, cut finer until the bucket that holds it is short, then a rank inside it).
+That leaves one value
 per trial, which is all that comes to the driver; from then on being chosen is a
 comparison inside the row, and a faulted table is a plain projection of its source.
 """
@@ -12,7 +13,7 @@ comparison inside the row, and a faulted table is a plain projection of its sour
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from culprit.functions.dtypes import is_numeric
 from culprit.functions.keys import incident_key, sample_hash, text_key
-from culprit.schemas import FLAG, REAL, TEXT, record
+from culprit.schemas import FLAG, REAL, TEXT, WHOLE, record
 from culprit.sources.constants import constant_frame
 
 NULLS, DUPES, DROPOUT = "null_spike", "duplicate_ingestion", "broken_join_dropout"
@@ -60,7 +61,10 @@ CAUSE_OF_FAMILY = {
 # -------------------------------------------------------------------------------------
 
 TAIL_DRAW = "tail"
-BUCKET_DIGITS = 4  # 65,536 hash buckets: the rank step sees a 65,536th of the keys
+BUCKET_DIGITS = 4  # 65,536 hash buckets at first, as many of each that is cut again
+HASH_DIGITS = 32
+TAIL_STEPS = 1000  # stretches of a tail's bucket that is cut again
+RANK_ROWS = 1_000_000  # a bucket of more rows is cut again before its keys are ranked
 
 
 @dataclass(frozen=True)
@@ -146,50 +150,103 @@ def per_trial(
     return spread.select("*", "_t.*").drop("_t")
 
 
+def _upto(sizes: DataFrame, by: str) -> DataFrame:
+    """`reached`: how many rows there are up to each bucket."""
+    upto = Window.partitionBy(by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    return sizes.withColumn("reached", F.sum("n").over(upto))
+
+
+def _reaching(sizes: DataFrame, wanted: str) -> DataFrame:
+    """The bucket in which the wanted number is reached; `still`: how many of it are wanted."""
+    before = F.col("reached") - F.col("n")
+    hit = sizes.filter((F.col("reached") >= F.col(wanted)) & (before < F.col(wanted)))
+    return hit.withColumn("still", F.col(wanted) - before)
+
+
 def nth_keys(
-    candidates: DataFrame, order: Column, bucket: Column, wanted: DataFrame
+    candidates: DataFrame,
+    order: Column,
+    bucket: Column,
+    wanted: DataFrame,
+    finer: Callable[[DataFrame, int], Column],
 ) -> DataFrame:
     """Per trial the last chosen key: the n-th in `order`, n = max(1, floor(rows*fraction)).
 
     Trials that draw from the same order share a `draw`, so keys are hashed and counted
     once for all of them; `wanted` says which (draw, incident_key, fraction) to answer.
-    `bucket` must grow with `order`.  Only the bucket that holds the n-th key is ranked,
-    on keys counted beforehand, so neither many rows nor one hot key reach one task.
+    `bucket` must grow with `order`.  While a trial's bucket has more than RANK_ROWS rows,
+    `finer` (rows of the buckets, round) cuts it again, by a column that grows with `key`; a
+    bucket that does not get smaller holds copies of few keys.  Then its keys are counted
+    and ranked, so neither many rows nor one hot key reach one task.  A round is one pass
+    over the candidates and brings one row per trial to the driver.
     Returns incident_key, n_chosen and cut (one row per trial).
     """
+    spark = candidates.sparkSession
     ranked = candidates.select("draw", order.alias("key"), bucket.alias("bucket"))
-    by_draw = Window.partitionBy("draw")
-    upto = by_draw.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sizes = ranked.groupBy("draw", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumns(
-        {"reached": F.sum("n").over(upto), "total": F.sum("n").over(by_draw)}
-    )
+    sizes = _upto(sizes, "draw").withColumn("total", F.sum("n").over(Window.partitionBy("draw")))
     # `wanted` has one row per trial, and exactly one bucket per trial reaches its n:
     # both broadcast sides are as long as the trial list.
-    met = sizes.join(F.broadcast(wanted), "draw").withColumn(
-        "n_chosen", F.greatest(F.lit(1), F.floor(F.col("total") * F.col("fraction")))
-    )
-    before = F.col("reached") - F.col("n")
-    cut_bucket = met.filter(
-        (F.col("reached") >= F.col("n_chosen")) & (before < F.col("n_chosen"))
-    ).select(
-        "draw", "bucket", "incident_key", "n_chosen", (F.col("n_chosen") - before).alias("still")
+    share = F.greatest(F.lit(1), F.floor(F.col("total") * F.col("fraction")))
+    met = sizes.join(F.broadcast(wanted), "draw").withColumn("n_chosen", share)
+    spots = _reaching(met, "n_chosen").select("draw", "incident_key", "n_chosen", "still", "n", "bucket").collect()
+    fields = record(
+        draw=TEXT, incident_key=TEXT, n_chosen=WHOLE, still=WHOLE, n=WHOLE,
+        bucket=ranked.schema["bucket"].dataType,
     )
-    inside = (
-        ranked.join(F.broadcast(cut_bucket), ["draw", "bucket"])
-        .groupBy("incident_key", "n_chosen", "still", "key")
-        .agg(F.count(F.lit(1)).alias("m"))
+    inside = ranked.join(
+        F.broadcast(constant_frame(spark, spots, fields).drop("n")), ["draw", "bucket"]
+    ).drop("draw", "bucket")
+
+    left = {s["incident_key"]: s["n"] for s in spots}
+    turn = 0
+    while any(n > RANK_ROWS for n in left.values()):
+        turn += 1
+        cut = inside.withColumn("bucket", finer(inside, turn))
+        sizes = cut.groupBy("incident_key", "n_chosen", "still", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        sizes = _upto(sizes.withColumnRenamed("still", "asked"), "incident_key")
+        spots = _reaching(sizes, "asked").select("incident_key", "still", "n", "bucket").collect()
+        fields = record(incident_key=TEXT, still=WHOLE, n=WHOLE, bucket=cut.schema["bucket"].dataType)
+        inside = cut.drop("still").join(
+            F.broadcast(constant_frame(spark, spots, fields).drop("n")), ["incident_key", "bucket"]
+        ).drop("bucket")
+        now = {s["incident_key"]: s["n"] for s in spots}
+        same, left = now == left, now
+        if same:
+            break
+
+    counted = inside.groupBy("incident_key", "n_chosen", "still", "key").agg(
+        F.count(F.lit(1)).alias("m")
     )
     upto_key = (
         Window.partitionBy("incident_key")
         .orderBy("key")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    inside = inside.withColumn("reached", F.sum("m").over(upto_key))
-    enough = inside.filter(F.col("reached") >= F.col("still"))
+    counted = counted.withColumn("reached", F.sum("m").over(upto_key))
+    enough = counted.filter(F.col("reached") >= F.col("still"))
     return enough.groupBy("incident_key", "n_chosen").agg(F.min("key").alias("cut"))
 
 
+def _finer_hash(rows: DataFrame, turn: int) -> Column:
+    """More digits of the hash."""
+    return F.substring(F.col("key")["h"], 1, min(HASH_DIGITS, BUCKET_DIGITS * (turn + 1)))
+
+
+def _finer_tail(rows: DataFrame, turn: int) -> Column:
+    """Stretches of about the same number of rows within each trial's bucket."""
+    points = F.array(*[F.lit(i / TAIL_STEPS) for i in range(TAIL_STEPS + 1)])
+    edges = rows.groupBy("incident_key").agg(
+        F.percentile_approx("key", points, F.lit(10_000)).alias("edges")
+    )
+    found = F.lit(None).cast("int")
+    # One row per tail pattern.
+    for r in edges.collect():
+        below = F.filter(F.lit(sorted(set(r["edges"]))), lambda e: e < F.col("key"))
+        found = F.when(F.col("incident_key") == r["incident_key"], F.size(below)).otherwise(found)
+    return found
+
+
 def _draw_name(seed: int, conditional: bool) -> str:
     return f"{seed}/{'some' if conditional else 'all'}"
 
@@ -250,7 +307,7 @@ def find_cuts(
         spread = spread.select("*", "_d.*").filter(~F.col("conditional") | F.col("_eligible"))
         order = _hash_order(pk)
         bucket = F.substring(order["h"], 1, BUCKET_DIGITS)
-        found = nth_keys(spread, order, bucket, _wanted(spark, sampled, dataset))
+        found = nth_keys(spread, order, bucket, _wanted(spark, sampled, dataset), _finer_hash)
         answers.append(found.select("incident_key", "n_chosen", "cut.h", "cut.k"))
     if tails:
         if not is_numeric(candidates.schema[pk].dataType):
@@ -261,7 +318,9 @@ def find_cuts(
         # A tail does not depend on the seed: one trial per pattern answers for all.
         firsts = [next(t for t in tails if t.pattern == p) for p in {t.pattern for t in tails}]
         spread = marked.withColumn("draw", F.lit(TAIL_DRAW))
-        found = nth_keys(spread, -F.col(pk), F.col("_b"), _wanted(spark, firsts, dataset))
+        found = nth_keys(
+            spread, -F.col(pk), F.col("_b"), _wanted(spark, firsts, dataset), _finer_tail
+        )
         no_hash = F.lit(None).cast("string").alias("h")
         answers.append(found.select("incident_key", "n_chosen", no_hash, (-F.col("cut")).alias("k")))
     rows = reduce(DataFrame.unionByName, answers).collect()
