@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culprit.llm.line_dedup import line_dedup
-from culprit.llm.mixing import drawn_rows, mix, prose_weight
+from culprit.llm.mixing import drawn_rows, mix
 from culprit.llm.ngram_join import ngram_join
 from culprit.llm.piece_codec import encode_pieces
 from culprit.llm.quality import fit_quality, quality_rules
-from culprit.llm.shared import settled, shared_dir, word_count
+from culprit.llm.shared import settled, shared_dir, stored, word_count
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -77,9 +77,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    mixed = mix(docs, prose_weight(F.col("text")), word_count(F.col("text")))
-    return drawn_rows(mixed).select(*COLUMNS)
+    """Documents as often as the mix of sources takes them, those of a high score before others.
+
+    The score is that of the quality stage's trees for the text as it is now.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
+    others = tuple(c for c in COLUMNS if c != "doc_id")
+    # Written, as the mix reads its rows more than once and scores come from Python.
+    scored = stored(quality_rules(docs, model, carry=others).select(*COLUMNS, "n_words", "score"), "scored")
+    return drawn_rows(mix(scored, F.col("score"), F.col("n_words"))).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
