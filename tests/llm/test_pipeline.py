@@ -1,6 +1,7 @@
 """The pipeline's stages, each on its own input, against plain versions."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline as pipeline
 import pytest
@@ -158,6 +159,25 @@ def test_mixture_stage(kept):
     assert max(sum(g == r for g in got) for r in rows) <= 2
 
 
+def test_mixture_stage_takes_better_scored_rows(spark, tmp_path):
+    """What a source is taken beyond a whole epoch is of the kind that scores higher."""
+    draw = random.Random(4)
+    rows, labels = [], []
+    for i in range(400):
+        text = " ".join(f"{draw.choice('abcdefgh')}{draw.randrange(9000)}" for _ in range(80))
+        text = text.replace(" ", " # ") if i % 2 else text
+        rows += [(i + at, text, "en", source, len(text)) for at, source in ((0, "s0"), (1000, "s1"), (2000, "s0"))]
+        labels.append((i, 1 - i % 2, 0))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = [r for r in pipeline.mixture(spark, docs, str(tmp_path)).collect() if r.source == "s1"]
+    taken = Counter(r.doc_id for r in got)
+    assert set(taken.values()) == {1, 2} and len(taken) == 400  # one epoch and a part of a second
+    good, bad = (sum(n == 2 and k % 2 == odd for k, n in taken.items()) for odd in (0, 1))
+    assert good > 3 * bad
+
+
 def test_piece_stage_and_run(spark, kept, folder_of):
     rows = [tuple(r) for r in kept[4].collect()]
     assert collected(kept[5].select("doc_id", "ids", "decoded")) == plain_pieces(rows)
