@@ -25,6 +25,9 @@ DEFAULT_KEY = "id"
 # -----------------------------------------------------------------------------------
 
 
+# Hops that one job follows, and the hops and places up to which a walk is pruned first.
+HOPS_AT_ONCE, PRUNED_HOPS, PRUNED_PLACES = 4, 32, 100_000
+
 WALK_STEP_ARRAY = f"array<{WALK_STEP.simpleString()}>"
 
 
@@ -103,6 +106,45 @@ def _rounds(step: DataFrame) -> int:
             return rounds
 
 
+def _on_the_way(asked: DataFrame, step: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`asked`, and the steps that walks from there can take.
+
+    The asked places and those reached come to the driver as metadata, PRUNED_PLACES at
+    most, so that neither is computed again.  With more of them, or beyond PRUNED_HOPS, all
+    steps are given back, which lead to the same walks.
+    """
+    spark = asked.sparkSession
+    places = asked.limit(PRUNED_PLACES + 1).collect()
+    if len(places) > PRUNED_PLACES:
+        return asked, step
+    asked = constant_frame(spark, [tuple(p) for p in places], asked.schema)
+    at, up = ["at_model", "at_column"], [F.col("upstream_model"), F.col("upstream_column")]
+    here = asked.toDF(*at)
+    found: dict[tuple, tuple] = {}
+    held = step.persist()
+    for _ in range(PRUNED_HOPS // HOPS_AT_ONCE):
+        taken = None
+        for hop in range(HOPS_AT_ONCE):
+            out = here.join(held, at).select(*step.columns, F.lit(hop).alias("hop"))
+            taken = out if taken is None else taken.unionByName(out)
+            here = out.select(*up).distinct().toDF(*at)
+        ends = set()
+        new = taken.limit(HOPS_AT_ONCE * PRUNED_PLACES + 1).collect()
+        for *row, hop in new:
+            found[tuple(row[:2])] = tuple(row)
+            if hop == HOPS_AT_ONCE - 1:
+                ends.add(tuple(row[2:4]))
+        if len(found) > PRUNED_PLACES or len(new) > HOPS_AT_ONCE * PRUNED_PLACES:
+            break
+        ends -= found.keys()
+        if not ends:
+            step = constant_frame(spark, list(found.values()), step.schema)
+            break
+        here = constant_frame(spark, sorted(ends), asked.schema).toDF(*at)
+    held.unpersist()
+    return asked, step
+
+
 def _until_seen_again(moves: Column) -> Column:
     """The moves of a path up to the one that would enter a place a second time."""
 
@@ -127,8 +169,9 @@ def walk_lineage(
     """Follow each distinct (model, column) upstream until nothing leads further.
 
     Paths double: each round joins the paths so far with those that begin where they end,
-    so a walk of any length takes as many rounds as its length has binary digits.  A walk
-    that would enter a column twice stops there.
+    so a walk of any length takes as many rounds as its length has binary digits.  Paths
+    are made of the steps that the starts lead to, not of the project's other columns.  A
+    walk that would enter a column twice stops there.
     """
     step = hops(edges, nodes).select(
         F.col("downstream_model").alias("at_model"),
@@ -138,7 +181,9 @@ def walk_lineage(
         "transform_type",
         "crossed_agg",
     )
-    asked = starts.select("model", F.coalesce("column", F.lit("")).alias("column")).distinct()
+    asked, step = _on_the_way(
+        starts.select("model", F.coalesce("column", F.lit("")).alias("column")).distinct(), step
+    )
     edge = F.struct(
         F.col("at_model").alias("downstream_model"),
         F.col("at_column").alias("downstream_column"),

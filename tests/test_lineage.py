@@ -89,6 +89,27 @@ def test_cycles_and_long_chains(spark):
     assert got[("s", "c")].hops == 0
 
 
+def test_walks_use_only_the_steps_their_starts_lead_to(spark, monkeypatch):
+    """The same walks from few starts, from more than are pruned, and beyond the pruned hops."""
+    lines = [(f"p{k}m{i}", "c", f"p{k}m{i + 1}", "c", i == 3, False, False) for k in range(5) for i in range(11)]
+    ring = [("r0", "c", "r1", "c", False, False, False), ("r1", "c", "r0", "c", False, False, False)]
+    edges = lineage.edge_frame(spark, lines + ring)
+    starts = [("p0m0", "c"), ("p0m4", "c"), ("p3m9", "c"), ("r0", "c"), ("gone", None), ("p4m11", "c")]
+    used = []
+    inner = lineage._on_the_way
+    monkeypatch.setattr(lineage, "_on_the_way", lambda *a: used.append(inner(*a)) or used[-1])
+    want = walk(spark, starts, edges)
+    assert used[-1][1].count() == 11 + 2 + 2
+    assert (want[("p0m0", "c")].hops, want[("p0m4", "c")].hit_agg_boundary) == (11, False)
+    assert want[("r0", "c")].hops == 1 and want[("gone", "")].hops == 0
+    for name, least in (("PRUNED_PLACES", 3), ("PRUNED_PLACES", 8), ("PRUNED_HOPS", 4)):
+        with monkeypatch.context() as less:
+            less.setattr(lineage, name, least)
+            assert walk(spark, starts, edges) == want
+            assert used[-1][1].count() == len(lines + ring)
+    assert walk(spark, [], edges) == {}
+
+
 def test_first_keys_order(spark):
     keys = spark.sql("SELECT * FROM VALUES ('g','10'),('g','9'),('g','100'),('g','2') t(g, pk)")
     got = lineage.first_keys(keys, ["g"], 3).orderBy("position").collect()
