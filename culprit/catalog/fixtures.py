@@ -79,11 +79,16 @@ def line_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def line_evidence(
     spark: SparkSession, folder: str, feeds: DataFrame | None = None
 ) -> DataFrame:
-    """Evidence by feed, of all feeds or of those in `feeds`."""
+    """Evidence by feed, of all feeds or of those in `feeds`.
+
+    That of all feeds, a row each, is kept: most queries read it several times, and each
+    time would be a pass over all lines.
+    """
     tables = line_tables(spark, folder)
     if feeds is not None:
         tables["feed_lines"] = tables["feed_lines"].join(feeds, "feed_id", "left_semi")
-    return assemble_evidence([LINE_TARGET], tables, by=["feed_id"], observed_at=OBSERVED_AT)
+    found = assemble_evidence([LINE_TARGET], tables, by=["feed_id"], observed_at=OBSERVED_AT)
+    return found.persist() if feeds is None else found
 
 
 def line_edges(spark: SparkSession) -> DataFrame:

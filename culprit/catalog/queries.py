@@ -1479,7 +1479,10 @@ def q_triage_stream(spark: SparkSession, folder: str) -> DataFrame:
     def respond(failing: DataFrame) -> DataFrame:
         """Evidence for the feeds of this batch only."""
         feeds = failing.select(F.expr("substring(run_id, 5)").cast("bigint").alias("feed_id"))
-        evidence = fx.line_classified(spark, folder, feeds.distinct()).withColumn(
+        # Kept and counted, so that Spark knows their size when it plans the reads of the lines.
+        feeds = feeds.distinct().persist()
+        feeds.count()
+        evidence = fx.line_classified(spark, folder, feeds).withColumn(
             "run_id", F.concat(F.lit("run_"), F.col("feed_id").cast("string"))
         )
         met = failing.select("run_id", "test_name").join(evidence, ["run_id", "test_name"])

@@ -47,9 +47,14 @@ def fit_calibration(pairs: DataFrame) -> IsotonicRegressionModel | None:
 
 
 def _fit_groups(groups: DataFrame) -> IsotonicRegressionModel | None:
-    if groups.isEmpty():
+    """The groups come to the driver, 1001 rows at most, so what they come from runs once."""
+    told = groups.select("score", "label", "weight").collect()
+    if not told:
         return None
-    features = VectorAssembler(inputCols=["score"], outputCol="features").transform(groups)
+    frame = constant_frame(
+        groups.sparkSession, [tuple(g) for g in told], record(score=REAL, label=REAL, weight=REAL)
+    )
+    features = VectorAssembler(inputCols=["score"], outputCol="features").transform(frame)
     return IsotonicRegression(
         featuresCol="features", labelCol="label", weightCol="weight", isotonic=True
     ).fit(features)

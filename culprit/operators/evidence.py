@@ -1,9 +1,9 @@
 """Evidence: one wide row per (group, incident) from a few fused scans.
 
 All incidents that blame the same table, or have it as a parent, share one aggregation
-over it, whatever their number; a relationship adds one anti join on distinct keys.  The partial
-results are unioned and folded with a single groupBy, so the number of shuffles does
-not grow with the number of facts.
+over it, whatever their number, and one count of rows by value for each column of which
+distinct values are asked; a relationship adds one anti join on distinct keys.  The partial
+results are unioned and folded with a single groupBy.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culprit.functions.dtypes import first_temporal, norm_dtype
-from culprit.operators.probes import FACTS, column_facts, lag_seconds, orphan_keys
+from culprit.operators.probes import FACTS, column_facts, key_rows, lag_seconds, orphan_keys
 from culprit.schemas import (
     EVIDENCE_DEFAULTS,
     EVIDENCE_FIELDS,
@@ -69,11 +69,6 @@ def _latest(df: DataFrame) -> Column:
     return (F.max(ts) if ts else F.lit(None)).cast("timestamp_ntz")
 
 
-def _extra_rows(df: DataFrame, pk: str) -> Column:
-    """Rows beyond the first of each key; a null key is a key like any other."""
-    return F.count(F.lit(1)) - F.count_distinct(F.struct(pk))
-
-
 # The facts a partial result may bring, with the type they are folded in.
 PARTIALS = {
     "blame_row_count": "bigint",
@@ -116,18 +111,16 @@ def _ratio(part: str, whole: str) -> str:
 def _blame_slots(
     df: DataFrame, targets: Sequence[Target], aggs: dict[str, Column], wanted: Sequence[str]
 ) -> list[tuple[str, dict[str, str]]]:
-    """What the targets want to know about a table that they blame."""
+    """What the targets want to know about a table that they blame, but for distinct values."""
     slots = []
     for t in targets:
         facts = {"blame_row_count": "n", "blame_latest": "latest"}
-        if t.blame_pk_column in df.columns:
-            aggs[f"extra_{t.blame_pk_column}"] = _extra_rows(df, t.blame_pk_column)
-            facts["blame_pk_dupe_count"] = f"`extra_{t.blame_pk_column}`"
         if t.blame_column in df.columns:
             got = {}
             for fact, agg in column_facts(df, t.blame_column, wanted).items():
-                aggs[f"{fact}_{t.blame_column}"] = agg
-                got[fact] = f"`{fact}_{t.blame_column}`"
+                if fact != "distinct_count":
+                    aggs[f"{fact}_{t.blame_column}"] = agg
+                    got[fact] = f"`{fact}_{t.blame_column}`"
             facts |= {
                 "blame_null_rate": _ratio(got["null_count"], "n"),
                 "blame_integer_compatible_ratio": got["int_ratio"],
@@ -135,10 +128,9 @@ def _blame_slots(
                 "blame_mean": got["mean"],
                 "blame_anomaly_score": f"abs({got['skew']})",
             }
-            if "distinct_count" in got:
-                facts["blame_cardinality_ratio"] = _ratio(
-                    got["distinct_count"], f"n - {got['null_count']}"
-                )
+            if "distinct_count" in wanted:
+                # Where there are values, their own count says it.
+                facts["blame_cardinality_ratio"] = f"IF(n > {got['null_count']}, NULL, 0D)"
         slots.append((t.key, facts))
     return slots
 
@@ -146,20 +138,40 @@ def _blame_slots(
 def _parent_slots(
     df: DataFrame, targets: Sequence[Target], aggs: dict[str, Column]
 ) -> list[tuple[str, dict[str, str]]]:
-    """Row count, freshness, repeated and null keys of a table that is a parent."""
+    """Row count, freshness and null keys of a table that is a parent."""
     slots = []
     for t in targets:
         facts = {"parent_row_count": "n", "parent_latest": "latest"}
         if t.parent_pk_column in df.columns:
             pk = t.parent_pk_column
-            aggs[f"extra_{pk}"] = _extra_rows(df, pk)
             aggs[f"null_{pk}"] = F.max(F.col(pk).isNull())
-            facts["parent_pk_dupe_count"] = f"`extra_{pk}`"
             facts["parent_has_null"] = f"`null_{pk}`"
         slots.append((t.key, facts))
     return slots
 
 
+def _distinct_slots(
+    df: DataFrame, blaming: Sequence[Target], parents: Sequence[Target], wanted: Sequence[str]
+) -> dict[tuple[str, bool], list[tuple[str, dict[str, str]]]]:
+    """By (column, nulls included): what the counts of its values tell.
+
+    A column that is both key and blamed is counted once; one that is only blamed without
+    nulls, as `orphan_keys` counts it, so that Spark shuffles its values once for both.
+    """
+    slots: dict[tuple[str, bool], list[tuple[str, dict[str, str]]]] = {}
+    keys = {t.blame_pk_column for t in blaming} | {t.parent_pk_column for t in parents}
+    for t in blaming:
+        if t.blame_pk_column in df.columns:
+            slots.setdefault((t.blame_pk_column, True), []).append((t.key, {"blame_pk_dupe_count": "extra"}))
+        if t.blame_column in df.columns and "distinct_count" in wanted:
+            spot = (t.blame_column, t.blame_column in keys)
+            slots.setdefault(spot, []).append((t.key, {"blame_cardinality_ratio": "distinct_values / filled"}))
+    for t in parents:
+        if t.parent_pk_column in df.columns:
+            slots.setdefault((t.parent_pk_column, True), []).append((t.key, {"parent_pk_dupe_count": "extra"}))
+    return slots
+
+
 def table_scan(
     df: DataFrame,
     blaming: Sequence[Target],
@@ -167,15 +179,27 @@ def table_scan(
     by: Sequence[str],
     wanted: Sequence[str] = FACTS,
 ) -> DataFrame:
-    """Everything the targets want to know about one table, in one aggregation.
+    """Everything the targets want to know about one table, a row per group, target and source.
 
     `blaming` are the targets that blame the table, `parents` those that have it as parent;
-    a key that is asked for in both roles is counted once.
+    a key that is asked for in both roles is counted once.  Distinct values are counted from
+    rows by value, apart from the other facts: in one aggregation every row would move once
+    per such column, with the state of all facts each time.
     """
     aggs = {"n": F.count(F.lit(1)), "latest": _latest(df)}
     slots = [*_blame_slots(df, blaming, aggs, wanted), *_parent_slots(df, parents, aggs)]
     wide = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
-    return wide.select(*by, _per_target(slots))
+    parts = [wide.select(*by, _per_target(slots))]
+    for (column, nulls), told in _distinct_slots(df, blaming, parents, wanted).items():
+        values = key_rows(df if nulls else df.filter(F.col(column).isNotNull()), column, by)
+        # A null key is a key like any other, but no value.
+        counts = values.groupBy(*by).agg(
+            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"),
+            F.count("key").alias("distinct_values"),
+            F.sum(F.when(F.col("key").isNotNull(), F.col("n"))).alias("filled"),
+        )
+        parts.append(counts.select(*by, _per_target(told)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def target_frame(spark: SparkSession, targets: Sequence[Target]) -> DataFrame:

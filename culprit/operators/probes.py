@@ -181,6 +181,11 @@ def freshness(
     return latest.withColumn("lag_seconds", lag_seconds(F.col("max_ts"), observed_at))
 
 
+def key_rows(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, key, n): how many rows hold each value of a column, a null one included."""
+    return df.groupBy(*by, F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def orphan_keys(
     child: DataFrame,
     fk: str,
@@ -199,10 +204,8 @@ def orphan_keys(
     """
     child_by = [c for c in by if c in child.columns]
     parent_by = [c for c in by if c in parent.columns]
-    wanted = (
-        child.filter(F.col(fk).isNotNull())
-        .groupBy(*child_by, F.col(fk).alias("fk"))
-        .agg(F.count(F.lit(1)).alias("child_rows"))
+    wanted = key_rows(child.filter(F.col(fk).isNotNull()), fk, child_by).select(
+        *child_by, F.col("key").alias("fk"), F.col("n").alias("child_rows")
     )
     if parent_by and not child_by:
         if groups is None:
