@@ -36,13 +36,15 @@ def repair_orphans(
 ) -> DataFrame:
     """Drop rows whose key has no parent, or point them at a fallback member.
 
-    Rows with a null key are not orphans and stay.
+    Rows with a null key are not orphans and stay; they take no part in the joins, where all
+    of them would meet in one task.  Parent keys go in as they are: both joins stop at the
+    first match and read the same shuffle.
     """
-    known = parent.select(F.col(pk).alias(fk)).filter(F.col(fk).isNotNull()).distinct()
-    marked = child.join(known.withColumn("_known", F.lit(True)), fk, "left")
-    has_parent = F.col(fk).isNull() | F.coalesce("_known", F.lit(False))
+    known = parent.select(F.col(pk).alias(fk)).filter(F.col(fk).isNotNull())
+    keyed = child.filter(F.col(fk).isNotNull())
+    kept = keyed.join(known, fk, "left_semi").select(*child.columns)
+    kept = kept.unionByName(child.filter(F.col(fk).isNull()))
     if fallback is None:
-        kept = marked.filter(has_parent)
-    else:
-        kept = marked.withColumn(fk, F.when(has_parent, F.col(fk)).otherwise(F.lit(fallback)))
-    return kept.select(*child.columns)
+        return kept
+    lost = keyed.join(known, fk, "left_anti").withColumn(fk, F.lit(fallback))
+    return kept.unionByName(lost.select(*child.columns))
