@@ -131,9 +131,10 @@ def run_family(
     dataset, target = models.DATASET, models.TARGETS[family]
     seen = affected(found, target, family, models.STAGING_NAMES)
     fault = change(raw, target, trials, dataset)
-    # Read by each fact of the family; what was chosen is a few times its table at most.
-    signed = fault.change.persist()
-    changed = {target.table: signed}
+    # Read by each fact of the family and by its labels; what was chosen is a few times its
+    # table at most, and is kept once, not with each sign.
+    chosen = fault.chosen.persist()
+    changed = {target.table: fault.change}
     answer = triage(
         spark,
         raw,
@@ -150,7 +151,7 @@ def run_family(
         changes={**changed, **models.staging(changed, [KEY, SIGN])},
         losing=[target.table] if fault.loses else [],
     )
-    return answer, fault.truth, signed
+    return answer, fault.truth, chosen
 
 
 def run_suite(
@@ -179,7 +180,7 @@ def run_suite(
 
     # Families share nothing; their short jobs (cuts, test results) overlap on the cluster.
     with ThreadPoolExecutor(max_workers=len(families)) as pool:
-        answers, truth_rows, signed = zip(*pool.map(answer_family, families))
+        answers, truth_rows, chosen = zip(*pool.map(answer_family, families))
 
     def union(frames: Sequence[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, frames)
@@ -204,5 +205,5 @@ def run_suite(
         classified,
         predictions,
         union([a.blame_rows.select(KEY, "pk") for a in answers]),
-        (classified, *signed, *[a.results for a in answers]),
+        (classified, *chosen, *[a.results for a in answers]),
     )
