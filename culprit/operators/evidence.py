@@ -1,8 +1,8 @@
 """Evidence: one wide row per (group, incident) from a few fused scans.
 
 All incidents that blame the same table, or have it as a parent, share one aggregation
-over it, whatever their number, and one count of rows by value for each column of which
-distinct values are asked; a relationship adds one anti join on distinct keys.  The partial
+over it, whatever their number, and one more for distinct values; a relationship adds a
+count of rows by key and one anti join on distinct keys.  The partial
 results are unioned and folded with a single groupBy.
 """
 
@@ -69,6 +69,11 @@ def _latest(df: DataFrame) -> Column:
     return (F.max(ts) if ts else F.lit(None)).cast("timestamp_ntz")
 
 
+def _extra_rows(pk: str) -> Column:
+    """Rows beyond the first of each key; a null key is a key like any other."""
+    return F.count(F.lit(1)) - F.count_distinct(F.struct(pk))
+
+
 # The facts a partial result may bring, with the type they are folded in.
 PARTIALS = {
     "blame_row_count": "bigint",
@@ -129,7 +134,7 @@ def _blame_slots(
                 "blame_anomaly_score": f"abs({got['skew']})",
             }
             if "distinct_count" in wanted:
-                # Where there are values, their own count says it.
+                # Where there are values, they are counted apart.
                 facts["blame_cardinality_ratio"] = f"IF(n > {got['null_count']}, NULL, 0D)"
         slots.append((t.key, facts))
     return slots
@@ -150,26 +155,49 @@ def _parent_slots(
     return slots
 
 
-def _distinct_slots(
-    df: DataFrame, blaming: Sequence[Target], parents: Sequence[Target], wanted: Sequence[str]
-) -> dict[tuple[str, bool], list[tuple[str, dict[str, str]]]]:
-    """By (column, nulls included): what the counts of its values tell.
+def _distinct_scans(
+    df: DataFrame,
+    blaming: Sequence[Target],
+    parents: Sequence[Target],
+    by: Sequence[str],
+    wanted: Sequence[str],
+) -> list[DataFrame]:
+    """What needs distinct values: repeated keys, and how many values a blamed column has.
 
-    A column that is both key and blamed is counted once; one that is only blamed without
-    nulls, as `orphan_keys` counts it, so that Spark shuffles its values once for both.
+    All come from one aggregation that carries nothing else, but for the keys of a
+    relationship: they are counted as in `orphan_keys`, so that Spark shuffles them once for
+    both.
     """
-    slots: dict[tuple[str, bool], list[tuple[str, dict[str, str]]]] = {}
-    keys = {t.blame_pk_column for t in blaming} | {t.parent_pk_column for t in parents}
+    aggs: dict[str, Column] = {}
+    slots: list[tuple[str, dict[str, str]]] = []
+    linked: dict[str, list[tuple[str, dict[str, str]]]] = {}
     for t in blaming:
         if t.blame_pk_column in df.columns:
-            slots.setdefault((t.blame_pk_column, True), []).append((t.key, {"blame_pk_dupe_count": "extra"}))
+            aggs[f"extra_{t.blame_pk_column}"] = _extra_rows(t.blame_pk_column)
+            slots.append((t.key, {"blame_pk_dupe_count": f"`extra_{t.blame_pk_column}`"}))
         if t.blame_column in df.columns and "distinct_count" in wanted:
-            spot = (t.blame_column, t.blame_column in keys)
-            slots.setdefault(spot, []).append((t.key, {"blame_cardinality_ratio": "distinct_values / filled"}))
+            if t.is_relationship:
+                ratio = _ratio("distinct_values", "filled")
+                linked.setdefault(t.blame_column, []).append((t.key, {"blame_cardinality_ratio": ratio}))
+            else:
+                aggs[f"values_{t.blame_column}"] = F.count_distinct(t.blame_column)
+                aggs[f"filled_{t.blame_column}"] = F.count(t.blame_column)
+                ratio = _ratio(f"`values_{t.blame_column}`", f"`filled_{t.blame_column}`")
+                slots.append((t.key, {"blame_cardinality_ratio": ratio}))
     for t in parents:
         if t.parent_pk_column in df.columns:
-            slots.setdefault((t.parent_pk_column, True), []).append((t.key, {"parent_pk_dupe_count": "extra"}))
-    return slots
+            aggs[f"extra_{t.parent_pk_column}"] = _extra_rows(t.parent_pk_column)
+            slots.append((t.key, {"parent_pk_dupe_count": f"`extra_{t.parent_pk_column}`"}))
+    parts = []
+    if slots:
+        wide = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
+        parts.append(wide.select(*by, _per_target(slots)))
+    for column, told in linked.items():
+        counts = key_rows(df.filter(F.col(column).isNotNull()), column, by).groupBy(*by).agg(
+            F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("filled")
+        )
+        parts.append(counts.select(*by, _per_target(told)))
+    return parts
 
 
 def table_scan(
@@ -182,23 +210,13 @@ def table_scan(
     """Everything the targets want to know about one table, a row per group, target and source.
 
     `blaming` are the targets that blame the table, `parents` those that have it as parent;
-    a key that is asked for in both roles is counted once.  Distinct values are counted from
-    rows by value, apart from the other facts: in one aggregation every row would move once
-    per such column, with the state of all facts each time.
+    a key that is asked for in both roles is counted once.  Distinct values are counted apart
+    from the other facts, whose state every row would carry along once per such column.
     """
     aggs = {"n": F.count(F.lit(1)), "latest": _latest(df)}
     slots = [*_blame_slots(df, blaming, aggs, wanted), *_parent_slots(df, parents, aggs)]
     wide = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
-    parts = [wide.select(*by, _per_target(slots))]
-    for (column, nulls), told in _distinct_slots(df, blaming, parents, wanted).items():
-        values = key_rows(df if nulls else df.filter(F.col(column).isNotNull()), column, by)
-        # A null key is a key like any other, but no value.
-        counts = values.groupBy(*by).agg(
-            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"),
-            F.count("key").alias("distinct_values"),
-            F.sum(F.when(F.col("key").isNotNull(), F.col("n"))).alias("filled"),
-        )
-        parts.append(counts.select(*by, _per_target(told)))
+    parts = [wide.select(*by, _per_target(slots)), *_distinct_scans(df, blaming, parents, by, wanted)]
     return reduce(DataFrame.unionByName, parts)
 
 
