@@ -149,45 +149,56 @@ def key_spaces(tests: Sequence[DataTest]) -> tuple[list[Space], list[tuple[int,
     return spaces, [answers[i] for i in range(len(tests))]
 
 
-def _entries(name: str, spaces: Sequence[Space], by: Sequence[str]) -> Column:
-    """What a row of a model adds to the spaces: (space, key, c, p); mostly a few keys."""
+def _entries(model: DataFrame, name: str, spaces: Sequence[Space], by: Sequence[str]) -> Column:
+    """What a row of a model adds to the spaces: (space, num, key, c, p), null for nothing.
 
-    def entry(space: int, key: Column, child: bool, when: Column) -> Column:
-        c, p = (F.lit(int(x)).cast("bigint") for x in (child, not child))
-        key = key.cast("string")
-        return F.when(when, F.struct(F.lit(space).alias("space"), key.alias("key"), c.alias("c"), p.alias("p")))
+    A whole number is kept as one, every other key as text: a space has one kind of keys.
+    """
+    types = dict(model.dtypes)
+    nullable = {f.name for f in model.schema if f.nullable}
 
-    made, none = [], F.lit(None)
+    def entry(space: int, column: str | None, child: bool, when: Column, key: Column | None = None) -> Column:
+        c, p = (F.lit(int(x)).cast("bigint") for x in (child, not child))
+        whole = column is not None and types[column] in _WHOLE
+        num = F.col(column) if whole else F.lit(None)
+        if key is None:
+            key = F.lit(None) if whole or column is None else F.col(column)
+        fields = {"space": F.lit(space), "num": num.cast("bigint"), "key": key.cast("string"), "c": c, "p": p}
+        return F.when(when, F.struct(*[f.alias(n) for n, f in fields.items()]))
+
+    made = []
     for i, s in enumerate(spaces):
         for side, child in ((s.child, True), (s.parent, False)):
             if side is not None and side[0] == name:
-                col = F.col(side[1])
-                made.append(entry(i, col, child, col.isNotNull()))
+                made.append(entry(i, side[1], child, F.col(side[1]).isNotNull()))
         if s.only is not None and s.only.model == name:
             col = F.col(s.only.column)
             if s.only.kind == "not_null":
-                made.append(entry(i, none, False, col.isNull()))
+                # Nothing is read for a column that cannot be null, nor joined to make it.
+                made.append(entry(i, None, False, col.isNull() if s.only.column in nullable else F.lit(False)))
             else:
-                made.append(entry(i, col, False, ~col.isin(*s.only.accepted)))
+                made.append(entry(i, s.only.column, False, ~col.isin(*s.only.accepted)))
     if by:  # a run of which a model has rows has results of its tests
-        made.append(entry(-1, F.lit(name), False, F.lit(True)))
-    return F.filter(F.array(*made), lambda e: e.isNotNull())
+        made.append(entry(-1, None, False, F.lit(True), F.lit(name)))
+    return F.array(*made)
 
 
 def space_counts(
     models: Mapping[str, DataFrame], spaces: Sequence[Space], names: Sequence[str], by: Sequence[str]
 ) -> DataFrame:
-    """(by, space, key, c, p): rows of child and parent that hold each key of a space.
+    """(by, space, num, key, c, p): rows of child and parent that hold each key of a space.
 
     Every model is read once.  Both sides of a relationship meet in one aggregation instead
     of a join, and what a task holds of a key, a hot one too, is one row of the shuffle.
+    Empty entries go after the explode: to filter the array would run outside generated code.
     """
     parts = []
     for name in names:
-        entries = F.explode(_entries(name, spaces, by)).alias("e")
-        parts.append(models[name].select(*by, entries).select(*by, "e.*"))
+        entries = F.explode(_entries(models[name], name, spaces, by)).alias("e")
+        some = models[name].select(*by, entries).filter(F.col("e").isNotNull())
+        parts.append(some.select(*by, "e.*"))
     union = reduce(DataFrame.unionByName, parts)
-    return union.groupBy(*by, "space", "key").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
+    return union.groupBy(*by, "space", "num", "key").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
 
 
 def _fused(models: Mapping[str, DataFrame], tests: Sequence[DataTest], by: Sequence[str]) -> DataFrame:
@@ -202,8 +213,8 @@ def _fused(models: Mapping[str, DataFrame], tests: Sequence[DataTest], by: Seque
         ROWS: F.sum("p"),
         KEYS: F.count_if(F.col("p") > 0),
     }
-    owner = F.when(F.col("space") < 0, F.col("key")).alias("owner")
-    told = counts.groupBy(*by, "space", owner).agg(*[m.alias(n) for n, m in measures.items()])
+    owner = [F.when(F.col("space") < 0, F.col("key")).alias("owner")] if by else []
+    told = counts.groupBy(*by, "space", *owner).agg(*[m.alias(n) for n, m in measures.items()])
     slots = []
     for t, (space, measure) in zip(tests, answers, strict=True):
         hit = F.col(measure) if not by else F.when(F.col("space") == space, F.col(measure))

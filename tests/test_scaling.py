@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from culprit.catalog import fixtures as fx
 from culprit.operators import calibration, repair
+from culprit.operators.datatests import DataTest, run_tests
 from culprit.operators.evidence import Target, assemble_evidence
 from culprit.operators.faults import DROPOUT, DUPES, NULLS, FaultTarget, change, inject, trials_for
 
@@ -91,3 +92,22 @@ def test_orphan_repair_joins_no_null_keys(spark):
     assert rows(kept) == sorted((t for t in told if t[1] in (None, 1, 2)), key=repr)
     assert rows(moved) == sorted(((i, r if r in (None, 1, 2) else -1) for i, r in told), key=repr)
     assert "LeftOuter" not in plan_of(moved) and "Aggregate" not in plan_of(moved)
+
+
+def test_suite_keys_stay_numbers_and_cost_no_lambda(spark):
+    models = {
+        "c": spark.sql("SELECT * FROM VALUES (1, 7, 'x'), (1, 8L, NULL), (NULL, NULL, 'y'), (3, 9, 'y') t(id, ref, st)"),
+        "p": spark.sql("SELECT * FROM VALUES (7), (7), (NULL) t(id)"),
+        "w": spark.sql("SELECT id, coalesce(n, 0) AS n FROM (SELECT * FROM VALUES (1), (2) t(id)) "
+                       "LEFT JOIN (SELECT k AS id, count(*) AS n FROM VALUES (1), (1) t(k) GROUP BY k) USING (id)"),
+    }
+    tests = (
+        DataTest("unique", "c", "id"), DataTest("not_null", "c", "ref"), DataTest("relationships", "c", "ref", "p", "id"),
+        DataTest("accepted_values", "c", "st", accepted=("x",)), DataTest("accepted_values", "c", "ref", accepted=(7,)),
+        DataTest("unique", "c", "st"), DataTest("not_null", "w", "n"), DataTest("unique", "w", "id"), DataTest("unique", "p", "id"),
+    )
+    found = run_tests(models, tests)
+    assert dict(rows(found, "test_name", "failures")) == dict(zip((t.name for t in tests), (1, 1, 2, 1, 2, 1, 0, 0, 1)))
+    plan = plan_of(found)
+    assert "lambda" not in plan and "as string" not in plan
+    assert "Join" not in plan  # the only thing that needs it is a column that is never null
