@@ -69,11 +69,6 @@ def _latest(df: DataFrame) -> Column:
     return (F.max(ts) if ts else F.lit(None)).cast("timestamp_ntz")
 
 
-def _extra_rows(pk: str) -> Column:
-    """Rows beyond the first of each key; a null key is a key like any other."""
-    return F.count(F.lit(1)) - F.count_distinct(F.struct(pk))
-
-
 # The facts a partial result may bring, with the type they are folded in.
 PARTIALS = {
     "blame_row_count": "bigint",
@@ -164,33 +159,49 @@ def _distinct_scans(
 ) -> list[DataFrame]:
     """What needs distinct values: repeated keys, and how many values a blamed column has.
 
-    All come from one aggregation that carries nothing else, but for the keys of a
-    relationship: they are counted as in `orphan_keys`, so that Spark shuffles them once for
-    both.
+    All come from one aggregation that carries nothing else, which counts a column once
+    whatever is asked of it; a single column is counted as in `key_rows`, without an Expand
+    copy.  So are the keys of a relationship, as in `orphan_keys`, so that Spark shuffles them
+    once for both.
     """
-    aggs: dict[str, Column] = {}
-    slots: list[tuple[str, dict[str, str]]] = []
+    asked: dict[str, list[tuple[str, str]]] = {}
     linked: dict[str, list[tuple[str, dict[str, str]]]] = {}
     for t in blaming:
         if t.blame_pk_column in df.columns:
-            aggs[f"extra_{t.blame_pk_column}"] = _extra_rows(t.blame_pk_column)
-            slots.append((t.key, {"blame_pk_dupe_count": f"`extra_{t.blame_pk_column}`"}))
+            asked.setdefault(t.blame_pk_column, []).append((t.key, "blame_pk_dupe_count"))
         if t.blame_column in df.columns and "distinct_count" in wanted:
             if t.is_relationship:
                 ratio = _ratio("distinct_values", "filled")
                 linked.setdefault(t.blame_column, []).append((t.key, {"blame_cardinality_ratio": ratio}))
             else:
-                aggs[f"values_{t.blame_column}"] = F.count_distinct(t.blame_column)
-                aggs[f"filled_{t.blame_column}"] = F.count(t.blame_column)
-                ratio = _ratio(f"`values_{t.blame_column}`", f"`filled_{t.blame_column}`")
-                slots.append((t.key, {"blame_cardinality_ratio": ratio}))
+                asked.setdefault(t.blame_column, []).append((t.key, "blame_cardinality_ratio"))
     for t in parents:
         if t.parent_pk_column in df.columns:
-            aggs[f"extra_{t.parent_pk_column}"] = _extra_rows(t.parent_pk_column)
-            slots.append((t.key, {"parent_pk_dupe_count": f"`extra_{t.parent_pk_column}`"}))
+            asked.setdefault(t.parent_pk_column, []).append((t.key, "parent_pk_dupe_count"))
     parts = []
-    if slots:
-        wide = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
+    if asked:
+        aggs = {"n": F.count(F.lit(1))}
+        slots = []
+        for column, facts in asked.items():
+            keys, filled = f"`keys_{column}`", f"`filled_{column}`"
+            aggs[f"keys_{column}"] = F.count_distinct(F.struct(column))  # null is a key like any other
+            aggs[f"filled_{column}"] = F.count(column)
+            values = f"({keys} - IF({filled} < n, 1, 0))"
+            for target, fact in facts:
+                told = _ratio(values, filled) if fact == "blame_cardinality_ratio" else f"n - {keys}"
+                slots.append((target, {fact: told}))
+        if len(asked) == 1:
+            (column,) = asked
+            counts = key_rows(df, column, by)
+            rows = F.col("n")
+            aggs = {
+                "n": F.coalesce(F.sum(rows), F.lit(0)),
+                f"keys_{column}": F.count(F.lit(1)),
+                f"filled_{column}": F.coalesce(F.sum(F.when(F.col("key").isNotNull(), rows)), F.lit(0)),
+            }
+        else:
+            counts = df
+        wide = counts.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
         parts.append(wide.select(*by, _per_target(slots)))
     for column, told in linked.items():
         counts = key_rows(df.filter(F.col(column).isNotNull()), column, by).groupBy(*by).agg(

@@ -1,5 +1,7 @@
 """What keeps the cost of a step in line with its input, read off plans and counters."""
 
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -94,6 +96,23 @@ def test_orphan_repair_joins_no_null_keys(spark):
     assert "LeftOuter" not in plan_of(moved) and "Aggregate" not in plan_of(moved)
 
 
+def test_a_column_is_counted_once_for_all_that_is_asked(spark):
+    rows_of = "SELECT * FROM VALUES (1, 'a'), (1, 'a'), (2, NULL), (NULL, 'b'), (NULL, 'b') t(id, word)"
+    lines = spark.sql(rows_of)
+    one = assemble_evidence([Target("t", "unique", "m", "id", "lines", "id", "id")], {"lines": lines})
+    assert "Expand" not in plan_of(one)
+    fields = ("blame_row_count", "blame_pk_dupe_count", "blame_null_rate", "blame_cardinality_ratio")
+    assert rows(one, *fields) == [(5, 2, 0.4, pytest.approx(2 / 3))]
+    two = [Target("a", "unique", "m", "id", "lines", "id", "id"), Target("b", "not_null", "m", "word", "lines", "word", "id")]
+    found = assemble_evidence(two, {"lines": lines})
+    assert rows(found, "target", *fields) == [
+        ("a", 5, 2, 0.4, pytest.approx(2 / 3)), ("b", 5, 2, 0.2, 0.5),
+    ]
+    # Two columns, two copies, though the first is asked for both roles.
+    copies = re.search(r"Expand (\[\[.*?\]\])", plan_of(found)).group(1)
+    assert copies.count("[") == 4  # the list, two copies and one of what is not distinct
+
+
 def test_suite_keys_stay_numbers_and_cost_no_lambda(spark):
     models = {
         "c": spark.sql("SELECT * FROM VALUES (1, 7, 'x'), (1, 8L, NULL), (NULL, NULL, 'y'), (3, 9, 'y') t(id, ref, st)"),
